@@ -34,6 +34,7 @@ from palisade.streaming import changes as ch
 Query = Callable[[SparkSession, str], DataFrame]
 FINDING = ("repo_id", "id", "severity", "file", "line", "confidence")
 REGISTRY: dict[str, Query] = {}
+STORED: dict[tuple[str, str], str] = {}
 
 
 def query(function: Callable[["Tables"], DataFrame]) -> Callable:
@@ -61,7 +62,19 @@ class Tables:
         return self.spark.sql(text)
 
     def files(self) -> DataFrame:
-        return self.sql(derived.files_sql(), documents=self.table("documents"))
+        """The derived files as a stored table: written once per session and data set."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in STORED:
+            folder = work_folder(self, "files")
+            numbered = derived.files_sql().replace("SELECT ", "SELECT doc_id, ", 1)
+            table = self.sql(numbered, documents=self.table("documents"))
+            # The small test tables are a single row group, which one task would scan.
+            tasks = 2 * self.spark.sparkContext.defaultParallelism
+            if table.rdd.getNumPartitions() < tasks:
+                table = table.repartition(tasks)
+            table.write.mode("overwrite").parquet(folder)
+            STORED[key] = folder
+        return self.spark.read.parquet(STORED[key]).drop("doc_id")
 
     def tracked(self) -> DataFrame:
         return self.sql(derived.TRACKED_SQL, files=self.files())
@@ -79,9 +92,9 @@ class Tables:
         return src.parse_manifests(self.files())
 
     def changes(self) -> DataFrame:
-        numbered = self.sql(
-            derived.files_sql().replace("SELECT ", "SELECT doc_id, ", 1),
-            documents=self.table("documents"),
+        self.files()
+        numbered = self.spark.read.parquet(
+            STORED[(self.spark.sparkContext.applicationId, self.sf_dir)]
         )
         return self.sql(derived.CHANGES_SQL, numbered_files=numbered, events=self.table("events"))
 
@@ -762,7 +775,7 @@ def _audit_findings(t: Tables) -> DataFrame:
 def code_findings(t: Tables) -> DataFrame:
     """Findings of all file-level scanners from the one shared scan."""
     files = t.files()
-    return plans.findings_from_hits(plans.code_hits(files), files).select(
+    return plans.code_findings(files).select(
         "repo_id", "scanner", "id", "severity", "file", "line"
     )
 

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from palisade.functions.lexing import lines_of
 
 
+_SPACE = r"[\s\u00a0\u2000-\u200a\u2028\u2029\u3000\ufeff]+"
+JS_TRIM = rf"^{_SPACE}|{_SPACE}\z"
+
+
 def js_trim(text: Column) -> Column:
-    return F.regexp_replace(
-        text,
-        r"^[\s\u00a0\u2000-\u200a\u2028\u2029\u3000\ufeff]+|[\s\u00a0\u2000-\u200a\u2028\u2029\u3000\ufeff]+\z",
-        "",
-    )
+    return F.regexp_replace(text, JS_TRIM, "")
 
 
 def ignore_entries(content: Column) -> Column:

@@ -91,7 +91,7 @@ def line_start_states(content: Column) -> Column:
             F.replace(piece, F.lit("\n"), F.concat(F.lit("\n" + _MARK), opener)),
         ).otherwise(piece)
 
-    neutral = F.translate(content, _MARK, " ")
+    neutral = F.when(content.contains(_MARK), F.translate(content, _MARK, " ")).otherwise(content)
     pieces = F.regexp_extract_all(neutral, F.lit(_PIECE), F.lit(0))
     marked = F.array_join(F.transform(pieces, mark), "")
     return F.transform(

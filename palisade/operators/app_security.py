@@ -3,13 +3,11 @@ redirects and the auth rule list."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from palisade.functions.dialect import java_pattern
 from palisade.functions.paths import MODULE_EXTENSIONS, is_app_test_file, is_route_file
 from palisade.operators.code_rules import auth_rules
-from palisade.operators.file_scan import FileView, file_hit, line_hits, matches
+from palisade.operators.file_scan import FileView, all_of, any_rlike, rlike, walked
 
 # Patterns of the application checks.
 RATE_LIMIT_WORDS = (
@@ -67,126 +65,130 @@ OPEN_REDIRECTS = (
 )
 
 
-def _any_rlike(text: Column, patterns: tuple[tuple[str, bool], ...]) -> Column:
-    out = F.lit(False)
-    for pattern, fold in patterns:
-        out = out | text.rlike(java_pattern(pattern, fold))
-    return out
 
-
-def _allowed(view: FileView) -> Column:
+def _allowed(view: FileView) -> str:
     """Real code only: no documentation, tests, fixtures or examples."""
     return view.flag(
         "app_code",
-        lambda: (view.base.startswith(".env") | view.ext.isin(*MODULE_EXTENSIONS))
-        & ~F.col("_in_skipped_dir")
-        & ~view.is_doc
-        & ~view.is_test
-        & ~is_app_test_file(view.path),
+        lambda: walked(MODULE_EXTENSIONS)
+        & ~F.col("_doc")
+        & ~F.col("_test")
+        & ~is_app_test_file(F.col("path")),
     )
 
 
-def rate_limit(view: FileView) -> Column:
-    content = view.content
-    payment_path = java_pattern(PAYMENT_PATH, True)
-    payment_method = java_pattern(PAYMENT_METHOD)
-
-    def open_route() -> Column:
-        return (
-            view.passes((("post", ".put", ".patch"),))
-            & is_route_file(view.path, content)
-            & ~content.rlike(java_pattern(RATE_LIMIT_WORDS, True))
-            & ~content.rlike(java_pattern(RATE_LIMIT_PACKAGES))
-        )
-
-    def payment(text: Column) -> Column:
-        return text.rlike(payment_path) & text.rlike(payment_method)
-
-    def other_post(text: Column) -> Column:
-        return _any_rlike(text, tuple((p, False) for p in POST_ROUTE)) & ~payment(text)
-
-    gate = _allowed(view) & view.flag("open_route", open_route)
-    return F.concat(
-        line_hits(view, "rate-limit-missing-payment", gate, payment),
-        line_hits(view, "rate-limit-missing-post", gate, other_post),
+def rate_limit(view: FileView) -> None:
+    named = view.passes((("post", ".put", ".patch"),))
+    open_route = view.flag(
+        "open_route",
+        lambda: F.expr(named)
+        & is_route_file(F.col("path"), F.col("content"))
+        & F.expr(f"not {rlike(RATE_LIMIT_WORDS, True, of='content')}")
+        & F.expr(f"not {rlike(RATE_LIMIT_PACKAGES, of='content')}"),
+    )
+    gate = all_of(_allowed(view), open_route)
+    payment = all_of(rlike(PAYMENT_PATH, True), rlike(PAYMENT_METHOD))
+    view.emit(
+        view.line_hits(
+            "rate-limit-missing-payment", gate, payment, needs=(("post", ".put", ".patch"),)
+        ),
+        view.line_hits(
+            "rate-limit-missing-post", gate,
+            f"{any_rlike([(p, False) for p in POST_ROUTE])} and not ({payment})",
+            needs=(("post",),),
+        ),
     )
 
 
-def idor_scope(view: FileView) -> Column:
-    gate = (
-        _allowed(view)
-        & view.passes((("req.params.", "req.query."),))
-        & view.content.rlike(java_pattern(OBJECT_ID))
-        & view.content.rlike(java_pattern(DATABASE_WORDS, True))
-        & ~view.content.rlike(java_pattern(CURRENT_USER))
+def idor_scope(view: FileView) -> None:
+    needs = (("req.params.", "req.query."),)
+    gate = all_of(
+        _allowed(view),
+        view.passes(needs),
+        rlike(OBJECT_ID, of="content"),
+        rlike(DATABASE_WORDS, True, of="content"),
+        f"not {rlike(CURRENT_USER, of='content')}",
     )
-    return line_hits(view, "idor-handler-scope", gate, matches(OBJECT_ID))
+    view.emit(view.line_hits("idor-handler-scope", gate, rlike(OBJECT_ID), needs=needs))
 
 
-def password_compare(view: FileView) -> Column:
-    return line_hits(
-        view, "password-plaintext-compare", _allowed(view) & view.has("req.body.password"),
-        lambda text: _any_rlike(text, tuple((p, False) for p in PASSWORD_COMPARE)),
+def password_compare(view: FileView) -> None:
+    view.emit(
+        view.line_hits(
+            "password-plaintext-compare", _allowed(view),
+            any_rlike([(p, False) for p in PASSWORD_COMPARE]), needs=(("req.body.password",),),
+        )
     )
 
 
-def _first_line(view: FileView, condition: Column, pattern: str) -> Column:
+def _first_line(pattern: str) -> str:
     """1-based number of the first matching line, NULL where no single line matches."""
-    view.want_lines(condition)
-    found = F.filter(view.lines, lambda x: x["text"].rlike(java_pattern(pattern)))
-    return F.get(F.transform(found, lambda x: x["i"] + 1), F.lit(0))
+    return f"get(filter(_lines, x -> {rlike(pattern)}), 0).i + 1"
 
 
-def uploads(view: FileView) -> Column:
-    content = view.content
-    about = _allowed(view) & view.passes(
-        (("multer", "formidable", "busboy", "@vercel/blob", "next-connect", "multipart"),)
+def uploads(view: FileView) -> None:
+    about = all_of(
+        _allowed(view),
+        view.passes(
+            (("multer", "formidable", "busboy", "@vercel/blob", "next-connect", "multipart"),)
+        ),
     )
-    calls = about & view.has("multer") & content.rlike(java_pattern(UPLOAD_CALL))
-    no_limit = calls & ~content.rlike(java_pattern(UPLOAD_LIMIT, True))
-    no_filter = calls & ~content.rlike(java_pattern(UPLOAD_FILTER))
-    public = about & view.has("public/") & content.rlike(java_pattern(UPLOAD_PUBLIC))
-    return F.concat(
-        file_hit("upload-no-size-limit", no_limit, line=_first_line(view, calls, UPLOAD_CALL)),
-        file_hit("upload-no-type-filter", no_filter, line=_first_line(view, calls, UPLOAD_CALL)),
-        file_hit("upload-public-dir", public, line=_first_line(view, public, UPLOAD_PUBLIC)),
+    calls = all_of(about, view.has("multer"), rlike(UPLOAD_CALL, of="content"))
+    view.emit(
+        view.file_hit(
+            "upload-no-size-limit",
+            all_of(calls, f"not {rlike(UPLOAD_LIMIT, True, of='content')}"),
+            line=_first_line(UPLOAD_CALL),
+        ),
+        view.file_hit(
+            "upload-no-type-filter",
+            all_of(calls, f"not {rlike(UPLOAD_FILTER, of='content')}"),
+            line=_first_line(UPLOAD_CALL),
+        ),
+        view.file_hit(
+            "upload-public-dir",
+            all_of(about, view.has("public/"), rlike(UPLOAD_PUBLIC, of="content")),
+            line=_first_line(UPLOAD_PUBLIC),
+        ),
     )
 
 
-def error_exposure(view: FileView) -> Column:
-    return line_hits(
-        view, "error-stack-exposed",
-        _allowed(view) & view.has("res.") & view.passes((("json", "send"),)),
-        lambda text: _any_rlike(text, ERROR_REPLY),
+def error_exposure(view: FileView) -> None:
+    view.emit(
+        view.line_hits(
+            "error-stack-exposed", _allowed(view), any_rlike(ERROR_REPLY),
+            needs=(("res.",), ("json", "send")),
+        )
     )
 
 
-def sensitive_log(view: FileView) -> Column:
-    return line_hits(
-        view, "sensitive-log", _allowed(view) & view.has("console."),
-        matches(SENSITIVE_LOG, True),
+def sensitive_log(view: FileView) -> None:
+    view.emit(
+        view.line_hits(
+            "sensitive-log", _allowed(view), rlike(SENSITIVE_LOG, True), needs=(("console.",),)
+        )
     )
 
 
-def open_redirect(view: FileView) -> Column:
-    return line_hits(
-        view, "open-redirect", _allowed(view) & view.passes((("redirect", "location", "router.push"),)),
-        lambda text: _any_rlike(text, tuple((p, True) for p in OPEN_REDIRECTS)),
+def open_redirect(view: FileView) -> None:
+    view.emit(
+        view.line_hits(
+            "open-redirect", _allowed(view), any_rlike([(p, True) for p in OPEN_REDIRECTS]),
+            needs=(("redirect", "location", "router.push"),),
+        )
     )
 
 
-def auth_rule_list(view: FileView) -> Column:
-    return auth_rules(view, _allowed(view))
+def auth_rule_list(view: FileView) -> None:
+    auth_rules(view, _allowed(view))
 
 
-def app_security(view: FileView) -> Column:
-    return F.concat(
-        rate_limit(view),
-        idor_scope(view),
-        password_compare(view),
-        uploads(view),
-        error_exposure(view),
-        sensitive_log(view),
-        open_redirect(view),
-        auth_rule_list(view),
-    )
+def app_security(view: FileView) -> None:
+    rate_limit(view)
+    idor_scope(view)
+    password_compare(view)
+    uploads(view)
+    error_exposure(view)
+    sensitive_log(view)
+    open_redirect(view)
+    auth_rule_list(view)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions import paths
-from palisade.functions.dialect import java_pattern
 from palisade.functions.paths import SCRIPT_EXTENSIONS
-from palisade.operators.file_scan import FileView, file_hit, line_hits, matches
-from palisade.operators.webhooks import contains_any
+from palisade.operators.file_scan import FileView, all_of, contains_any, rlike
 
 # Patterns of the session, login and reset checks.
 GET_SESSION = r"supabase\.auth\.getSession\(\)"
@@ -31,81 +29,81 @@ TOKEN_LOOKUP = r"findOne|findUnique|where.*token"
 TOKEN_INVALIDATED = r"delete|remove|invalidate|used\s*=\s*true|update.*used"
 
 
-def on_frontend(path: Column) -> Column:
-    return ~path.contains("server") & ~F.concat(F.lit("/"), path).contains("api/")
+ON_FRONTEND = "not contains(path, 'server') and not contains(concat('/', path), 'api/')"
 
 
-def session_rules(view: FileView) -> Column:
+def session_rules(view: FileView) -> None:
     """Line rules; the first unlimited login route ends the file's line loop."""
-    allowed = view.extension_in(SCRIPT_EXTENSIONS)
-    is_login = java_pattern(LOGIN_PATH)
-    is_method = java_pattern(LOGIN_METHOD)
-    login = line_hits(
-        view, "auth-no-rate-limit",
-        allowed
-        & view.passes((("/login", "/signin", "/signup", "/register", "/auth"),))
-        & ~contains_any(view.content, LIMITER_WORDS),
-        lambda text: text.rlike(is_login) & text.rlike(is_method),
+    allowed = view.walks(*SCRIPT_EXTENSIONS)
+    login = view.line_hits(
+        "auth-no-rate-limit",
+        f"{allowed} and not {contains_any(LIMITER_WORDS, of='content')}",
+        all_of(rlike(LOGIN_PATH), rlike(LOGIN_METHOD)),
+        needs=(
+            ("/login", "/signin", "/signup", "/register", "/auth"),
+            (".post", ".get", ".all"),
+        ),
     )
-    get_session = line_hits(
-        view, "auth-getsession-frontend",
-        allowed & view.has("supabase.auth.getsession()") & on_frontend(view.path),
-        matches(GET_SESSION), first=False,
+    get_session = view.line_hits(
+        "auth-getsession-frontend", all_of(allowed, ON_FRONTEND), rlike(GET_SESSION),
+        needs=(("supabase.auth.getsession()",),), first=False,
     )
-    stored = line_hits(
-        view, "auth-localstorage-session", allowed & view.has("localstorage.setitem"),
-        matches(STORED_SESSION, True), first=False,
+    stored = view.line_hits(
+        "auth-localstorage-session", allowed, rlike(STORED_SESSION, True),
+        needs=(("localstorage.setitem",),), first=False,
     )
     # Bind the login hit once, then keep what lies on or before its line.
-    return F.transform(
-        F.array(login),
-        lambda stop: F.concat(
-            F.filter(
-                F.concat(get_session, stored),
-                lambda h: (F.size(stop) == 0) | (h["line"] <= F.get(stop, 0)["line"]),
-            ),
-            stop,
-        ),
-    )[0]
+    view.emit(
+        f"transform(array({login}), stop -> concat(filter(concat({get_session}, {stored}), "
+        "h -> size(stop) = 0 or h.line <= get(stop, 0).line), stop))[0]"
+    )
 
 
-def password_reset_rules(view: FileView) -> Column:
-    content = view.content
-    allowed = view.extension_in(SCRIPT_EXTENSIONS) & (
-        view.path.rlike(java_pattern(RESET_PATH, True)) | view.passes((("reset", "forgot"),))
-    )
-    weak = line_hits(
-        view, "auth-weak-reset-token",
-        allowed & view.has("math.random") & view.passes((("token", "reset", "password"),)),
-        matches(RANDOM_CALL), first=False,
-    )
-    no_expiry = line_hits(
-        view, "auth-reset-token-no-expiry",
-        allowed
-        & view.passes((("req.query.token", "req.params.token"),))
-        & ~content.rlike(java_pattern(EXPIRY_WORDS, True)),
-        matches(URL_TOKEN), first=False,
-    )
-    no_limit = line_hits(
-        view, "auth-reset-no-rate-limit",
-        allowed
-        & view.passes((("/reset", "/forgot", "password-reset", "forgot-password"),))
-        & ~content.rlike(java_pattern(RESET_LIMITER, True)),
-        matches(RESET_LINE, True),
+def password_reset_rules(view: FileView) -> None:
+    allowed = all_of(
+        view.walks(*SCRIPT_EXTENSIONS),
+        f"{rlike(RESET_PATH, True, of='path')} or {view.passes((('reset', 'forgot'),))}",
     )
-    reuse = file_hit(
-        "auth-reset-token-reuse",
-        allowed
-        & content.contains("token")
-        & view.passes((("reset", "password"),))
-        & content.rlike(java_pattern(TOKEN_LOOKUP, True))
-        & ~content.rlike(java_pattern(TOKEN_INVALIDATED, True)),
+    view.emit(
+        view.line_hits(
+            "auth-weak-reset-token",
+            all_of(allowed, view.passes((("token", "reset", "password"),))),
+            rlike(RANDOM_CALL), needs=(("math.random",),), first=False,
+        ),
+        view.line_hits(
+            "auth-reset-token-no-expiry",
+            all_of(
+                allowed,
+                view.passes((("req.query.token", "req.params.token"),)),
+                f"not {rlike(EXPIRY_WORDS, True, of='content')}",
+            ),
+            rlike(URL_TOKEN), needs=(("req.query.token", "req.params.token"),), first=False,
+        ),
+        view.line_hits(
+            "auth-reset-no-rate-limit",
+            all_of(
+                allowed,
+                view.passes((("/reset", "/forgot", "password-reset", "forgot-password"),)),
+                f"not {rlike(RESET_LIMITER, True, of='content')}",
+            ),
+            rlike(RESET_LINE, True), needs=(("reset", "forgot"),),
+        ),
+        view.file_hit(
+            "auth-reset-token-reuse",
+            all_of(
+                allowed,
+                "contains(content, 'token')",
+                view.passes((("reset", "password"),)),
+                rlike(TOKEN_LOOKUP, True, of="content"),
+                f"not {rlike(TOKEN_INVALIDATED, True, of='content')}",
+            ),
+        ),
     )
-    return F.concat(weak, no_expiry, no_limit, reuse)
 
 
-def auth_config(view: FileView) -> Column:
-    return F.concat(password_reset_rules(view), session_rules(view))
+def auth_config(view: FileView) -> None:
+    password_reset_rules(view)
+    session_rules(view)
 
 
 def auth_provider(files: DataFrame) -> DataFrame:

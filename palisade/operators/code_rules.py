@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-
 from palisade.functions import classify
 from palisade.functions.dialect import java_pattern
 from palisade.functions.paths import DEFAULT_EXTENSIONS, MODULE_EXTENSIONS, SCRIPT_EXTENSIONS
-from palisade.operators.file_scan import FileView, Gate, raw_matches, sql_text, vetted
+from palisade.operators.file_scan import (
+    FileView,
+    Needs,
+    contains_any,
+    rlike,
+    sql_text,
+)
 from palisade.rules.fixed_rules import AUTH_RULES, INJECTION_RULES
 from palisade.rules.secret_rules import SECRET_RULES
 
-# Literals without which a rule cannot match (lower case): all of (any of ...).
-RULE_GATES: dict[str, Gate] = {
+# Literals without which a line cannot match a rule (lower case): all of (any of ...).
+RULE_NEEDS: dict[str, Needs] = {
     "sql-template-literal": (("query", "execute"), ("${",)),
     "sql-string-concat": (("query", "execute"), ("select",)),
     "unsanitized-body-insert": (("req.body",), ("insert", "create", "update")),
@@ -66,7 +70,7 @@ CORS_RULES = (
         False,
     ),
 )
-CORS_GATES: dict[str, Gate] = {
+CORS_NEEDS: dict[str, Needs] = {
     "cors-wildcard-origin": (("cors",), ("origin",)),
     "cors-no-options": (("app.use",), ("cors",)),
     "cors-manual-wildcard": (("access-control-allow-origin",),),
@@ -79,89 +83,78 @@ STATIC_HTML_TEMPLATE = r"__html\s*:\s*`?\s*\$\{?\s*JSON\.stringify"
 JSON_LD = r"application\/ld\+json"
 
 
-def secrets(view: FileView) -> Column:
+def secrets(view: FileView) -> None:
     """Known token shapes and quoted assignments, judged as secret values, every line."""
-    allowed = view.extension_in(DEFAULT_EXTENSIONS) & ~view.is_doc & ~view.is_test
-    raws = []
     for rule in SECRET_RULES:
-        gate = allowed & view.passes((rule.literals,))
+        gate = view.real_code(*DEFAULT_EXTENSIONS)
         if rule.context_required:
-            gate = gate & view.content.rlike(java_pattern(rule.context_required, True))
-        raws.append(
-            raw_matches(
-                view, f"secret-{rule.id}", rule.pattern, gate, ignore_case=False, once=False,
-                severity=sql_text(rule.severity),
-            )
+            context = rlike(rule.context_required, True, of="content")
+            gate = f"{gate} and {view.passes((rule.literals,))} and {context}"
+        view.vet(
+            view.raw_matches(
+                f"secret-{rule.id}", rule.pattern, gate, needs=(rule.literals,),
+                ignore_case=False, once=False, severity=sql_text(rule.severity),
+            ),
+            mode=classify.SECRET,
         )
-    return vetted(view, raws, classify.SECRET)
 
 
-def env_names(view: FileView) -> Column:
+def env_names(view: FileView) -> None:
     """Browser-exposed variables whose name says secret; first one of each line."""
     variable = f"regexp_extract(x.text, {sql_text(java_pattern(PUBLIC_PREFIX))}, 1)"
-    says_secret = " or ".join(
-        f"contains(upper({variable}), {sql_text(part)})" for part in SECRET_NAME_PARTS
-    )
-    gate = view.extension_in(SCRIPT_EXTENSIONS + (".env",)) & view.has("next_public_")
-    raw = raw_matches(
-        view, "env-next-public-secret", PUBLIC_PREFIX, gate, ignore_case=False, once=False,
-        also=f"({says_secret})", detail=variable,
+    view.vet(
+        view.raw_matches(
+            "env-next-public-secret", PUBLIC_PREFIX, view.walks(*SCRIPT_EXTENSIONS, ".env"),
+            needs=(("next_public_",),), ignore_case=False, once=False,
+            also=contains_any(SECRET_NAME_PARTS, of=f"upper({variable})"), detail=variable,
+        )
     )
-    return vetted(view, [raw])
 
 
-def controlled_html_sink(x: str = "x") -> str:
+def controlled_html_sink() -> str:
     """SQL condition: the sink on line ``x`` is fed JSON.stringify on this line or the
     next two, or the file holds JSON-LD."""
-    window = f"array_join(transform(slice(_lines, {x}.i + 1, 3), y -> y.text), '\\n')"
+    window = "array_join(transform(slice(_lines, x.i + 1, 3), y -> y.text), '\\n')"
     return (
-        f"({window} rlike {sql_text(java_pattern(STATIC_HTML))}"
-        f" or content rlike {sql_text(java_pattern(JSON_LD, True))}"
-        f" or {window} rlike {sql_text(java_pattern(STATIC_HTML_TEMPLATE))})"
+        f"({rlike(STATIC_HTML, of=window)} or {rlike(JSON_LD, True, of='content')} "
+        f"or {rlike(STATIC_HTML_TEMPLATE, of=window)})"
     )
 
 
-def injection(view: FileView) -> Column:
-    allowed = view.extension_in(MODULE_EXTENSIONS) & ~view.is_doc & ~view.is_test
-    raws = []
+def injection(view: FileView) -> None:
     for rule in INJECTION_RULES:
         severity = "null"
         if rule.id == "xss-dangerously-set":
-            severity = f"case when {controlled_html_sink()} then 'info' end"
-        raws.append(
-            raw_matches(
-                view, f"injection-{rule.id}", rule.pattern,
-                allowed & view.passes(RULE_GATES[rule.id]), severity=severity,
+            severity = f"if({controlled_html_sink()}, 'info', null)"
+        view.vet(
+            view.raw_matches(
+                f"injection-{rule.id}", rule.pattern, view.real_code(*MODULE_EXTENSIONS),
+                needs=RULE_NEEDS[rule.id], severity=severity,
             )
         )
-    return vetted(view, raws)
 
 
-def cors(view: FileView) -> Column:
-    allowed = view.extension_in(MODULE_EXTENSIONS + (".json",)) & ~view.is_doc & ~view.is_test
-    has_auth = f"content rlike {sql_text(java_pattern(AUTH_PATHS, True))}"
-    raws = []
+def cors(view: FileView) -> None:
+    has_auth = rlike(AUTH_PATHS, True, of="content")
     for rule, pattern, fold in CORS_RULES:
         severity = detail = "null"
         if rule != "cors-no-options":
             severity = f"if({has_auth}, 'critical', 'warning')"
         if rule == "cors-wildcard-origin":
             detail = f"if({has_auth}, {sql_text(CORS_AUTH_NOTE)}, '.')"
-        raws.append(
-            raw_matches(
-                view, rule, pattern, allowed & view.passes(CORS_GATES[rule]),
-                ignore_case=fold, severity=severity, detail=detail,
+        view.vet(
+            view.raw_matches(
+                rule, pattern, view.real_code(*MODULE_EXTENSIONS, ".json"),
+                needs=CORS_NEEDS[rule], ignore_case=fold, severity=severity, detail=detail,
             )
         )
-    return vetted(view, raws)
 
 
-def auth_rules(view: FileView, allowed: Column) -> Column:
+def auth_rules(view: FileView, allowed: str) -> None:
     """The auth rule list of the application scanner."""
-    raws = [
-        raw_matches(
-            view, f"auth-{rule.id}", rule.pattern, allowed & view.passes(RULE_GATES[rule.id])
+    for rule in AUTH_RULES:
+        view.vet(
+            view.raw_matches(
+                f"auth-{rule.id}", rule.pattern, allowed, needs=RULE_NEEDS[rule.id]
+            )
         )
-        for rule in AUTH_RULES
-    ]
-    return vetted(view, raws)

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from palisade.functions.dialect import java_pattern
-from palisade.functions.ignore import js_trim
+from palisade.functions.ignore import JS_TRIM
 from palisade.functions.paths import SCRIPT_EXTENSIONS
 from palisade.model import HITS
-from palisade.operators.auth_config import GET_SESSION, on_frontend
-from palisade.operators.file_scan import FileView, line_hits, matches
+from palisade.operators.auth_config import GET_SESSION, ON_FRONTEND
+from palisade.operators.file_scan import FileView, all_of, rlike, sql_text
 
 # Patterns of the policy checks.
 CREATE_TABLE = r"CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(?:public\.)?(\w+)"
@@ -23,116 +20,90 @@ CLIENT_USER_ID = r"request\.(query|data)\.userId\s*==\s*userId"
 READ_IF_LOGGED_IN = r"allow\s+read\s*:\s*if\s+request\.auth\s*!=\s*null\s*;?\s*$"
 
 
-def without_sql_comments(content: Column) -> Column:
-    return F.regexp_replace(content, r"--[^\n\r\u2028\u2029]*(?=\n|\z)", "")
+_SQL_COMMENT = r"--[^\n\r\u2028\u2029]*(?=\n|\z)"
 
 
-def missing_rls(view: FileView) -> Column:
+def missing_rls(view: FileView) -> None:
     """Every created table that the same file does not put under row level security."""
-    gate = view.extension_in((".sql",)) & view.has("create") & view.has("table")
-    code = without_sql_comments(view.content)
-    tables = F.regexp_extract_all(code, F.lit(java_pattern(CREATE_TABLE, True)), F.lit(1))
-
-    def enabled(upper: Column, name: Column, schema: str) -> Column:
-        return upper.contains(
-            F.concat(
-                F.lit(f"ALTER TABLE {schema}"), F.upper(name), F.lit(" ENABLE ROW LEVEL SECURITY")
-            )
+    gate = all_of(view.walks(".sql"), view.has("create"), view.has("table"))
+    code = f"regexp_replace(content, {sql_text(_SQL_COMMENT)}, '')"
+    tables = f"regexp_extract_all({code}, {sql_text(java_pattern(CREATE_TABLE, True))}, 1)"
+
+    def enabled(schema: str) -> str:
+        return (
+            f"contains(upper_code, concat('ALTER TABLE {schema}', upper(t), "
+            "' ENABLE ROW LEVEL SECURITY'))"
         )
 
-    # Bind the upper-cased text once for all tables of the file.
-    open_tables = F.transform(
-        F.array(F.upper(code)),
-        lambda upper: F.filter(
-            tables, lambda t: ~enabled(upper, t, "") & ~enabled(upper, t, "PUBLIC.")
-        ),
-    )[0]
-    return F.when(
-        gate,
-        F.transform(
-            open_tables,
-            lambda t: F.struct(
-                F.lit("rls-missing-%X%").alias("rule"),
-                F.lit(None).cast("int").alias("line"),
-                t.alias("detail"),
-                F.lit(None).cast("string").alias("severity"),
-                F.lit(None).cast("double").alias("confidence"),
-            ),
-        ),
-    ).otherwise(F.expr(f"cast(array() as {HITS})"))
+    # The upper-cased text is bound once for all tables of the file.
+    view.emit(
+        f"if({gate}, cast(transform(array(upper({code})), upper_code -> transform("
+        f"filter({tables}, t -> not {enabled('')} and not {enabled('PUBLIC.')}), "
+        "t -> named_struct('rule', 'rls-missing-%X%', 'line', null, 'detail', t, "
+        f"'severity', null, 'confidence', null)))[0] as {HITS}), cast(array() as {HITS}))"
+    )
 
 
-def policy_lines(view: FileView) -> Column:
-    sql = view.extension_in((".sql",))
-    role = java_pattern(ROLE_ONLY, True)
-    return F.concat(
-        line_hits(
-            view, "rls-using-true", sql & view.has("using"), matches(USING_TRUE, True), first=False
+def policy_lines(view: FileView) -> None:
+    sql = view.walks(".sql")
+    view.emit(
+        view.line_hits(
+            "rls-using-true", sql, rlike(USING_TRUE, True), needs=(("using",), ("true",)),
+            first=False,
         ),
-        line_hits(
-            view, "rls-auth-role-only", sql & view.has("auth.role()"),
-            lambda text: text.rlike(role) & ~text.contains("auth.uid()"), first=False,
+        view.line_hits(
+            "rls-auth-role-only", sql,
+            all_of(rlike(ROLE_ONLY, True), "not contains(x.text, 'auth.uid()')"),
+            needs=(("auth.role()",),), first=False,
         ),
-        line_hits(
-            view, "rls-uid-is-not-null", sql & view.has("auth.uid()"),
-            matches(UID_NOT_NULL, True), first=False,
+        view.line_hits(
+            "rls-uid-is-not-null", sql, rlike(UID_NOT_NULL, True), needs=(("auth.uid()",),),
+            first=False,
         ),
     )
 
 
-def source_lines(view: FileView) -> Column:
-    script = view.extension_in(SCRIPT_EXTENSIONS)
-    gate = view.want_lines(script & view.has(".from") & view.has(".select"))
-    pattern = java_pattern(SELECT_ALL)
-
-    def unfiltered(x: Column) -> Column:
-        window = F.array_join(
-            F.transform(F.slice(view.lines, x["i"] + 1, F.lit(5)), lambda y: y["text"]), "\n"
-        )
-        return ~window.contains(".eq(") & ~window.contains("user_id")
-
-    selects = F.when(
-        gate,
-        F.transform(
-            F.filter(view.lines, lambda x: x["text"].rlike(pattern) & unfiltered(x)),
-            lambda x: F.struct(
-                F.lit("rls-select-all-no-filter").alias("rule"),
-                (x["i"] + 1).alias("line"),
-                F.lit(None).cast("string").alias("detail"),
-                F.lit(None).cast("string").alias("severity"),
-                F.lit(None).cast("double").alias("confidence"),
+def source_lines(view: FileView) -> None:
+    script = view.walks(*SCRIPT_EXTENSIONS)
+    window = "array_join(transform(slice(_lines, x.i + 1, 5), y -> y.text), '\\n')"
+    view.emit(
+        view.line_hits(
+            "rls-select-all-no-filter", script,
+            all_of(
+                rlike(SELECT_ALL),
+                f"not contains({window}, '.eq(')",
+                f"not contains({window}, 'user_id')",
             ),
+            needs=((".from",), (".select",)), first=False,
+        ),
+        view.line_hits(
+            "rls-getsession-frontend", all_of(script, ON_FRONTEND), rlike(GET_SESSION),
+            needs=(("supabase.auth.getsession()",),), first=False,
         ),
-    ).otherwise(F.expr(f"cast(array() as {HITS})"))
-    sessions = line_hits(
-        view, "rls-getsession-frontend",
-        script & view.has("supabase.auth.getsession()") & on_frontend(view.path),
-        matches(GET_SESSION), first=False,
     )
-    return F.concat(selects, sessions)
 
 
-def rls(view: FileView) -> Column:
-    return F.concat(missing_rls(view), policy_lines(view), source_lines(view))
+def rls(view: FileView) -> None:
+    missing_rls(view)
+    policy_lines(view)
+    source_lines(view)
 
 
-def firebase_lines(view: FileView) -> Column:
+def firebase_lines(view: FileView) -> None:
     """Rule lines of any file; which file counts is decided per repository afterwards."""
-    logged_in = java_pattern(READ_IF_LOGGED_IN, True)
-    return F.concat(
-        line_hits(
-            view, "firebase-if-true", view.has("allow") & view.has("true"),
-            matches(ALLOW_IF_TRUE, True), first=False,
+    trimmed = f"regexp_replace(x.text, {sql_text(JS_TRIM)}, '')"
+    view.emit(
+        view.line_hits(
+            "firebase-if-true", "true", rlike(ALLOW_IF_TRUE, True),
+            needs=(("allow",), ("true",)), first=False,
         ),
-        line_hits(
-            view, "firebase-client-controlled-auth",
-            view.passes((("request.query.userid", "request.data.userid"),)),
-            lambda text: text.rlike(java_pattern(CLIENT_USER_ID, True))
-            & ~text.contains("request.auth"),
-            first=False,
+        view.line_hits(
+            "firebase-client-controlled-auth", "true",
+            all_of(rlike(CLIENT_USER_ID, True), "not contains(x.text, 'request.auth')"),
+            needs=(("request.query.userid", "request.data.userid"),), first=False,
         ),
-        line_hits(
-            view, "firebase-auth-not-null-only", view.has("allow") & view.has("request.auth"),
-            lambda text: js_trim(text).rlike(logged_in), first=False,
+        view.line_hits(
+            "firebase-auth-not-null-only", "true", rlike(READ_IF_LOGGED_IN, True, of=trimmed),
+            needs=(("allow",), ("request.auth",)), first=False,
         ),
     )

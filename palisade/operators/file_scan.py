@@ -4,13 +4,18 @@ All file-level detectors look at one file at a time, so a scan is a narrow proje
 
 1. path predicates and size / binary gates drop rows before any text work;
 2. one ``contains`` per distinct literal decides which rules can match at all (a cheap
-   byte search; a regular expression only runs where its literals occur);
+   byte search); a regular expression only runs on files, and then on lines, that hold
+   the literals it needs;
 3. only for files that passed some gate the text is split into lines and lexed, once;
 4. each rule filters the line array with its own *literal* pattern (compiled once per
    task); live-code vetting and "first per rule" are array expressions on the hits.
 
 The result is exploded once.  Nothing is keyed by repository here, so a repository that
 holds a third of all files costs no more than its share.
+
+Detectors describe their conditions as SQL text over the staged columns and over a line
+``x`` (fields ``i``, ``text``, ``low``, ``state``).  There are about a hundred of them, and
+building each from Column calls would take longer than scanning a small table.
 """
 
 from __future__ import annotations
@@ -24,188 +29,195 @@ from palisade.functions import classify, lexing, paths
 from palisade.functions.dialect import java_pattern
 from palisade.model import HITS
 
-RAW = (
-    "array<struct<rule:string,once:boolean,line:int,detail:string,severity:string,"
+LINES = "array<struct<i:int,text:string,low:string,state:string>>"
+RAWS = (
+    "array<struct<rule:string,once:boolean,copies:int,line:int,detail:string,severity:string,"
     "text:string,start_state:string,before:string,found:string>>"
 )
-Gate = Sequence[Sequence[str]]  # all of (any of (literal, ...))
+Needs = Sequence[Sequence[str]]  # all of (any of (literal, ...)), lower case
+Detector = Callable[["FileView"], None]
+
+
+# ── SQL text helpers ────────────────────────────────────────────────────────────
+
+
+def sql_text(value: str) -> str:
+    """SQL string literal of ``value``."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def rlike(pattern: str, ignore_case: bool = False, of: str = "x.text") -> str:
+    return f"{of} rlike {sql_text(java_pattern(pattern, ignore_case))}"
+
 
+def any_rlike(patterns: Sequence[tuple[str, bool]], of: str = "x.text") -> str:
+    return "(" + " or ".join(rlike(p, fold, of) for p, fold in patterns) + ")"
 
-def no_hits() -> Column:
-    return F.expr(f"cast(array() as {HITS})")
+
+def contains_any(literals: Sequence[str], of: str = "x.text") -> str:
+    return "(" + " or ".join(f"contains({of}, {sql_text(v)})" for v in literals) + ")"
+
+
+def all_of(*conditions: str) -> str:
+    return " and ".join(f"({c})" for c in conditions)
 
 
 class FileView:
-    """Columns of one staged file row, and what the detectors ask to be staged.
+    """What the detectors ask to be staged, and the hits they describe.
 
-    Literals, flags and gates are collected while the detectors build their expressions
-    and become three array columns, each computed once per file.
+    Literals, flags and gates become three columns, each computed once per file.
     """
 
     def __init__(self) -> None:
-        self._literals: dict[str, Column] = {}
-        self._flags: dict[str, tuple[Column, Column]] = {}
-        self._gates: list[Column] = []
-        self.path = F.col("path")
-        self.content = F.col("content")
-        self.ext = F.col("_ext")
-        self.base = F.col("_base")
-        self.is_doc = F.col("_doc")
-        self.is_test = F.col("_test")
-        self.lines = F.col("_lines")
-
-    def has(self, literal: str) -> Column:
+        self._literals: dict[str, int] = {}
+        self._flags: dict[str, Column] = {}
+        self._gates: dict[str, int] = {}
+        self._hits: list[str] = []
+        self._columns: list[Column] = []
+        self._raws: dict[str, list[str]] = {classify.CODE: [], classify.SECRET: []}
+
+    def has(self, literal: str) -> str:
         """The file contains ``literal``, ignoring case (a necessary condition only)."""
-        literal = literal.lower()
-        if literal not in self._literals:
-            self._literals[literal] = F.col("_literals")[len(self._literals)]
-        return self._literals[literal]
-
-    def passes(self, gate: Gate) -> Column:
-        out: Column | None = None
-        for group in gate:
-            any_of = self.has(group[0])
-            for literal in group[1:]:
-                any_of = any_of | self.has(literal)
-            out = any_of if out is None else out & any_of
-        return F.lit(True) if out is None else out
-
-    def flag(self, name: str, condition: Callable[[], Column]) -> Column:
+        index = self._literals.setdefault(literal.lower(), len(self._literals))
+        return f"_literals[{index}]"
+
+    def passes(self, needs: Needs) -> str:
+        groups = ["(" + " or ".join(self.has(v) for v in group) + ")" for group in needs]
+        return " and ".join(groups) if groups else "true"
+
+    def flag(self, name: str, condition: Callable[[], Column]) -> str:
         """A named condition on the file, staged once for all detectors that use it."""
         if name not in self._flags:
-            built = condition()
-            self._flags[name] = (F.col("_flags")[name], built)
-        return self._flags[name][0]
+            self._flags[name] = condition()
+        return f"_flags.{name}"
 
-    def extension_in(self, extensions: Sequence[str]) -> Column:
+    def walks(self, *extensions: str) -> str:
         """Walk rule: extension in the list or an ``.env*`` name, no skipped directory."""
         return self.flag(
-            "walk" + "".join(extensions).replace(".", "_"),
-            lambda: (self.base.startswith(".env") | self.ext.isin(*extensions))
-            & ~F.col("_in_skipped_dir"),
+            "walk" + "".join(extensions).replace(".", "_"), lambda: walked(extensions)
+        )
+
+    def real_code(self, *extensions: str) -> str:
+        """The walk rule for files that are neither documentation nor tests."""
+        return self.flag(
+            "code" + "".join(extensions).replace(".", "_"),
+            lambda: walked(extensions) & ~F.col("_doc") & ~F.col("_test"),
+        )
+
+    def gate(self, condition: str) -> str:
+        """Stage a condition whose files need their lines; returns the staged gate."""
+        return f"_gates[{self._gates.setdefault(condition, len(self._gates))}]"
+
+    # ── hits ───────────────────────────────────────────────────────────────────
+
+    def line_hits(
+        self,
+        rule: str,
+        gate: str,
+        condition: str,
+        *,
+        needs: Needs = (),
+        first: bool = True,
+        detail: str = "null",
+    ) -> str:
+        """SQL array of the lines that meet a condition (no vetting)."""
+        staged = self.gate(all_of(gate, self.passes(needs)))
+        found = f"filter(_lines, x -> {_line_has(needs)}{condition})"
+        if first:
+            found = f"slice({found}, 1, 1)"
+        return (
+            f"if({staged}, cast(transform({found}, x -> named_struct('rule', {sql_text(rule)}, "
+            f"'line', x.i + 1, 'detail', {detail}, 'severity', null, 'confidence', null)) "
+            f"as {HITS}), cast(array() as {HITS}))"
+        )
+
+    def file_hit(self, rule: str, condition: str, *, line: str = "null") -> str:
+        """SQL array with at most one hit for a condition on the whole file."""
+        return (
+            f"if({self.gate(condition)}, cast(array(named_struct('rule', {sql_text(rule)}, "
+            f"'line', {line}, 'detail', null, 'severity', null, 'confidence', null)) "
+            f"as {HITS}), cast(array() as {HITS}))"
+        )
+
+    def raw_matches(
+        self,
+        rule: str,
+        pattern: str,
+        gate: str,
+        *,
+        needs: Needs = (),
+        ignore_case: bool = True,
+        once: bool = True,
+        only_first_line: bool = False,
+        copies: int = 1,
+        also: str = "true",
+        detail: str = "null",
+        severity: str = "null",
+    ) -> str:
+        """SQL array of first matches per line, with the text left of each, not vetted."""
+        staged = self.gate(all_of(gate, self.passes(needs)))
+        compiled = java_pattern(pattern, ignore_case)
+        matched, leading = sql_text(compiled), sql_text(f"^((?s:.*?))(?:{compiled})")
+        found = f"filter(_lines, x -> {_line_has(needs)}x.text rlike {matched} and {also})"
+        if only_first_line:
+            found = f"slice({found}, 1, 1)"
+        return (
+            f"if({staged}, cast(transform({found}, x -> named_struct("
+            f"'rule', {sql_text(rule)}, 'once', {str(once).lower()}, 'copies', {copies}, "
+            f"'line', x.i, 'detail', {detail}, 'severity', {severity}, 'text', x.text, "
+            f"'start_state', x.state, 'before', regexp_extract(x.text, {leading}, 1), "
+            f"'found', regexp_extract(x.text, {matched}, 0))) as {RAWS}), "
+            f"cast(array() as {RAWS}))"
         )
 
-    def want_lines(self, condition: Column) -> Column:
-        """Stage a gate whose files need their lines; returns the staged gate."""
-        self._gates.append(condition)
-        return F.col("_gates")[len(self._gates) - 1]
+    def emit(self, *hits: str) -> None:
+        self._hits += hits
 
-    # staging
+    def emit_column(self, hits: Column) -> None:
+        self._columns.append(hits)
+
+    def vet(self, *raws: str, mode: str = classify.CODE) -> None:
+        """Emit the raw matches that are live code (or real secrets)."""
+        self._raws[mode] += raws
+
+    # ── staged columns ─────────────────────────────────────────────────────────
 
     def literals(self) -> Column:
-        return F.array(*[F.col("_lower").contains(literal) for literal in self._literals])
+        tests = ", ".join(f"contains(_lower, {sql_text(v)})" for v in self._literals)
+        return F.expr(f"array({tests or 'true'})")
 
     def flags(self) -> Column:
-        """Flags may build on earlier flags only through literals and path columns."""
-        return F.struct(
-            *[built.alias(name) for name, (_, built) in self._flags.items()] or [F.lit(True).alias("none")]
-        )
+        """Flags use literals and path columns only, not other flags."""
+        named = [built.alias(name) for name, built in self._flags.items()]
+        return F.struct(*named) if named else F.struct(F.lit(True).alias("none"))
 
     def gates(self) -> Column:
-        return F.array(*self._gates)
-
-
-def line_hits(
-    view: FileView,
-    rule: str,
-    gate: Column,
-    predicate: Callable[[Column], Column],
-    *,
-    first: bool = True,
-    detail: Column | Callable[[Column], Column] | None = None,
-    severity: Column | None = None,
-) -> Column:
-    """Hits of a predicate over the text of a line (no vetting)."""
-    gate = view.want_lines(gate)
-    found = F.filter(view.lines, lambda x: predicate(x["text"]))
-    if first:
-        found = F.slice(found, 1, 1)
-
-    def hit(x: Column) -> Column:
-        d = detail(x["text"]) if callable(detail) else detail
-        return F.struct(
-            F.lit(rule).alias("rule"),
-            (x["i"] + 1).alias("line"),
-            (F.lit(None) if d is None else d).cast("string").alias("detail"),
-            (F.lit(None) if severity is None else severity).cast("string").alias("severity"),
-            F.lit(None).cast("double").alias("confidence"),
-        )
-
-    return F.when(gate, F.transform(found, hit)).otherwise(no_hits())
-
-
-def file_hit(
-    rule: str,
-    condition: Column,
-    *,
-    line: Column | None = None,
-    detail: Column | None = None,
-) -> Column:
-    """At most one hit for a condition on the whole file."""
-    one = F.array(
-        F.struct(
-            F.lit(rule).alias("rule"),
-            (F.lit(None) if line is None else line).cast("int").alias("line"),
-            (F.lit(None) if detail is None else detail).cast("string").alias("detail"),
-            F.lit(None).cast("string").alias("severity"),
-            F.lit(None).cast("double").alias("confidence"),
-        )
+        return F.expr(f"array({', '.join(self._gates) or 'false'})")
+
+    def hits(self) -> Column:
+        arrays = [F.expr(f"concat({', '.join(self._hits)})")] if self._hits else []
+        arrays += self._columns
+        arrays += [
+            vetted(F.expr(f"concat({', '.join(raws)})"), mode)
+            for mode, raws in self._raws.items()
+            if raws
+        ]
+        return F.concat(*arrays)
+
+
+def walked(extensions: Sequence[str]) -> Column:
+    return (F.col("_base").startswith(".env") | F.col("_ext").isin(*extensions)) & ~F.col(
+        "_in_skipped_dir"
     )
-    return F.when(condition, one).otherwise(no_hits())
-
-
-def matches(pattern: str, ignore_case: bool = False) -> Callable[[Column], Column]:
-    compiled = java_pattern(pattern, ignore_case)
-    return lambda text: text.rlike(compiled)
-
-
-def raw_matches(
-    view: FileView,
-    rule: str,
-    pattern: str,
-    gate: Column,
-    *,
-    ignore_case: bool = True,
-    once: bool = True,
-    only_first_line: bool = False,
-    also: str = "true",
-    detail: str = "null",
-    severity: str = "null",
-) -> Column:
-    """First match per line of one pattern, with the text left of it, before vetting.
-
-    ``also``, ``detail`` and ``severity`` are SQL expressions over the line ``x`` (fields
-    ``i``, ``text``, ``state``) and the file's columns.  The whole array expression is one
-    SQL text: there are about fifty rules, and a Column call per node would make building
-    the plan slower than running it on small inputs.
-    """
-    gate = view.want_lines(gate)
-    compiled = java_pattern(pattern, ignore_case)
-    matched, leading = sql_text(compiled), sql_text(f"^((?s:.*?))(?:{compiled})")
-    found = f"filter(_lines, x -> x.text rlike {matched} and {also})"
-    if only_first_line:
-        found = f"slice({found}, 1, 1)"
-    return F.when(
-        gate,
-        F.expr(
-            f"""cast(transform({found}, x -> named_struct(
-                'rule', {sql_text(rule)}, 'once', {str(once).lower()}, 'line', x.i,
-                'detail', {detail}, 'severity', {severity},
-                'text', x.text, 'start_state', x.state,
-                'before', regexp_extract(x.text, {leading}, 1),
-                'found', regexp_extract(x.text, {matched}, 0)
-            )) as {RAW})"""
-        ),
-    ).otherwise(F.expr(f"cast(array() as {RAW})"))
 
 
-def sql_text(value: str) -> str:
-    """SQL string literal of ``value``."""
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def _line_has(needs: Needs) -> str:
+    """A line can only match where it holds the literals itself."""
+    return "".join(contains_any(group, "x.low") + " and " for group in needs)
 
 
-def vetted(view: FileView, raws: Sequence[Column], mode: str = classify.CODE) -> Column:
-    """Drop prose matches, step severities, keep the first hit of rules marked ``once``.
+def vetted(raws: Column, mode: str) -> Column:
+    """Drop prose matches, keep the first hit of rules marked ``once``, repeat copies.
 
     Hits of a rule are contiguous and in line order, so "first" needs only a look at
     the neighbour.
@@ -219,13 +231,14 @@ def vetted(view: FileView, raws: Sequence[Column], mode: str = classify.CODE) ->
             lambda s: F.struct(
                 h["rule"].alias("rule"),
                 h["once"].alias("once"),
+                h["copies"].alias("copies"),
                 h["line"].alias("line"),
                 h["detail"].alias("detail"),
                 h["severity"].alias("severity"),
                 classify.classify_match(
-                    is_doc=view.is_doc,
-                    is_test=view.is_test,
-                    extension=view.ext,
+                    is_doc=F.col("_doc"),
+                    is_test=F.col("_test"),
+                    extension=F.col("_ext"),
                     line=h["text"],
                     before=h["before"],
                     match=h["found"],
@@ -235,34 +248,32 @@ def vetted(view: FileView, raws: Sequence[Column], mode: str = classify.CODE) ->
             ),
         )[0]
 
-    judged = F.filter(
-        F.transform(F.concat(*raws), judge), lambda h: classify.emits(h["confidence"])
-    )
+    judged = F.filter(F.transform(raws, judge), lambda h: classify.emits(h["confidence"]))
     # One-element transform: binds the array so that neighbours can be looked up.
     kept = F.transform(
         F.array(judged),
         lambda hs: F.filter(
             hs,
-            lambda h, i: ~h["once"]
-            | (i == 0)
-            | (F.get(hs, i - 1)["rule"] != h["rule"]),
+            lambda h, i: ~h["once"] | (i == 0) | (F.get(hs, i - 1)["rule"] != h["rule"]),
         ),
     )[0]
-    return F.transform(
-        kept,
-        lambda h: F.struct(
-            h["rule"].alias("rule"),
-            (h["line"] + 1).alias("line"),
-            h["detail"].alias("detail"),
-            h["severity"].alias("severity"),
-            classify.rounded_confidence(h["confidence"]).alias("confidence"),
-        ),
+    return F.flatten(
+        F.transform(
+            kept,
+            lambda h: F.array_repeat(
+                F.struct(
+                    h["rule"].alias("rule"),
+                    (h["line"] + 1).alias("line"),
+                    h["detail"].alias("detail"),
+                    h["severity"].alias("severity"),
+                    classify.rounded_confidence(h["confidence"]).alias("confidence"),
+                ),
+                h["copies"],
+            ),
+        )
     )
 
 
-Detector = Callable[[FileView], Column]
-
-
 def scan(
     files: DataFrame,
     detectors: Sequence[Detector],
@@ -277,7 +288,9 @@ def scan(
     Output: repo_id, path, *keep, rule, line, detail, severity, confidence.
     """
     view = FileView()
-    hits = F.concat(*[d(view) for d in detectors])
+    for detect in detectors:
+        detect(view)
+    hits = view.hits()
     path = F.col("path")
     staged = (
         files.where(F.col("content") != "")
@@ -311,16 +324,10 @@ def scan(
             # Zipped outside the lambda: the optimizer may inline _states, and inside the
             # lambda it would then be computed again for every line.
             "_lines",
-            F.coalesce(
-                F.transform(
-                    F.arrays_zip("_texts", "_states"),
-                    lambda z, i: F.struct(
-                        i.alias("i"),
-                        z["_texts"].alias("text"),
-                        F.coalesce(z["_states"], F.lit("")).alias("state"),
-                    ),
-                ),
-                F.expr("cast(array() as array<struct<i:int,text:string,state:string>>)"),
+            F.expr(
+                "coalesce(transform(arrays_zip(_texts, _states), (z, i) -> named_struct("
+                "'i', i, 'text', z._texts, 'low', lower(z._texts), 'state', coalesce(z._states, ''))), "
+                f"cast(array() as {LINES}))"
             ),
         )
     )

@@ -7,8 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from palisade.functions.dialect import java_pattern
-from palisade.operators.file_scan import Detector, FileView, line_hits, matches
+from palisade.operators.file_scan import (
+    Detector,
+    FileView,
+    all_of,
+    contains_any,
+    rlike,
+    sql_text,
+)
 
 # Rule file names and endings, trusted hosts, hidden characters, payload
 # shape, URL shape and the instruction patterns.
@@ -59,57 +65,41 @@ def is_rules_file(path: Column) -> Column:
     return ~path.contains("/") & (path.isin(*RULES_FILES) | ending)
 
 
-def host_is_trusted(host: Column, trusted: Sequence[str]) -> Column:
-    out = host.isin(*trusted)
-    for name in trusted:
-        out = out | host.endswith("." + name)
-    return out
-
-
 def rules_files(
     trusted_hosts: Sequence[str] = TRUSTED_HOSTS,
     scanner_names: Sequence[str] = DEFAULT_SCANNER_NAMES,
 ) -> Detector:
     """Detector over rule files.  Pass your own hosts and scanner names to extend it."""
-
-    def detect(view: FileView) -> Column:
-        is_rules = is_rules_file(view.path)
-
-        def untrusted(text: Column) -> Column:
-            hosts = F.regexp_extract_all(text, F.lit(URL_HOST), F.lit(1))
-            return F.filter(
-                F.transform(hosts, F.lower), lambda h: ~host_is_trusted(h, trusted_hosts)
-            )
-
-        def hidden_name(text: Column) -> Column:
-            out = None
-            for char, name, code in HIDDEN_CHARACTERS:
-                label = F.lit(f"{name} {code}")
-                hit = text.contains(char)
-                out = F.when(hit, label) if out is None else out.when(hit, label)
-            return out
-
-        named = "|".join(name.replace(" ", r"\s+") for name in scanner_names)
-        phrases = INSTRUCTIONS + (rf"(disable|ignore)\s+(the\s+)?({named})",)
-        malicious = java_pattern("|".join(phrases), True)
-        return F.concat(
-            line_hits(
-                view, "rules-hidden-unicode", is_rules & view.content.rlike(HIDDEN_CLASS),
-                lambda text: text.rlike(HIDDEN_CLASS), detail=hidden_name,
-            ),
-            line_hits(
-                view, "rules-base64-payload", is_rules & view.content.rlike(BASE64_RUN),
-                matches(BASE64_RUN),
+    named = "|".join(name.replace(" ", r"\s+") for name in scanner_names)
+    phrases = INSTRUCTIONS + (rf"(disable|ignore)\s+(the\s+)?({named})",)
+    exact = ", ".join(sql_text(name) for name in trusted_hosts)
+    below = " or ".join(f"endswith(h, {sql_text('.' + name)})" for name in trusted_hosts)
+    unknown = (
+        f"filter(transform(regexp_extract_all(x.text, {sql_text(URL_HOST)}, 1), "
+        f"h -> lower(h)), h -> not (h in ({exact}) or {below}))"
+    )
+    hidden_name = " ".join(
+        f"when contains(x.text, {sql_text(char)}) then {sql_text(f'{name} {code}')}"
+        for char, name, code in HIDDEN_CHARACTERS
+    )
+    hidden = contains_any([char for char, _, _ in HIDDEN_CHARACTERS], of="content")
+
+    def detect(view: FileView) -> None:
+        is_rules = view.flag("rules_file", lambda: is_rules_file(F.col("path")))
+        view.emit(
+            view.line_hits(
+                "rules-hidden-unicode", all_of(is_rules, hidden),
+                f"x.text rlike {sql_text(HIDDEN_CLASS)}", detail=f"case {hidden_name} end",
             ),
-            line_hits(
-                view, "rules-suspicious-url", is_rules & view.has("http"),
-                lambda text: F.size(untrusted(text)) > 0,
-                detail=lambda text: F.get(untrusted(text), F.lit(0)),
+            view.line_hits(
+                "rules-base64-payload", all_of(is_rules, rlike(BASE64_RUN, of="content")),
+                rlike(BASE64_RUN),
             ),
-            line_hits(
-                view, "rules-malicious-instruction", is_rules,
-                lambda text: text.rlike(malicious),
+            view.line_hits(
+                "rules-suspicious-url", is_rules, f"size({unknown}) > 0", needs=(("http",),),
+                detail=f"get({unknown}, 0)",
             ),
+            view.line_hits("rules-malicious-instruction", is_rules, rlike("|".join(phrases), True)),
         )
 
     return detect

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from palisade.functions import lexing
 from palisade.functions.classify import is_display_copy
-from palisade.functions.dialect import java_pattern
 from palisade.functions.paths import MODULE_EXTENSIONS, is_server_handler
+from palisade.model import HITS
 from palisade.operators.file_scan import (
     FileView,
-    line_hits,
-    raw_matches,
-    vetted,
+    all_of,
+    contains_any,
+    rlike,
+    sql_text,
+    walked,
 )
 from palisade.rules.fixed_rules import WEBHOOK_PROVIDERS
 
@@ -45,102 +46,98 @@ _ENDPOINT_LITERALS = {
 }
 
 
-def contains_any(text: Column, literals: tuple[str, ...]) -> Column:
-    out = text.contains(literals[0])
-    for literal in literals[1:]:
-        out = out | text.contains(literal)
-    return out
-
-
-def without_comments(content: Column) -> Column:
-    """Line comments cut, then block comments that close on their line."""
-    no_line = F.regexp_replace(content, r"//[^\n\r\u2028\u2029]*(?=\n|\z)", "")
-    return F.regexp_replace(no_line, r"/\*[^\n\r\u2028\u2029]*?\*/", "")
-
-
-def endpoint_is_real(view: FileView, h: Column) -> Column:
-    """A match in code or in a plain string (a route path), not in prose."""
-    state = lexing.state_in_line(h["start_state"], h["before"], h["text"])
-    return F.transform(
-        F.array(state),
-        lambda s: ~s.isin("//", "/*")
-        & ~lexing.is_jsx_text(view.ext, h["text"], h["before"])
-        & ~(s.isin("'", '"', "`") & is_display_copy(h["text"], h["before"])),
-    )[0]
+# Line comments, then block comments that close on their line.
+_LINE_COMMENT = r"//[^\n\r\u2028\u2029]*(?=\n|\z)"
+_BLOCK_COMMENT = r"/\*[^\n\r\u2028\u2029]*?\*/"
+WITHOUT_COMMENTS = (
+    f"regexp_replace(regexp_replace(content, {sql_text(_LINE_COMMENT)}, ''), "
+    f"{sql_text(_BLOCK_COMMENT)}, '')"
+)
 
 
-def is_handler_file(view: FileView) -> Column:
+def is_handler_file(view: FileView) -> str:
     """Handler file with a word some webhook rule needs (the cheap test comes first)."""
     words = tuple(w for group in _ENDPOINT_LITERALS.values() for w in group) + ("webhook",)
+    named = view.passes((words,))
     return view.flag(
         "handler",
-        lambda: (view.base.startswith(".env") | view.ext.isin(*MODULE_EXTENSIONS))
-        & ~F.col("_in_skipped_dir")
-        & view.passes((words,))
-        & is_server_handler(view.path, view.content),
+        lambda: walked(MODULE_EXTENSIONS)
+        & F.expr(named)
+        & is_server_handler(F.col("path"), F.col("content")),
     )
 
 
-def unverified(view: FileView) -> Column:
-    """Per endpoint pattern the first matching line decides; a file can fire once each."""
-    allowed = ~view.is_doc & ~view.is_test
+def unverified(view: FileView) -> None:
+    """Per endpoint pattern the first matching line decides; a file can fire once each.
+
+    A match counts in code or in a plain string (a route path), not in prose.
+    """
     raws = []
     for provider in WEBHOOK_PROVIDERS:
-        named = view.passes((_ENDPOINT_LITERALS[provider.provider],))
-        gate = (
-            allowed
-            & named
-            & is_handler_file(view)
-            & ~contains_any(without_comments(view.content), provider.proofs)
+        words = _ENDPOINT_LITERALS[provider.provider]
+        gate = all_of(
+            "not _doc and not _test",
+            is_handler_file(view),
+            view.passes((words,)),
+            f"not {contains_any(provider.proofs, WITHOUT_COMMENTS)}",
         )
-        for pattern in provider.endpoints:
-            raws.append(
-                raw_matches(
-                    view, f"webhook-unverified-{provider.provider}", pattern, gate,
-                    once=False, only_first_line=True,
-                )
+        raws += [
+            view.raw_matches(
+                f"webhook-unverified-{provider.provider}", pattern, gate,
+                needs=(words,), once=False, only_first_line=True,
             )
-    real = F.filter(F.concat(*raws), lambda h: endpoint_is_real(view, h))
-    return F.transform(
-        real,
-        lambda h: F.struct(
-            h["rule"].alias("rule"),
-            (h["line"] + 1).alias("line"),
-            h["detail"].alias("detail"),
-            h["severity"].alias("severity"),
-            F.lit(UNVERIFIED_CONFIDENCE).alias("confidence"),
-        ),
+            for pattern in provider.endpoints
+        ]
+
+    def is_real(h):
+        state = lexing.state_in_line(h["start_state"], h["before"], h["text"])
+        return F.transform(
+            F.array(state),
+            lambda s: ~s.isin("//", "/*")
+            & ~lexing.is_jsx_text(F.col("_ext"), h["text"], h["before"])
+            & ~(s.isin("'", '"', "`") & is_display_copy(h["text"], h["before"])),
+        )[0]
+
+    view.emit_column(
+        F.transform(
+            F.filter(F.expr(f"concat({', '.join(raws)})"), is_real),
+            lambda h: F.struct(
+                h["rule"].alias("rule"),
+                (h["line"] + 1).alias("line"),
+                h["detail"].alias("detail"),
+                h["severity"].alias("severity"),
+                F.lit(UNVERIFIED_CONFIDENCE).alias("confidence"),
+            ),
+        ).cast(HITS)
     )
 
 
-def missing_failure(view: FileView) -> Column:
-    about_stripe = view.has("stripe") & (
-        view.has("webhook") | view.path.rlike(java_pattern("webhook", True))
-    )
-    gate = (
-        about_stripe
-        & is_handler_file(view)
-        & contains_any(view.content, SUCCESS_EVENTS)
-        & ~contains_any(view.content, FAILURE_EVENTS)
+def missing_failure(view: FileView) -> None:
+    gate = all_of(
+        view.has("stripe"),
+        f"{view.has('webhook')} or {rlike('webhook', True, of='path')}",
+        is_handler_file(view),
+        contains_any(SUCCESS_EVENTS, of="content"),
+        f"not {contains_any(FAILURE_EVENTS, of='content')}",
     )
-    return line_hits(
-        view, "webhook-missing-failure-handler", gate,
-        lambda text: contains_any(text, SUCCESS_EVENTS),
+    view.emit(
+        view.line_hits("webhook-missing-failure-handler", gate, contains_any(SUCCESS_EVENTS))
     )
 
 
-def exec_calls(view: FileView) -> Column:
+def exec_calls(view: FileView) -> None:
     """Every exec / eval line of a webhook handler, once for each provider rule."""
-    gate = view.has("webhook") & view.passes((("exec", "eval"),)) & is_handler_file(view)
-    raw = raw_matches(
-        view, "webhook-command-injection", EXEC_CALL, gate, ignore_case=False, once=False
-    )
-    return F.flatten(
-        F.transform(
-            vetted(view, [raw]), lambda h: F.array_repeat(h, len(WEBHOOK_PROVIDERS))
+    view.vet(
+        view.raw_matches(
+            "webhook-command-injection", EXEC_CALL,
+            all_of(view.has("webhook"), is_handler_file(view)),
+            needs=(("exec", "eval"),), ignore_case=False, once=False,
+            copies=len(WEBHOOK_PROVIDERS),
         )
     )
 
 
-def webhooks(view: FileView) -> Column:
-    return F.concat(missing_failure(view), unverified(view), exec_calls(view))
+def webhooks(view: FileView) -> None:
+    missing_failure(view)
+    unverified(view)
+    exec_calls(view)

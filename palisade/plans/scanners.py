@@ -122,6 +122,15 @@ def findings_from_hits(hits: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
+def code_findings(files: DataFrame) -> DataFrame:
+    """Findings of all file-level scanners.
+
+    The contents are read once: the hits go through a reliable checkpoint, because the
+    three families read them separately.
+    """
+    return findings_from_hits(fo.cut_lineage(code_hits(files)), files)
+
+
 def all_findings(
     files: DataFrame,
     tracked: DataFrame,

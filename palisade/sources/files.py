@@ -80,43 +80,28 @@ def filter_skip_dirs(files: DataFrame) -> DataFrame:
 
 
 def ignore_names(files: DataFrame) -> DataFrame:
-    """(repo_id, name): exact names listed in each repository's root ignore file."""
-    return (
-        files.where(F.col("path") == IGNORE_FILE)
-        .select("repo_id", F.explode(ignore.ignore_entries(F.col("content"))).alias("name"))
-        .distinct()
+    """(repo_id, names): exact names listed in each repository's root ignore file."""
+    return files.where(F.col("path") == IGNORE_FILE).select(
+        "repo_id", ignore.ignore_entries(F.col("content")).alias("_ignore_names")
     )
 
 
-def ignored_paths(keys: DataFrame, names: DataFrame) -> DataFrame:
-    """Distinct (repo_id, path) of ``keys`` that an exact ignore name excludes.
-
-    A name excludes a path as its base name, its whole relative path or one of its
-    directory names.  Candidate names are made distinct per repository before the join,
-    so a directory with millions of files is one row in it.
-    """
-    path = F.col("path")
-    candidates = keys.select(
-        "repo_id",
-        "path",
-        F.explode(
-            F.array_distinct(
-                F.concat(F.split(path, "/"), F.array(path))
-            )
-        ).alias("name"),
-    )
-    hit = candidates.select("repo_id", "name").distinct().join(names, ["repo_id", "name"], "left_semi")
-    return candidates.join(hit, ["repo_id", "name"], "left_semi").select("repo_id", "path").distinct()
-
-
 def filter_ignored(rows: DataFrame, files: DataFrame) -> DataFrame:
     """Drop rows(repo_id, path, ...) whose path the repository's ignore file names.
 
-    ``rows`` may be files or (cheaper) findings: only its keys enter the look-up.
+    A name excludes a path as its base name, its whole relative path or one of its
+    directory names.  ``rows`` may be files or, much cheaper, the hits of a scan: they are
+    evaluated once and contents need not be shuffled.  The other side has one row per
+    repository, so when a repository is oversized the adaptive skew join splits its rows
+    and repeats that single row; it is only broadcast below the optimizer's threshold.
     """
-    keys = rows.select("repo_id", "path").distinct()
-    return rows.join(
-        ignored_paths(keys, ignore_names(files)), ["repo_id", "path"], "left_anti"
+    path = F.col("path")
+    names = F.concat(F.split(path, "/"), F.array(path))
+    hidden = F.arrays_overlap("_ignore_names", names)
+    return (
+        rows.join(ignore_names(files), "repo_id", "left")
+        .where(~F.coalesce(hidden, F.lit(False)))
+        .drop("_ignore_names")
     )
 
 
