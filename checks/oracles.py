@@ -195,12 +195,17 @@ ignored AS (
 """
 
 
+WALK_ONLY = (
+    f" AND NOT {skipped()} AND NOT EXISTS "
+    "(SELECT 1 FROM ignored g WHERE g.repo_id = files.repo_id AND g.path = files.path)"
+)
+
+
 def walk(extensions) -> str:
     """CTE src: readable files the directory walk yields for the extensions."""
     return (
         f"WITH {FILES}, {IGNORED}, src AS (SELECT * FROM files WHERE content <> '' "
-        f"AND ({one_of(ext(), extensions)} OR starts_with({base()}, '.env')) AND NOT {skipped()} "
-        "AND NOT EXISTS (SELECT 1 FROM ignored g WHERE g.repo_id = files.repo_id AND g.path = files.path))"
+        f"AND ({one_of(ext(), extensions)} OR starts_with({base()}, '.env')){WALK_ONLY})"
     )
 
 
@@ -1013,6 +1018,21 @@ CODE_FINDINGS = " UNION ALL ".join(
 )
 O["code_findings"] = f"SELECT repo_id, scanner, id, severity, file, line FROM ({CODE_FINDINGS})"
 
+SUPPLY = " UNION ALL ".join(
+    f"SELECT repo_id, id, severity, NULL AS confidence FROM ({O[n]})"
+    for n in ("malicious_packages", "typosquats", "suspicious_scripts", "vulnerable_dependencies",
+              "env_ignore_gaps", "git_ignore_gaps", "git_tracked", "git_history_secrets")
+)
+O["audit_scores"] = f"""WITH findings AS MATERIALIZED (SELECT *, '' AS category FROM (
+  SELECT repo_id, id, severity, confidence FROM ({CODE_FINDINGS}) UNION ALL {SUPPLY}
+  UNION ALL SELECT repo_id, 'supply-chain-no-package-json', 'info', NULL FROM (WITH {FILES}, {MANIFESTS}
+    SELECT DISTINCT repo_id FROM files WHERE repo_id NOT IN (SELECT repo_id FROM manifests WHERE valid)))),
+repos AS (WITH {FILES} SELECT DISTINCT repo_id FROM files),
+sums AS (SELECT repo_id, sum(cast({PENALTY} AS decimal(18, 6))) AS lost, {COUNTS} FROM findings GROUP BY repo_id),
+scored AS (SELECT repo_id, cast(greatest(0, floor(100 - coalesce(lost, 0) + 0.5)) AS int) AS score, coalesce(critical, 0) AS critical,
+  coalesce(warning, 0) AS warning, coalesce(info, 0) AS info, coalesce(passed, 0) AS passed FROM repos LEFT JOIN sums USING (repo_id))
+SELECT *, {grade_case('score')} AS grade FROM scored"""
+
 # ── changes ─────────────────────────────────────────────────────────────────────
 
 NAME, EXT = f"lower({base()})", ext()
@@ -1026,3 +1046,22 @@ O["route_change"] = f"""WITH {FILES} SELECT repo_id, path, scanner FROM (SELECT
   CASE WHEN {NAME} = 'firebase.json' OR ends_with({NAME}, '.rules') THEN 'check_firebase' END,
   CASE WHEN {NAME} IN ('.cursorrules', '.windsurfrules', '.antigravityrules', 'claude.md', '.mcp.json') OR {EXT} = '.rules' THEN 'scan_rules_files' END
 ], lambda x: x IS NOT NULL)) AS scanner FROM files)"""
+
+
+def single_file(sql: str) -> str:
+    """The same scan with every file as its own target: only its name counts."""
+    return sql.replace(WALK_ONLY, "").replace(is_test(), is_test(base()))
+
+
+CHANGED = " UNION ALL ".join(
+    f"SELECT {q(scanner)} AS scanner, repo_id, id, severity, file, line, confidence FROM ({single_file(O[name])})"
+    for scanner in ("scan_secrets", "scan_injection", "scan_webhooks", "check_supabase_rls")
+    for name in CODE_SCANNERS[scanner]
+)
+NUMBERED_FILES = derived.files_sql().replace("SELECT ", "SELECT doc_id, ", 1)
+O["scan_changes"] = f"""WITH numbered_files AS MATERIALIZED ({NUMBERED_FILES}), changes AS ({derived.CHANGES_SQL}),
+found AS ({CHANGED}), routes AS ({O['route_change']})
+SELECT c.ts, f.repo_id, f.id, f.severity, f.file, f.line, f.confidence FROM found f
+JOIN changes c ON c.repo_id = f.repo_id AND c.path = f.file
+JOIN routes r ON r.repo_id = f.repo_id AND r.path = f.file AND r.scanner = f.scanner
+WHERE f.severity IN ('critical', 'warning')"""

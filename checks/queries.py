@@ -780,6 +780,12 @@ def code_findings(t: Tables) -> DataFrame:
     )
 
 
+@query
+def audit_scores(t: Tables) -> DataFrame:
+    """Scores of all repositories from the findings of the 13 audit scanners."""
+    return fo.audit_score(_audit_findings(t), repository.repositories(t.files())).drop("meaning")
+
+
 @query
 def audit_report(t: Tables) -> DataFrame:
     files = t.files()

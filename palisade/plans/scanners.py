@@ -159,7 +159,12 @@ def all_findings(
 
 
 def audit_report(findings: DataFrame, repos: DataFrame) -> DataFrame:
-    """Score, grade, counts and fix prompt; one row per repository and prompt part."""
+    """Score, grade, counts and fix prompt; one row per repository and prompt part.
+
+    Scores and prompts both read the findings, so they are checkpointed (or pass findings
+    read back from ``sinks.write_findings``).
+    """
+    findings = fo.cut_lineage(findings)
     scores = fo.audit_score(findings, repos)
     prompts = fo.fix_prompt(findings, repos)
     return scores.join(prompts, "repo_id").withColumnRenamed("text", "fix_prompt")
