@@ -120,7 +120,7 @@ def brief(findings: DataFrame) -> DataFrame:
 def read_files(t: Tables) -> DataFrame:
     files = src.read_files(t.spark, t.sf_dir, repo_pattern=r"()([^/]*)$")
     return files.select(
-        "path", "size", src.is_readable(F.col("content"), 1 << 30).alias("is_text")
+        "path", "size", F.coalesce(src.is_readable(F.col("content")), F.lit(False)).alias("is_text")
     )
 
 

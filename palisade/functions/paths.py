@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -38,7 +39,7 @@ _SKIPPED = "|".join(
     name.replace(".", r"\.") for name in SKIPPED_DIRECTORIES if not name.startswith(".")
 )
 # A directory segment that starts with a dot (".env" excepted) or is a listed name.
-_SKIPPED_SEGMENT = rf"(?:^|/)(?:\.(?!env/)[^/]*|{_SKIPPED})/"
+SKIPPED_SEGMENT = re.compile(rf"(?:^|/)(?:\.(?!env/)[^/]*|{_SKIPPED})/")
 
 
 def base_name(path: Column) -> Column:
@@ -56,7 +57,7 @@ def has_extension(path: Column, extensions: Sequence[str] = DEFAULT_EXTENSIONS)
 
 
 def in_skipped_directory(path: Column) -> Column:
-    return path.rlike(_SKIPPED_SEGMENT)
+    return path.rlike(SKIPPED_SEGMENT.pattern)
 
 
 def is_doc_file(path: Column) -> Column:

@@ -41,16 +41,30 @@ def is_placeholder(value: Column) -> Column:
 
 
 def shannon_entropy(value: Column) -> Column:
-    """Bits per character.  Work is (distinct characters x length), all on the JVM."""
-    size = F.length(value).cast("double")
-    distinct = F.array_distinct(F.split(value, ""))
+    """Bits per character.
 
-    def term(total: Column, char: Column) -> Column:
-        share = (F.length(value) - F.length(F.replace(value, char, F.lit("")))) / size
-        return F.when(char == "", total).otherwise(total - share * F.log2(share))
-
-    return F.when(F.length(value) == 0, F.lit(0.0)).otherwise(
-        F.aggregate(distinct, F.lit(0.0), term)
+    One ``replace`` per distinct character counts it; the length is bound once (each
+    ``length`` walks the whole UTF-8 text).  ASCII characters are looked up rather than
+    split out, which would make one string object per character of the text.
+    """
+    ascii_present = F.filter(
+        F.array(*[F.lit(chr(code)) for code in range(128)]), lambda c: F.contains(value, c)
+    )
+    others = F.array_distinct(F.split(F.regexp_replace(value, r"[\x00-\x7f]+", ""), ""))
+    distinct = F.concat(ascii_present, F.filter(others, lambda c: c != ""))
+
+    def of_length(size: Column) -> Column:
+        counts = F.transform(
+            distinct, lambda c: size - F.length(F.replace(value, c, F.lit("")))
+        )
+        return F.aggregate(
+            F.transform(counts, lambda k: k / size),
+            F.lit(0.0),
+            lambda total, share: total - share * F.log2(share),
+        )
+
+    return F.when(value == "", F.lit(0.0)).otherwise(
+        F.transform(F.array(F.length(value)), of_length)[0]
     )
 
 

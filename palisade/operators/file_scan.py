@@ -183,8 +183,15 @@ class FileView:
     # ── staged columns ─────────────────────────────────────────────────────────
 
     def literals(self) -> Column:
-        tests = ", ".join(f"contains(_lower, {sql_text(v)})" for v in self._literals)
-        return F.expr(f"array({tests or 'true'})")
+        """One test per literal; a longer one is only searched where a shorter one, that
+        it contains, was found."""
+
+        def test(literal: str) -> str:
+            inner = [v for v in self._literals if v != literal and v in literal]
+            chain = sorted(inner, key=len)[:1] + [literal]
+            return " and ".join(f"contains(_lower, {sql_text(v)})" for v in chain)
+
+        return F.expr(f"array({', '.join(map(test, self._literals)) or 'true'})")
 
     def flags(self) -> Column:
         """Flags use literals and path columns only, not other flags."""

@@ -7,8 +7,10 @@ contents are never shuffled for it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,29 +29,75 @@ def read_files(
     root: str,
     repo_pattern: str = r"/repo=(\d+)/(.*)$",
     target: str | None = None,
+    max_bytes: int = MAX_FILE_BYTES,
 ) -> DataFrame:
     """Files below ``root`` as (repo_id, path, size, content binary).
 
     ``repo_pattern`` takes the repository number and the relative path out of the full
     path.  ``target`` limits the read to one file or folder below the root; a missing
-    target gives no rows.
+    target gives no rows.  Contents above ``max_bytes`` are not read (NULL).
+
+    Spark's own file sources leave out names that start with a dot, which are exactly the
+    ``.env`` and ignore files a scan needs.  So the entries right below the target are
+    listed here and every task walks and reads its share of them.  Skipped directories
+    are not entered.  Tables of files (the usual input at scale) need no walk: read them
+    with ``spark.read``.
     """
-    full = root if target is None else f"{root.rstrip('/')}/{target}"
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(full)
-    filesystem = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not filesystem.exists(jvm_path):
-        return spark.createDataFrame([], "repo_id bigint, path string, size bigint, content binary")
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(full)
-        .select(
-            F.regexp_extract("path", repo_pattern, 1).cast("bigint").alias("repo_id"),
-            F.regexp_extract("path", repo_pattern, 2).alias("path"),
-            F.col("length").alias("size"),
-            "content",
-        )
+    start = root.rstrip("/") if target is None else f"{root.rstrip('/')}/{target}"
+    filesystem, base = fs.FileSystem.from_uri(start)
+    info = filesystem.get_file_info(base)
+    if info.type == fs.FileType.File:
+        entries = [start]
+    elif info.type == fs.FileType.Directory:
+        found = filesystem.get_file_info(fs.FileSelector(base))
+        entries = [f"{start}/{e.base_name}" for e in found]
+    else:
+        entries = []
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for entry in batch["entry"]:
+                yield from _read_below(entry, max_bytes)
+
+    tasks = max(1, min(len(entries), 4 * spark.sparkContext.defaultParallelism))
+    rows = (
+        spark.createDataFrame([(e,) for e in entries], "entry string")
+        .repartition(tasks)
+        .mapInPandas(read, "full string, size bigint, content binary")
     )
+    return rows.select(
+        F.regexp_extract("full", repo_pattern, 1).try_cast("bigint").alias("repo_id"),
+        F.regexp_extract("full", repo_pattern, 2).alias("path"),
+        "size",
+        "content",
+    )
+
+
+def _read_below(entry: str, max_bytes: int, batch_bytes: int = 1 << 26) -> Iterator[pd.DataFrame]:
+    """Files at or below one entry, in batches of bounded size."""
+    filesystem, base = fs.FileSystem.from_uri(entry)
+    name = base.rsplit("/", 1)[-1]
+    info = filesystem.get_file_info(base)
+    if info.type == fs.FileType.File:
+        found = [info]
+    else:
+        found = filesystem.get_file_info(fs.FileSelector(base, recursive=True))
+    rows, held = [], 0
+    for item in found:
+        below = item.path[len(base) :]
+        if item.type != fs.FileType.File or paths.SKIPPED_SEGMENT.search(f"{name}{below}"):
+            continue
+        content = None
+        if item.size <= max_bytes:
+            with filesystem.open_input_stream(item.path) as stream:
+                content = stream.read()
+            held += item.size
+        rows.append((f"{entry}{below}", item.size, content))
+        if held >= batch_bytes or len(rows) >= 1000:
+            yield pd.DataFrame(rows, columns=["full", "size", "content"])
+            rows, held = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=["full", "size", "content"])
 
 
 def is_readable(content: Column, max_bytes: int = MAX_FILE_BYTES) -> Column:
