@@ -612,12 +612,12 @@ O["password_reset_rules"] = f"{SRC_SCRIPT} " + " UNION ALL ".join(
         ),
     ]
 )
-O["auth_provider"] = f"""WITH {FILES}, named AS (
+O["auth_provider"] = f"""WITH {FILES}, {IGNORED}, named AS (
   SELECT repo_id, path, CASE WHEN contains(content, '@clerk/') THEN 'clerk'
     WHEN contains(content, 'next-auth') OR contains(content, 'NextAuth') THEN 'nextauth'
     WHEN contains(content, 'supabase') AND contains(content, 'auth') THEN 'supabase'
     WHEN contains(content, 'firebase') AND contains(content, 'auth') THEN 'firebase' END AS provider
-  FROM files WHERE ({one_of(ext(), SCRIPT + ('.json',))} OR starts_with({base()}, '.env')) AND NOT {skipped()})
+  FROM files WHERE ({one_of(ext(), SCRIPT + ('.json',))} OR starts_with({base()}, '.env')){WALK_ONLY})
 SELECT repo_id, provider, path FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY path) AS rn
   FROM named WHERE provider IS NOT NULL) WHERE rn = 1"""
 

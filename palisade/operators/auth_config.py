@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palisade.functions import paths
 from palisade.functions.paths import SCRIPT_EXTENSIONS
 from palisade.operators.file_scan import FileView, all_of, contains_any, rlike
+from palisade.sources.files import filter_ignored, is_readable
 
 # Patterns of the session, login and reset checks.
 GET_SESSION = r"supabase\.auth\.getSession\(\)"
@@ -119,13 +120,17 @@ def auth_provider(files: DataFrame) -> DataFrame:
         .when(content.contains("supabase") & content.contains("auth"), "supabase")
         .when(content.contains("firebase") & content.contains("auth"), "firebase")
     )
-    return (
+    named = (
         files.where(
             paths.has_extension(path, SCRIPT_EXTENSIONS + (".json",))
             & ~paths.in_skipped_directory(path)
+            & is_readable(content)
         )
         .select("repo_id", "path", provider.alias("provider"))
         .where(F.col("provider").isNotNull())
+    )
+    return (
+        filter_ignored(named, files)
         .groupBy("repo_id")
         .agg(F.min_by("provider", "path").alias("provider"), F.min("path").alias("path"))
     )

@@ -201,7 +201,7 @@ def resolve_firebase_rules(files: DataFrame) -> DataFrame:
     Only keys are grouped; the partial ``min`` keeps one row per repository and task.
     """
     path, content = F.col("path"), F.col("content")
-    config = files.where(path == "firebase.json").select(
+    config = files.where((path == "firebase.json") & is_readable(content)).select(
         "repo_id",
         F.get_json_object(content, "$.firestore.rules").alias("firestore"),
         F.get_json_object(content, "$.database.rules").alias("database"),

@@ -114,3 +114,13 @@ def test_one_line_file_of_a_megabyte(make_files):
     body = "x=1;" * 100_000 + "eval(req.body.a);" * 2000 + "y='eval(req.body.b)';"
     rows = plans.scan_files(make_files({"min.js": body}), "scan_injection").collect()
     assert [(r.id, r.line) for r in rows] == [("injection-command-injection-eval", 1)]
+
+
+def test_free_tier_limits(spark, make_files):
+    names = ", ".join(f'"p{i}": "1.0.0"' for i in range(22))
+    files = make_files({"package.json": '{"dependencies": {%s, "crossenv": "1.0.0"}}' % names})
+    manifests = src.parse_manifests(files)
+    free = {r.id for r in packages.supply_chain(files, manifests, free_tier=True).collect()}
+    full = {r.id for r in packages.supply_chain(files, manifests).collect()}
+    assert free == {"supply-chain-limit"}
+    assert full == {"supply-chain-malicious-crossenv"}
