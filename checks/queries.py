@@ -812,7 +812,7 @@ def _change_stream(t: Tables) -> tuple[DataFrame, str]:
     t.changes().write.parquet(f"{folder}/in")
     stream = (
         t.spark.readStream.schema("ts timestamp, repo_id bigint, path string, content string")
-        .option("maxFilesPerTrigger", 4)
+        .option("maxFilesPerTrigger", 8)
         .parquet(f"{folder}/in")
     )
     return stream, folder
