@@ -56,6 +56,12 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """More tasks for CPU-bound work on an input of few splits (the test tables are a
+        single row group); inputs with enough splits are not shuffled."""
+        tasks = 2 * self.spark.sparkContext.defaultParallelism
+        return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
     def sql(self, text: str, **views: DataFrame) -> DataFrame:
         for name, df in views.items():
             df.createOrReplaceTempView(name)
@@ -68,11 +74,7 @@ class Tables:
             folder = work_folder(self, "files")
             numbered = derived.files_sql().replace("SELECT ", "SELECT doc_id, ", 1)
             table = self.sql(numbered, documents=self.table("documents"))
-            # The small test tables are a single row group, which one task would scan.
-            tasks = 2 * self.spark.sparkContext.defaultParallelism
-            if table.rdd.getNumPartitions() < tasks:
-                table = table.repartition(tasks)
-            table.write.mode("overwrite").parquet(folder)
+            self.spread(table).write.mode("overwrite").parquet(folder)
             STORED[key] = folder
         return self.spark.read.parquet(STORED[key]).drop("doc_id")
 
@@ -233,7 +235,7 @@ def is_placeholder(t: Tables) -> DataFrame:
 
 @query
 def shannon_entropy(t: Tables) -> DataFrame:
-    return t.table("documents").select(
+    return t.spread(t.table("documents")).select(
         "doc_id", F.round(values.shannon_entropy(F.col("text")), 6).alias("entropy")
     )
 
