@@ -1,0 +1,30 @@
+"""DuckDB SQL for the corpus queries that SQL can express."""
+
+from __future__ import annotations
+
+ORACLES: dict[str, str] = {}
+
+#: Earlier copies of every run of 50 words, then the words that such runs cover.
+ORACLES["op8_substring_dedup"] = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), places AS (
+  SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS place FROM split WHERE len(words) >= 50
+), runs AS (
+  SELECT doc_id, place, array_to_string(words[place:place + 49], ' ') AS run FROM places
+), repeated AS (
+  SELECT doc_id, place FROM (
+    SELECT doc_id, place, min(doc_id) OVER (PARTITION BY run) AS first_doc FROM runs
+  ) WHERE first_doc < doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(place, place + 50)) AS place FROM repeated
+), listed AS (
+  SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS place FROM split
+), kept AS (
+  SELECT l.doc_id, string_agg(l.words[l.place], ' ' ORDER BY l.place) AS text, count(*) AS n
+  FROM listed l ANTI JOIN gone g ON l.doc_id = g.doc_id AND l.place = g.place GROUP BY l.doc_id
+)
+SELECT s.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+       CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k USING (doc_id)
+"""
