@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.llm import byte_bpe, language_id, toxicity
+from palisade.llm.dart_minhash import near_duplicates
+from palisade.llm.packing import packed_documents
+from palisade.llm.records import read_records, write_records
 from palisade.llm.repeats import remove_repeats
+from palisade.session import shared_folder
+
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -21,6 +31,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of each document; a third of them is held out from all fitting."""
+    docs = table(spark, sf_dir, "documents")
+    network = language_id.fit(docs)
+    return language_id.predict(docs.select("doc_id", "text"), network).select(
+        "doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score"
+    )
+
+
+@query
+def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of token ids written to the shared folder and read back from there."""
+    folder = f"{shared_folder(spark)}/records-{os.urandom(8).hex()}"
+    write_records(table(spark, sf_dir, "documents"), folder, WORD_BPE, end_id=1)
+    return read_records(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's ids and of the bytes they decode to."""
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
+
+
+@query
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of each piece of each document in the packed sequences."""
+    packed = packed_documents(table(spark, sf_dir, "documents"), WORD_BPE, end_id=0, capacity=2048)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of each document; a third of the labels is held out from all fitting."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", language_id.held_out().alias("held_out"), "score", "predicted"
+    )
+
+
 @query
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left and removed per document, with the digest of what is kept."""
@@ -28,3 +79,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
     )
+
+
+@query
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of each document, and whether it is the one that stays."""
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
