@@ -23,11 +23,11 @@ from palisade.llm.language_id import held_out
 #: Numbers of letters of the n-grams, hash buckets of their vectors, and the vectors' length.
 GRAMS, BUCKETS, SIZE = (3, 4, 5), 1 << 17, 8
 #: Words of a window.
-WINDOW = 12
-#: Bounds of the sample that the model is fitted on: documents of each label, drawn by hash, and
-#: the characters of a document that can be drawn.
-SAMPLE_DOCUMENTS, SAMPLE_CHARACTERS = 1200, 8000
-MEAN_EPOCHS, WINDOW_EPOCHS, RATE = 30, 60, 0.05
+WINDOW = 2
+#: Bounds of the sample that the model is fitted on: documents of label 0 and of label 1, drawn by
+#: hash, and the characters of a document that can be drawn.
+SAMPLE_DOCUMENTS, SAMPLE_CHARACTERS = (1600, 800), 4000
+MEAN_EPOCHS, WINDOW_EPOCHS, RATE = 15, 45, 0.05
 THRESHOLD = 0.7
 CACHE_ENTRIES = 300_000
 
@@ -85,8 +85,8 @@ def train(texts: list[str], labels: list[int], seed: int = 13) -> Model:
     offsets = np.concatenate([[0], np.cumsum([len(words) for words in split])])
     parts = [subwords(w) or [0] for w in vocabulary]
     sizes = np.array([len(x) for x in parts])
-    bucket, of = np.concatenate([np.array(x) for x in parts]), np.repeat(np.arange(len(parts)), sizes)
-    used, bucket = np.unique(bucket, return_inverse=True)
+    begins = np.cumsum(sizes) - sizes
+    used, bucket = np.unique(np.concatenate([np.array(x) for x in parts]), return_inverse=True)
     target = np.array(labels, np.float64)
     weight = np.where(target == 1, 0.5 / max(1, target.sum()), 0.5 / max(1, (1 - target).sum()))
     rng = np.random.default_rng(seed)
@@ -95,7 +95,7 @@ def train(texts: list[str], labels: list[int], seed: int = 13) -> Model:
     for step in range(1, MEAN_EPOCHS + WINDOW_EPOCHS + 1):
         vectors, rows, bias = values
         direction = rows[1] - rows[0]
-        words = np.bincount(of, (vectors @ direction)[bucket], len(parts)) / sizes
+        words = np.add.reduceat((vectors @ direction)[bucket], begins) / sizes
         gains = words[flat]
         if step <= MEAN_EPOCHS:
             start, span = offsets[:-1], np.diff(offsets)
@@ -107,10 +107,10 @@ def train(texts: list[str], labels: list[int], seed: int = 13) -> Model:
         owner = tx.spread(span)
         at = np.repeat(start, span) + np.arange(len(owner)) - np.repeat(np.cumsum(span) - span, span)
         by_word = np.bincount(flat[at], (error / np.maximum(span, 1))[owner], len(parts)) / sizes
-        by_bucket = np.bincount(bucket, by_word[of], len(used))
+        by_bucket = np.bincount(bucket, np.repeat(by_word, sizes), len(used))
         pull = by_bucket @ vectors
         gradients = (
-            by_bucket[:, None] * direction + 1e-7 * vectors,
+            by_bucket[:, None] * direction + 1e-5 * vectors,
             np.stack([-pull, pull]),
             np.array([-error.sum(), error.sum()]),
         )
@@ -132,15 +132,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """
     known = labels.where(~F.coalesce(held_out(), F.lit(True))).select("doc_id", "toxic")
     drawn = [
-        known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(SAMPLE_DOCUMENTS)
-        for label in (0, 1)
+        known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(most)
+        for label, most in enumerate(SAMPLE_DOCUMENTS)
     ]
     texts = docs.where(F.length("text").between(1, SAMPLE_CHARACTERS)).select("doc_id", "text")
     rows = (
         texts.join(F.broadcast(drawn[0].union(drawn[1])), "doc_id")
         .select("text", "toxic", "doc_id")
         .orderBy("doc_id", "text", "toxic")
-        .limit(4 * SAMPLE_DOCUMENTS)
+        .limit(2 * sum(SAMPLE_DOCUMENTS))
         .collect()
     )
     if {row["toxic"] for row in rows} != {0, 1}:
