@@ -42,3 +42,16 @@ def components(links: DataFrame) -> DataFrame:
         labels = labels.drop("before")
         if not changed:
             return labels
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels (node, component)`` after more links.  Only links between different components count,
+    and as one link of the two components, so earlier links are not read again."""
+    ends = links.select("a", "b")
+    for end in ("a", "b"):
+        named = labels.select(F.col("node").alias(end), F.col("component").alias("of"))
+        ends = ends.join(named, end, "left").withColumn(end, F.coalesce("of", end)).drop("of")
+    step = components(ends.distinct())
+    moved = step.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    old = labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return stored(old.unionByName(step.join(labels.select("node"), "node", "left_anti")))

@@ -9,7 +9,8 @@ Jaccard similarity.  About K·ln K darts are thrown per set, however many elemen
 Signatures are joined in bands.  A shared band only proposes; exact similarity of the shingle sets
 decides.  Equal sets are folded first.  Buckets are never paired out: each bucket's members meet its
 leader, then delegates of the classes still apart in the bucket, and at last all members of classes
-that are still apart.  Pairs inside one class need no test, as their class is known.
+that are still apart.  In the first two rounds only the most promising partner (of each other class) is
+tested, the last round tests all that are left.  Pairs inside one class need no test, as their class is known.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm import text as tx
-from palisade.llm.components import components
+from palisade.llm.components import components, merged
 from palisade.session import stored
 
 SHINGLE_WORDS = 5
@@ -32,8 +33,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 27, 6
 #: Pairs whose signatures agree this many standard deviations below the threshold are not read in full.
 DEVIATIONS = 5
-#: Delegates of a class in a bucket; None: all members.
-ROUNDS = (8, None)
+#: Delegates of a class in a bucket, before the round in which all members meet.
+DELEGATES = 4
 
 _STEP, _LAYER, _COORDINATE, _HEIGHT = (
     np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
@@ -205,9 +206,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
                 np.frombuffer(b"".join(part[c].to_pylist()), np.uint8).reshape(batch.num_rows, size)
                 for c in ("marks_a", "marks_b")
             )
-            near &= (left == right).mean(1) >= slack
-            at = np.flatnonzero(near)
-            yield pa.RecordBatch.from_arrays([tx.pick(part[c], at) for c in ("a", "b")], names=["a", "b"])
+            agree = (left == right).sum(1)
+            at = np.flatnonzero(near & (agree >= slack * size))
+            names = ("a", "b", "class_b")
+            yield pa.RecordBatch.from_arrays(
+                [*(tx.pick(part[c], at) for c in names), pa.array(agree[at])], names=[*names, "agree"]
+            )
 
     def exact(batches):
         for batch in batches:
@@ -226,58 +230,60 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
     distinct = stored(
         named.groupBy(*key).agg(F.min(F.struct("doc_id", "n_shingles", "bands", "marks")).alias("it")).select(*key, "it.*")
     )
-    member = distinct.select("doc_id", F.col("n_shingles").alias("n"), "marks", F.explode("bands").alias("bucket"))
-    full = member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    member = stored(member.join(stored(full), "bucket"))
-    sets = stored(docs.join(member.select("doc_id").distinct(), "doc_id").mapInArrow(sets_of, f"doc_id {kind}, total long, members binary"))
-
-    def verified(left: DataFrame, right: DataFrame, when) -> DataFrame:
-        """Similar pairs among the rows of two member tables that share a bucket."""
+    # Buckets are counted and joined with ids alone; what is wider follows for those that share one.
+    placed = distinct.select("doc_id", F.explode("bands").alias("bucket"))
+    full = placed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
+    placed = placed.join(stored(full), "bucket")
+    marks = distinct.select("doc_id", F.col("n_shingles").alias("n"), "marks")
+    member = stored(stored(placed).join(marks, "doc_id"))
+    ids = stored(member.select("doc_id").distinct())
+    sets = stored(docs.join(ids, "doc_id").mapInArrow(sets_of, f"doc_id {kind}, total long, members binary"))
+
+    def candidates(left: DataFrame, right: DataFrame, when) -> DataFrame:
+        """``a, b, class_b, agree``: promising pairs of the rows of two member tables that share a bucket."""
         one, two = (
             t.select("bucket", *(F.col(c).alias(f"{c}_{side}") for c in t.columns if c != "bucket"))
             for t, side in ((left, "a"), (right, "b"))
         )
-        pairs = (
-            one.join(two, "bucket")
-            .where(when)
-            .select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), "n_a", "n_b", "marks_a", "marks_b")
-            .mapInArrow(promising, f"a {kind}, b {kind}")
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            .distinct()
-        )
-        both = (
-            stored(pairs)
-            .join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("left")), "a")
-            .join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("right")), "b")
+        pairs = one.join(two, "bucket").where(when)
+        return pairs.select(
+            F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), "class_b", "n_a", "n_b", "marks_a", "marks_b"
+        ).mapInArrow(promising, f"a {kind}, b {kind}, class_b {kind}, agree long")
+
+    def best(pairs: DataFrame, *of: str) -> DataFrame:
+        return pairs.groupBy(*of).agg(F.max(F.struct("agree", "b")).alias("it")).select("a", F.col("it.b").alias("b"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Pairs whose sets are similar."""
+        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("left")), "a").join(
+            sets.select(F.col("doc_id").alias("b"), F.col("members").alias("right")), "b"
         )
         return stored(both.mapInArrow(exact, f"a {kind}, b {kind}"))
 
-    leader = stored(member.groupBy("bucket").agg(F.min(F.struct("doc_id", "n", "marks")).alias("it")).select("bucket", "it.*"))
-    links = verified(member, leader, "doc_id_a != doc_id_b")
-    labels = components(links)
-    for delegates in ROUNDS:
+    def delegates(table: DataFrame, *of: str) -> DataFrame:
+        chosen = table.groupBy("bucket", *of).agg(F.min(F.struct("doc_id", "n", "marks", "class")).alias("it"))
+        return stored(chosen.select("bucket", "it.*"))
+
+    alone = member.withColumn("class", F.col("doc_id"))
+    labels = components(verified(best(candidates(alone, delegates(alone), "doc_id_a != doc_id_b"), "a")))
+    for last in (False, True):
         now = member.join(labels, F.col("doc_id") == F.col("node"), "left").select(
             *member.columns, F.coalesce("component", "doc_id").alias("class")
         )
-        mixed = (
+        apart = (
             now.groupBy("bucket")
             .agg(F.min("class").alias("low"), F.max("class").alias("high"))
             .where("low < high")
             .select("bucket")
         )
-        now = stored(now.join(stored(mixed), "bucket"))
-        if delegates is None:
-            found = verified(now, now, "class_a != class_b and doc_id_a < doc_id_b")
+        now = stored(now.join(stored(apart), "bucket"))
+        if last:
+            pairs = candidates(now, now, "class_a != class_b and doc_id_a < doc_id_b")
         else:
-            chosen = (
-                now.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(delegates)))
-                .groupBy("bucket", "class", "slot")
-                .agg(F.min(F.struct("doc_id", "n", "marks")).alias("it"))
-                .select("bucket", "class", "it.*")
-            )
-            found = verified(now, stored(chosen), "class_a != class_b")
-        links = links.unionByName(found)
-        labels = components(links)
+            slot = now.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(DELEGATES)))
+            pairs = best(candidates(now, delegates(slot, "class", "slot"), "class_a != class_b"), "a", "class_b")
+        labels = merged(labels, verified(pairs))
 
     first = distinct.select(*key, F.col("doc_id").alias("first"))
     classes = first.join(labels, F.col("first") == F.col("node"), "left").select(

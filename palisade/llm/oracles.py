@@ -28,3 +28,93 @@ SELECT s.doc_id, CAST(len(words) AS BIGINT) AS n_words,
        CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
 FROM split s LEFT JOIN kept k USING (doc_id)
 """
+
+#: Links by brute force; components as the smallest vector that links reach.
+ORACLES["op7_embedding_near_dedup"] = r"""
+WITH RECURSIVE valid AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM valid a JOIN valid b
+    ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+   AND list_dot_product(a.v, b.v) >= 0.95 * sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))
+), reached AS (
+  SELECT vec_id AS a, vec_id AS b FROM valid
+  UNION
+  SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+), numbers AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+least AS (SELECT a, min(b) AS component FROM reached GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(component, e.vec_id) AS component_id,
+       e.vec_id = coalesce(component, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN numbers ON e.vec_id = numbers.a LEFT JOIN least ON e.vec_id = least.a
+"""
+
+#: Numbers of each text, failures by host, rates shrunken to the beta of their mean and variance.
+ORACLES["op4_host_rules"] = r"""
+WITH split AS (
+  SELECT doc_id, source, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), places AS (
+  SELECT doc_id, unnest(range(1, len(words) - 3)) AS place, words FROM split WHERE len(words) >= 5
+), runs AS (
+  SELECT doc_id, unnest(list(place)) AS place FROM places
+  GROUP BY doc_id, array_to_string(words[place:place + 4], ' ') HAVING count(*) > 1
+), repeated AS (
+  SELECT doc_id, count(DISTINCT word) AS n_repeat_words
+  FROM (SELECT doc_id, unnest(range(place, place + 5)) AS word FROM runs) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, line, count(*) AS n
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM split)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id, line
+), duplicated AS (
+  SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(sum(n - 1) AS BIGINT) AS n_dup_lines FROM lines GROUP BY doc_id
+), numbers AS (
+  SELECT s.doc_id, source, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM split s LEFT JOIN duplicated USING (doc_id) LEFT JOIN repeated USING (doc_id)
+), failed AS (
+  SELECT *, n_words < 10 AS f1, 100 * n_repeat_words > 20 * n_words AS f2,
+         100 * n_symbols > 50 * n_words AS f3, 100 * n_dup_lines > 30 * n_lines AS f4 FROM numbers
+), counted AS (
+  SELECT source, unnest([1, 2, 3, 4]) AS rule, count(*) AS n,
+         unnest([count_if(f1), count_if(f2), count_if(f3), count_if(f4)]) AS k
+  FROM failed WHERE source IS NOT NULL GROUP BY source
+), moments AS (
+  SELECT rule, avg(k / n) AS m, var_pop(k / n) AS v, avg(n) AS size FROM counted GROUP BY rule
+), priors AS (
+  SELECT rule, m, CASE WHEN v > 0 AND v < m * (1 - m) THEN m * (1 - m) / v - 1 ELSE size END AS s FROM moments
+), hosts AS (
+  SELECT source, max((k + m * s) / (n + s)) AS rate FROM counted JOIN priors USING (rule) GROUP BY source
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (f1 OR f2) AS base_failed,
+       NOT (f1 OR f2) AND coalesce(rate, 0) <= 0.5 AS kept
+FROM failed LEFT JOIN hosts USING (source)
+"""
+
+#: Similar pairs of shingle sets by brute force; classes as the smallest document that links reach.
+ORACLES["op9_minhash_near_dedup"] = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), shingled AS (
+  SELECT DISTINCT doc_id, array_to_string(words[place:place + 4], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS place FROM split WHERE len(words) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingled GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+  FROM shingled a JOIN shingled b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM common c JOIN sizes x ON c.a = x.doc_id JOIN sizes y ON c.b = y.doc_id
+  WHERE c.n >= 0.8 * (x.n + y.n - c.n)
+), reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM split
+  UNION
+  SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+), least AS (SELECT a, min(b) AS class_id FROM reached GROUP BY a)
+SELECT s.doc_id, class_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, s.doc_id = class_id AS kept
+FROM split s JOIN least ON s.doc_id = least.a LEFT JOIN sizes z ON s.doc_id = z.doc_id
+"""

@@ -9,8 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import byte_bpe, language_id, toxicity
+from palisade.llm import byte_bpe, language_id, licenses, toxicity
 from palisade.llm.dart_minhash import near_duplicates
+from palisade.llm.host_rules import host_verdicts
+from palisade.llm.neighbours import linked_vectors
 from palisade.llm.packing import packed_documents
 from palisade.llm.records import read_records, write_records
 from palisade.llm.repeats import remove_repeats
@@ -41,6 +43,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of each document, its own or inherited.  Its path is its source, then its id in directories of a thousand."""
+    docs = table(spark, sf_dir, "documents")
+    shelf = F.floor(F.col("doc_id") / 1000).cast("string")
+    files = licenses.scan(docs.select("doc_id", F.concat_ws("/", "source", shelf, "doc_id").alias("path"), "text"))
+    files = files.withColumn("is_license_file", F.col("share") >= licenses.FILE_SHARE)
+    return licenses.inherit(files).drop("share")
+
+
 @query
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of token ids written to the shared folder and read back from there."""
@@ -49,6 +61,15 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query
+def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of each document, its own verdict, and the one that counts its host's in."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host"))
+    return host_verdicts(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 @query
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each document's ids and of the bytes they decode to."""
@@ -72,6 +93,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of each vector, and whether it is the one that stays."""
+    found = linked_vectors(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 @query
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left and removed per document, with the digest of what is kept."""
