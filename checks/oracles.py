@@ -12,7 +12,6 @@ from palisade.functions import paths, values
 from palisade.operators import app_security as app
 from palisade.operators import auth_config as auth
 from palisade.operators import code_rules, data_access, headers, rules_files, webhooks
-from palisade.operators.findings import PROMPT_ITEMS_PER_PART  # noqa: F401
 from palisade.rules import report_texts as texts
 from palisade.rules.fixed_rules import (
     AUTH_RULES,
@@ -288,8 +287,17 @@ O["filter_ignored"] = (
     "(SELECT 1 FROM ignored g WHERE g.repo_id = f.repo_id AND g.path = f.path)"
 )
 O["filter_readable"] = (
-    "SELECT doc_id FROM (SELECT doc_id, encode(CASE WHEN doc_id % 3 = 0 THEN text || chr(0) ELSE text END) AS b "
-    "FROM documents) WHERE octet_length(b) <= 20000 AND NOT regexp_matches(hex(b[1:8192]), '^(..)*00')"
+    "SELECT doc_id FROM documents WHERE doc_id % 3 = 2 OR (doc_id % 3 = 0 AND NOT contains(text, ' '))"
+)
+O["load_rules"] = " UNION ALL ".join(
+    f"SELECT doc_id, {q(rule)} AS rule, {q(severity)} AS severity, min(i) AS line FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, "
+    "unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) "
+    f"WHERE regexp_matches(line, {q(pattern)}, 'i') GROUP BY doc_id"
+    for rule, severity, pattern in (
+        ("warm", "info", r"(^|[^A-Za-z0-9_])(hot|with)([^A-Za-z0-9_]|$)"),
+        ("pair", "warning", r"(^|[^A-Za-z0-9_])the\s+of([^A-Za-z0-9_]|$)"),
+        ("long-word", "critical", r"(^|[^A-Za-z0-9_])[a-z]{14,}([^A-Za-z0-9_]|$)"),
+    )
 )
 MANIFESTS = (
     "manifest_files AS MATERIALIZED (SELECT repo_id, content FROM files WHERE path = 'package.json'), "
@@ -810,17 +818,18 @@ O["advisory_severity_and_fix"] = (
 
 
 def version_order(v: str) -> str:
-    """List key: padded numbers, then a release flag, then the pre-release text."""
-    core = f"regexp_extract({v}, '^[0-9]+([.][0-9]+)*')"
-    pre = f"regexp_extract({v}, '^[0-9]+(?:[.][0-9]+)*-([0-9A-Za-z.-]+)', 1)"
+    """List key: numbers as (length, digits) without zeros behind, a release flag, the identifiers."""
+    core = f"regexp_extract({v}, '^[vV]?([0-9]+([.][0-9]+)*)', 1)"
+    pre = f"regexp_extract({v}, '^[vV]?[0-9]+(?:[.][0-9]+)*-([0-9A-Za-z.-]+)', 1)"
+    bare = "regexp_replace(p, '^0+', '')"
     numbers = (
-        f"list_transform((string_split({core}, '.') || ['0', '0', '0', '0'])[1:4], lambda p: coalesce(try_cast(p AS bigint), 0))"
+        f"list_transform(string_split(regexp_replace({core}, '([.]0+)+$', ''), '.'), lambda p: {{'n': length({bare}), 'd': {bare}}})"
     )
     ids = (
-        f"array_to_string(list_transform(string_split({pre}, '.'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]+$') "
-        "THEN '0' || lpad(p, 20, '0') ELSE '1' || p END), ' ')"
+        f"list_transform(string_split({pre}, '.'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]+$') "
+        f"THEN {{'w': 0, 'n': length({bare}), 't': {bare}}} ELSE {{'w': 1, 'n': 0, 't': p}} END)"
     )
-    return f"{{'n': {numbers}, 'r': CASE WHEN {pre} = '' THEN 1 ELSE 0 END, 'p': CASE WHEN {pre} = '' THEN '' ELSE {ids} END}}"
+    return f"{{'n': {numbers}, 'r': CASE WHEN {pre} = '' THEN 1 ELSE 0 END, 'p': CASE WHEN {pre} = '' THEN [] ELSE {ids} END}}"
 
 
 O["vulnerable_dependencies"] = f"""WITH {FILES}, {MANIFESTS}, {DEPENDENCIES},
@@ -830,7 +839,7 @@ SELECT repo_id, 'dep-' || id AS id, {SCORE_SEVERITY} AS severity, id || ' in ' |
   coalesce(summary, 'Known vulnerability in ' || name || '@' || version) AS message,
   CASE WHEN fixed IS NULL THEN 'Check ' || id || ' for remediation.' ELSE 'Upgrade ' || name || ' to ' || fixed || ': npm install ' || name || '@' || fixed END AS fix
 FROM versions JOIN advisories ON package = name
-WHERE {version_order('version')} >= {version_order('introduced')} AND (fixed IS NULL OR {version_order('version')} < {version_order('fixed')})
+WHERE regexp_matches(version, '^[vV]?[0-9]') AND {version_order('version')} >= {version_order('introduced')} AND (fixed IS NULL OR {version_order('version')} < {version_order('fixed')})
 UNION ALL SELECT repo_id, 'deps-no-package-json', 'info', 'No dependencies found', 'No package.json or no dependencies listed.', NULL
 FROM (SELECT DISTINCT repo_id FROM files) WHERE repo_id NOT IN (SELECT repo_id FROM manifests WHERE deps IS NOT NULL)"""
 O["first_n_dependencies"] = f"""WITH {FILES}, {MANIFESTS},
@@ -1065,3 +1074,4 @@ SELECT c.ts, f.repo_id, f.id, f.severity, f.file, f.line, f.confidence FROM foun
 JOIN changes c ON c.repo_id = f.repo_id AND c.path = f.file
 JOIN routes r ON r.repo_id = f.repo_id AND r.path = f.file AND r.scanner = f.scanner
 WHERE f.severity IN ('critical', 'warning')"""
+O["stream_dedup"] = f"SELECT DISTINCT repo_id, file, line, id FROM ({O['scan_changes']})"

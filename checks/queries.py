@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +24,10 @@ from palisade.operators import (
 )
 from palisade.operators.file_scan import scan
 from palisade.plans import scanners as plans
+from palisade.rules import loading
 from palisade.rules.catalogue import attach_texts
 from palisade.rules.secret_rules import SECRET_RULES, TOKEN_VALUE
+from palisade.session import shared_folder
 from palisade.sources import files as src
 from palisade.sources.sinks import read_findings, write_findings
 from palisade.streaming import changes as ch
@@ -156,11 +157,35 @@ def filter_ignored(t: Tables) -> DataFrame:
 
 @query
 def filter_readable(t: Tables) -> DataFrame:
-    nul = F.concat(F.col("text"), F.chr(F.lit(0)))
+    # A NUL in place of every space of a third of the texts, and at the end of another third.
+    nul, text = F.chr(F.lit(0)), F.col("text")
     docs = t.table("documents").select(
-        "doc_id", F.when(F.col("doc_id") % 3 == 0, nul).otherwise(F.col("text")).alias("content")
+        "doc_id",
+        F.when(F.col("doc_id") % 3 == 0, F.replace(text, F.lit(" "), nul))
+        .when(F.col("doc_id") % 3 == 1, F.concat(text, nul))
+        .otherwise(text)
+        .alias("content"),
     )
-    return src.filter_readable(docs, max_bytes=20000).select("doc_id")
+    return src.filter_readable(docs).select("doc_id")
+
+
+OWN_RULES = (
+    ("warm", "Warm word", r"\b(hot|with)\b", "info"),
+    ("pair", "Word pair", r"\bthe\s+of\b", "warning"),
+    ("broken", "Broken pattern", "(unclosed", "critical"),
+    ("long-word", "Long word", r"\b[a-z]{14,}\b", "critical"),
+)
+
+
+@query
+def load_rules(t: Tables) -> DataFrame:
+    """Rules from a JSON list, one of them with a broken pattern, over the documents."""
+    folder = work_folder(t, "rules")
+    names = "id string, name string, pattern string, severity string"
+    listed = t.spark.createDataFrame(OWN_RULES, names).agg(F.to_json(F.collect_list(F.struct("*"))))
+    listed.write.text(folder)
+    rules, _ = loading.load_rules(t.spark, folder)
+    return loading.match_rules(t.table("documents").select("doc_id", "text"), rules, "text")
 
 
 @query
@@ -191,12 +216,7 @@ def explode_lines(t: Tables) -> DataFrame:
 
 def work_folder(t: Tables, name: str) -> str:
     """New folder beside the checkpoints, which every executor can reach."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not t.spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        return tempfile.mkdtemp(prefix=f"palisade-{name}-")
-    return f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"
+    return f"{shared_folder(t.spark)}/{name}-{os.urandom(6).hex()}"
 
 
 @query

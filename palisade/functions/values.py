@@ -95,32 +95,39 @@ def clean_version(spec: Column) -> Column:
     return F.split_part(F.regexp_replace(spec, r"^[\^~>=<]+", ""), F.lit(" "), F.lit(1))
 
 
+def _digits(text: Column) -> list[Column]:
+    """Digits as something that orders like the number, of any length."""
+    bare = F.regexp_replace(text, "^0+", "")
+    return [F.length(bare).alias("n"), bare.alias("digits")]
+
+
 def version_key(version: Column) -> Column:
     """Orderable key of a dotted version: numeric parts, then release over pre-release.
 
-    ``struct(array<bigint> of four, release flag, pre-release identifiers)``; numeric
-    identifiers are padded so that they compare as numbers and below words.
+    ``struct(parts, release flag, pre-release identifiers)``.  Parts are as many as the version has, without
+    zeros at the end; numbers of any length compare as numbers.  Numeric identifiers come before words, and
+    fewer identifiers before more.  NULL for what does not start with a number.
     """
     bare = F.regexp_replace(version, r"^[vV]", "")
     core = F.regexp_extract(bare, r"^(\d+(?:\.\d+)*)", 1)
     pre = F.regexp_extract(bare, r"^\d+(?:\.\d+)*-([0-9A-Za-z.-]+)", 1)
     parts = F.transform(
-        F.slice(
-            F.concat(F.split(core, r"\."), F.array(*[F.lit("0")] * 4)), 1, 4
-        ),
-        lambda p: F.coalesce(p.try_cast("bigint"), F.lit(0)),
+        F.split(F.regexp_replace(core, r"(\.0+)+$", ""), r"\."), lambda p: F.struct(*_digits(p))
     )
-    identifiers = F.array_join(
-        F.transform(
-            F.split(pre, r"\."),
-            lambda p: F.when(
-                p.rlike(r"^\d+\z"), F.concat(F.lit("0"), F.lpad(p, 20, "0"))
-            ).otherwise(F.concat(F.lit("1"), p)),
+    numeric = r"^[0-9]+\z"
+    identifiers = F.transform(
+        F.split(pre, r"\."),
+        lambda p: F.struct(
+            F.when(p.rlike(numeric), 0).otherwise(1).alias("word"),
+            F.when(p.rlike(numeric), _digits(p)[0]).otherwise(0).alias("n"),
+            F.when(p.rlike(numeric), _digits(p)[1]).otherwise(p).alias("text"),
         ),
-        " ",
     )
-    return F.struct(
-        parts.alias("parts"),
-        F.when(pre == "", 1).otherwise(0).alias("release"),
-        F.when(pre == "", F.lit("")).otherwise(identifiers).alias("pre"),
+    return F.when(
+        core != "",
+        F.struct(
+            parts.alias("parts"),
+            F.when(pre == "", 1).otherwise(0).alias("release"),
+            F.when(pre == "", F.slice(identifiers, 1, 0)).otherwise(identifiers).alias("pre"),
+        ),
     )

@@ -294,14 +294,26 @@ def scan(
     it nor make it a test, only its name counts.
     Output: repo_id, path, *keep, rule, line, detail, severity, confidence.
     """
+    rows = scan_rows(files.where(F.col("content") != ""), detectors, keep, single_files)
+    # inline_outer: an inner explode would make the optimizer add a size(hits) > 0 filter
+    # and evaluate all detectors twice.
+    return rows.select("repo_id", "path", *keep, F.inline_outer("_hits")).where(F.col("rule").isNotNull())
+
+
+def scan_rows(
+    files: DataFrame,
+    detectors: Sequence[Detector],
+    keep: Sequence[str] = (),
+    single_files: bool = False,
+) -> DataFrame:
+    """One row per file: repo_id, path, *keep and its hits as the array ``_hits``."""
     view = FileView()
     for detect in detectors:
         detect(view)
     hits = view.hits()
     path = F.col("path")
     staged = (
-        files.where(F.col("content") != "")
-        .withColumns(
+        files.withColumns(
             {
                 "_base": paths.base_name(path),
                 "_ext": paths.extension(path),
@@ -338,10 +350,4 @@ def scan(
             ),
         )
     )
-    # inline_outer: an inner explode would make the optimizer add a size(hits) > 0 filter
-    # and evaluate all detectors twice.
-    return (
-        staged.select("repo_id", "path", *keep, hits.alias("_hits"))
-        .select("repo_id", "path", *keep, F.inline_outer("_hits"))
-        .where(F.col("rule").isNotNull())
-    )
+    return staged.select("repo_id", "path", *keep, hits.alias("_hits"))

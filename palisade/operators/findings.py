@@ -224,25 +224,22 @@ def fix_prompt(
     )
     last = parts.groupBy("repo_id").agg((F.max("part") + 1).alias("parts"))
     head = F.lit("\n".join(texts.PROMPT_HEAD))
-    return (
-        repos.select("repo_id")
-        .join(last, "repo_id", "left")
-        .join(parts, "repo_id", "left")
-        .select(
-            "repo_id",
-            F.coalesce("part", F.lit(0)).alias("part"),
-            F.coalesce("parts", F.lit(1)).alias("parts"),
-            F.when(F.col("part").isNull(), F.lit(texts.PROMPT_CLEAN))
-            .otherwise(
-                F.concat_ws(
-                    "\n",
-                    F.when(F.col("part") == 0, head),
-                    F.col("body"),
-                    F.when(F.col("part") == F.col("parts") - 1, F.lit(texts.PROMPT_TAIL)),
-                )
-            )
-            .alias("text"),
-        )
+    # The parts are the left side, which the adaptive skew join can split; repositories without any follow.
+    last = cut_lineage(last)
+    full = parts.join(last, "repo_id").join(repos.select("repo_id"), "repo_id", "left_semi").select(
+        "repo_id",
+        "part",
+        "parts",
+        F.concat_ws(
+            "\n",
+            F.when(F.col("part") == 0, head),
+            F.col("body"),
+            F.when(F.col("part") == F.col("parts") - 1, F.lit(texts.PROMPT_TAIL)),
+        ).alias("text"),
+    )
+    clean = repos.select("repo_id").join(last, "repo_id", "left_anti")
+    return full.unionByName(
+        clean.select("repo_id", F.lit(0).alias("part"), F.lit(1).alias("parts"), F.lit(texts.PROMPT_CLEAN).alias("text"))
     )
 
 

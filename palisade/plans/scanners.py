@@ -18,11 +18,14 @@ from palisade.operators import (
     rules_files,
     webhooks,
 )
-from palisade.operators.file_scan import Detector, scan
+from palisade.operators.file_scan import Detector, scan, scan_rows
 from palisade.rules.catalogue import attach_texts
+from palisade.session import stored
 from palisade.sources.files import (
+    IGNORE_FILE,
     filter_ignored,
     filter_readable,
+    is_readable,
     parse_manifests,
     resolve_firebase_rules,
 )
@@ -99,12 +102,34 @@ def check_git(
     )
 
 
+CODE_DETECTORS = (*WALKED.values(), data_access.firebase_lines, rules_files.rules_files())
+# Root files whose contents repository-level checks read.
+NAMED_FILES = ("package.json", IGNORE_FILE, "firebase.json")
+
+
 def code_hits(files: DataFrame) -> DataFrame:
     """Hits of all file-level detectors in one narrow pass over the file contents."""
-    return scan(
-        filter_readable(files),
-        [*WALKED.values(), data_access.firebase_lines, rules_files.rules_files()],
+    return scan(filter_readable(files), CODE_DETECTORS)
+
+
+def survey(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hits, outline) of all files from one pass over their contents, written once.
+
+    The outline has a row per file, whether it is readable, and the contents of ``NAMED_FILES`` only; it
+    takes the place of ``files`` in every check that looks at repositories.
+    """
+    path, content = F.col("path"), F.col("content")
+    readable = F.coalesce(is_readable(content), F.lit(False))
+    rows = files.select(
+        "repo_id",
+        "path",
+        F.when(path.isin(*NAMED_FILES), content).alias("named"),
+        readable.alias("readable"),
+        F.when(readable, content).otherwise("").alias("content"),
     )
+    kept = stored(scan_rows(rows, CODE_DETECTORS, keep=["named", "readable"]))
+    hits = kept.select("repo_id", "path", F.inline("_hits"))
+    return hits, kept.select("repo_id", "path", F.col("named").alias("content"), "readable")
 
 
 def findings_from_hits(hits: DataFrame, files: DataFrame) -> DataFrame:
@@ -123,12 +148,8 @@ def findings_from_hits(hits: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def code_findings(files: DataFrame) -> DataFrame:
-    """Findings of all file-level scanners.
-
-    The contents are read once: the hits go through a reliable checkpoint, because the
-    three families read them separately.
-    """
-    return findings_from_hits(fo.cut_lineage(code_hits(files)), files)
+    """Findings of all file-level scanners; the contents are read once."""
+    return findings_from_hits(*survey(files))
 
 
 def all_findings(
@@ -137,34 +158,34 @@ def all_findings(
     commit_lines: DataFrame,
     advisories: DataFrame,
     git_repos: DataFrame | None = None,
-    hits: DataFrame | None = None,
+    surveyed: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Findings of the 13 audit scanners.
 
-    ``hits`` may be the saved result of ``code_hits(files)``; by default it is
-    computed once and written by a reliable checkpoint, because three branches read it.
+    ``surveyed`` may be the result of ``survey(files)``; by default it is computed, in one pass
+    over the contents.  All repository-level checks read its narrow outline.
     """
-    if hits is None:
-        hits = fo.cut_lineage(code_hits(files))
-    manifests = parse_manifests(files)
+    hits, outline = surveyed or survey(files)
+    manifests = parse_manifests(outline)
     return fo.union_scans(
         [
-            findings_from_hits(hits, files),
-            repository.env_ignore_gaps(files, tracked),
-            check_git(files, tracked, commit_lines, git_repos),
-            packages.supply_chain(files, manifests),
-            packages.vulnerable_dependencies(files, manifests, advisories),
+            findings_from_hits(hits, outline),
+            repository.env_ignore_gaps(outline, tracked),
+            check_git(outline, tracked, commit_lines, git_repos),
+            packages.supply_chain(outline, manifests),
+            packages.vulnerable_dependencies(outline, manifests, advisories),
         ]
     )
 
 
 def audit_report(findings: DataFrame, repos: DataFrame) -> DataFrame:
-    """Score, grade, counts and fix prompt; one row per repository and prompt part.
+    """Score, grade, counts and fix prompt; one row per repository.
 
-    Scores and prompts both read the findings, so they are checkpointed (or pass findings
-    read back from ``sinks.write_findings``).
+    ``fix_prompt`` is the first of ``parts`` parts, for almost every repository the whole list;
+    ``findings.fix_prompt`` has all parts as rows.  Scores and prompts both read the findings, so
+    they are written first.
     """
-    findings = fo.cut_lineage(findings)
+    findings = stored(findings)
     scores = fo.audit_score(findings, repos)
-    prompts = fo.fix_prompt(findings, repos)
-    return scores.join(prompts, "repo_id").withColumnRenamed("text", "fix_prompt")
+    first = fo.fix_prompt(findings, repos).where("part = 0")
+    return scores.join(first.drop("part"), "repo_id").withColumnRenamed("text", "fix_prompt")

@@ -16,10 +16,6 @@ from pyspark.sql import functions as F
 
 from palisade.functions import ignore, lexing, paths
 
-# Largest file read (bytes), and how many leading bytes must hold no NUL.
-MAX_FILE_BYTES = 5 * 1024 * 1024
-BINARY_PROBE_BYTES = 8192
-
 MANIFEST_SCHEMA = "dependencies map<string,string>, devDependencies map<string,string>"
 IGNORE_FILE = ".gitignore"
 
@@ -29,13 +25,13 @@ def read_files(
     root: str,
     repo_pattern: str = r"/repo=(\d+)/(.*)$",
     target: str | None = None,
-    max_bytes: int = MAX_FILE_BYTES,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Files below ``root`` as (repo_id, path, size, content binary).
 
     ``repo_pattern`` takes the repository number and the relative path out of the full
     path.  ``target`` limits the read to one file or folder below the root; a missing
-    target gives no rows.  Contents above ``max_bytes`` are not read (NULL).
+    target gives no rows.  Only if ``max_bytes`` is given, larger contents are not read (NULL).
 
     Spark's own file sources leave out names that start with a dot, which are exactly the
     ``.env`` and ignore files a scan needs.  So the entries right below the target are
@@ -73,7 +69,7 @@ def read_files(
     )
 
 
-def _read_below(entry: str, max_bytes: int, batch_bytes: int = 1 << 26) -> Iterator[pd.DataFrame]:
+def _read_below(entry: str, max_bytes: int | None, batch_bytes: int = 1 << 26) -> Iterator[pd.DataFrame]:
     """Files at or below one entry, in batches of bounded size."""
     filesystem, base = fs.FileSystem.from_uri(entry)
     name = base.rsplit("/", 1)[-1]
@@ -88,7 +84,7 @@ def _read_below(entry: str, max_bytes: int, batch_bytes: int = 1 << 26) -> Itera
         if item.type != fs.FileType.File or paths.SKIPPED_SEGMENT.search(f"{name}{below}"):
             continue
         content = None
-        if item.size <= max_bytes:
+        if max_bytes is None or item.size <= max_bytes:
             with filesystem.open_input_stream(item.path) as stream:
                 content = stream.read()
             held += item.size
@@ -100,15 +96,14 @@ def _read_below(entry: str, max_bytes: int, batch_bytes: int = 1 << 26) -> Itera
         yield pd.DataFrame(rows, columns=["full", "size", "content"])
 
 
-def is_readable(content: Column, max_bytes: int = MAX_FILE_BYTES) -> Column:
-    """Not too large, and no NUL among the first bytes (text or binary column)."""
+def is_readable(content: Column, max_bytes: int | None = None) -> Column:
+    """No NUL anywhere (text or binary column); with ``max_bytes`` also not larger than that."""
     data = content.cast("binary")
-    return (F.octet_length(data) <= max_bytes) & ~F.contains(
-        F.substring(data, 1, BINARY_PROBE_BYTES), F.lit(b"\x00")
-    )
+    text = ~F.contains(data, F.lit(b"\x00"))
+    return text if max_bytes is None else (F.octet_length(data) <= max_bytes) & text
 
 
-def filter_readable(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+def filter_readable(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     return files.where(is_readable(F.col("content"), max_bytes))
 
 
@@ -162,31 +157,45 @@ def explode_lines(files: DataFrame, text: str = "content") -> DataFrame:
 def parse_manifests(files: DataFrame) -> DataFrame:
     """Root package.json of each repository; maps are NULL where absent or invalid.
 
-    ``valid`` is false where the text is no JSON (or the JSON value null).
+    ``valid`` is false where the text is no JSON (or the JSON value null).  Of a key that is given
+    twice the last value counts, at the top and inside the maps.
     """
     text = F.col("content")
     parsed = F.from_json(text, MANIFEST_SCHEMA)
+    # One JSON value, repeated keys allowed: one element of a list, and the value of a field.
+    field = F.concat(F.lit('{"it": '), text, F.lit("}"))
+    options = {"columnNameOfCorruptRecord": "broken"}
+    whole = F.from_json(field, "it string, broken string", options)
+    single = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
     return (
         files.where((F.col("path") == "package.json") & is_readable(text))
-        .select(
-            "repo_id",
-            text.alias("raw"),
-            (
-                F.try_parse_json(text).isNotNull()
-                & (F.trim(text) != "null")
-            ).alias("valid"),
-            parsed.alias("_m"),
+        .select("repo_id", text.alias("raw"), whole.alias("_w"), single.alias("_single"), parsed.alias("_m"))
+        .withColumn(
+            "valid",
+            F.coalesce("_single", F.lit(False)) & F.col("_w.broken").isNull() & F.col("_w.it").isNotNull(),
         )
         .select(
             "repo_id",
             "raw",
             "valid",
-            F.when(F.col("valid"), F.col("_m.dependencies")).alias("dependencies"),
-            F.when(F.col("valid"), F.col("_m.devDependencies")).alias("devDependencies"),
+            *(F.when(F.col("valid"), _last_of_each(F.col(f"_m.{c}"))).alias(c) for c in ("dependencies", "devDependencies")),
         )
     )
 
 
+def _last_of_each(entries: Column) -> Column:
+    """Map with one entry per key, at the key's first place and with its last value."""
+    keys, values = F.map_keys(entries), F.map_values(entries)
+    last = F.transform(
+        F.array_distinct(keys),
+        lambda k: F.struct(
+            k.alias("key"),
+            F.get(values, F.array_size(keys) - F.array_position(F.reverse(keys), k).cast("int")).alias("value"),
+        ),
+    )
+    return F.map_from_entries(last)
+
+
 def select_rules_files(files: DataFrame) -> DataFrame:
     from palisade.operators.rules_files import is_rules_file
 
@@ -196,7 +205,7 @@ def select_rules_files(files: DataFrame) -> DataFrame:
 def resolve_firebase_rules(files: DataFrame) -> DataFrame:
     """(repo_id, path, priority): the one rules file that counts per repository.
 
-    Named by firebase.json (firestore, then database), else the first ``.rules`` file the
+    ``files`` may be an outline of the files, with their readability as a column.  Named by firebase.json (firestore, then database), else the first ``.rules`` file the
     walk finds, else one of three fixed root names even if ignored.
     Only keys are grouped; the partial ``min`` keeps one row per repository and task.
     """
@@ -218,7 +227,8 @@ def resolve_firebase_rules(files: DataFrame) -> DataFrame:
             )
         ).alias("c"),
     ).select("repo_id", "c.priority", F.regexp_replace("c.path", r"^\./", "").alias("path"))
-    rules = files.where(paths.extension(path) == ".rules").select("repo_id", "path", is_readable(content).alias("ok"))
+    readable = F.col("readable") if "readable" in files.columns else is_readable(content)
+    rules = files.where(paths.extension(path) == ".rules").select("repo_id", "path", readable.alias("ok"))
     walked = filter_ignored(
         rules.where(~paths.in_skipped_directory(path)).select("repo_id", "path"), files
     ).select("repo_id", F.lit(3).alias("priority"), "path")

@@ -122,7 +122,15 @@ def test_values(spark):
 
 def test_version_order(spark):
     ordered = ["0", "1.0.0-alpha", "1.0.0-alpha.1", "1.0.0-alpha.beta", "1.0.0-beta.2",
-               "1.0.0-beta.11", "1.0.0", "1.2", "1.10.0", "v2.0.0"]
+               "1.0.0-beta.11", "1.0.0", "1.2", "1.2.3.4.1", "1.2.3.4.2", "1.10.0", "v2.0.0",
+               "99999999999999999999999.0-1", "99999999999999999999999.0-100000000000000000000000", "100000000000000000000000"]
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(ordered)], "i int, v string")
     got = rows.orderBy(values.version_key(F.col("v"))).collect()
     assert [r.i for r in got] == list(range(len(ordered)))
+
+
+def test_equal_versions_and_what_is_none(spark):
+    same = spark.createDataFrame([("1",), ("1.0",), ("v1.0.0.0.0",), ("01.00",)], "v string")
+    assert same.select(values.version_key(F.col("v")).alias("k")).distinct().count() == 1
+    none = spark.createDataFrame([("workspace:*",), ("github:u/r",), ("file:../a",), ("",), ("x",)], "v string")
+    assert none.select(values.version_key(F.col("v")).alias("k")).where("k is not null").count() == 0

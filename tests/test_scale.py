@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from palisade.model import COMMIT_LINE_SCHEMA
 from palisade.operators import findings as fo
 from palisade.operators import packages
 from palisade.plans import scanners as plans
@@ -88,8 +89,39 @@ def test_no_cross_joins_without_broadcast(spark, make_files, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
+def test_advisory_intervals(spark):
+    """Each introduced event lasts to the next fixed one, in version order; what is no version is in no range."""
+    versions = ("1.0.0", "1.2.0", "1.9.5", "1.10.0", "2.1.0", "2.3.0", "workspace:*", "github:u/r", "file:../p", "0.1")
+    manifests = spark.createDataFrame(
+        [(i, True, "{}", {"p": v}) for i, v in enumerate(versions)],
+        "repo_id bigint, valid boolean, raw string, dependencies map<string,string>",
+    )
+    two = [(None, "2.3.0"), ("0", None), (None, "1.2.0"), ("2.0.0", None)]
+    ten = [("1.9.0", None), (None, "1.10.0")]
+    advisories = spark.createDataFrame(
+        [("A", "p", None, [], [([(two,)],)]), ("B", "p", None, [], [([(ten,)],)]), ("C", "p", None, [], [([([(None, "0.2")],)],)])],
+        packages.ADVISORY_SCHEMA,
+    )
+    rows = packages.vulnerable_dependencies(manifests.select("repo_id"), manifests, advisories).collect()
+    found = sorted((r.id[-1], versions[r.repo_id]) for r in rows)
+    assert found == [("A", "0.1"), ("A", "1.0.0"), ("A", "2.1.0"), ("B", "1.9.5"), ("C", "0.1")]
+
+
+def test_an_audit_reads_contents_once(spark, make_files, tmp_path):
+    make_files({"a.ts": "eval(req.body.x)", "package.json": "{}", ".gitignore": ".env"}).write.parquet(str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files"))
+    lines = spark.createDataFrame([], COMMIT_LINE_SCHEMA)
+    tracked = spark.createDataFrame([(0, "a.ts")], "repo_id bigint, path string")
+    advisories = spark.createDataFrame([], packages.ADVISORY_SCHEMA)
+    found = plans.all_findings(files, tracked, lines, advisories)
+    assert str(tmp_path / "files") not in plan_of(found)  # only the written survey is left to read
+    assert found.count() > 0
+    hits, _ = plans.survey(files)
+    assert [r.rule for r in hits.collect()] == ["injection-command-injection-eval"]
+
+
 def test_popular_package_is_spread(spark):
-    """A package in every manifest: results equal a plain join, keys are salted."""
+    """A package in every manifest: results equal a plain join."""
     manifests = spark.range(3000).select(
         F.col("id").alias("repo_id"),
         F.lit(True).alias("valid"),

@@ -57,6 +57,11 @@ def test_binary_files_are_dropped_and_text_decoded(spark, tree):
     assert texts["src/deep/a.b.tsx"] == "﻿x"
 
 
+def test_a_nul_anywhere_makes_a_file_unreadable(spark):
+    rows = spark.createDataFrame([(1, "a" * 100_000 + "\0b"), (2, "a" * 6_000_000)], "k int, content string")
+    assert [r.k for r in src.filter_readable(rows).collect()] == [2]
+
+
 def test_size_limit(spark):
     rows = spark.createDataFrame([(1, "é" * 10), (2, "a" * 10)], "k int, content string")
     assert [r.k for r in src.filter_readable(rows, max_bytes=15).collect()] == [2]
@@ -118,8 +123,14 @@ def test_manifests(make_files):
         {"package.json": "{broken"},
         {"package.json": "null"},
         {"sub/package.json": "{}"},
+        {"package.json": '{"name": "a", "dependencies": {"x": "0"}, "name": "b", "dependencies": {"y": "1", "z": "2", "y": "3"}}'},
+        {"package.json": '1, "b": 2'},
+        {"package.json": "{} x"},
+        {"package.json": ""},
     )
     rows = {r.repo_id: r for r in src.parse_manifests(files).collect()}
+    assert rows[4].valid and rows[4].dependencies == {"y": "3", "z": "2"}
+    assert not rows[5].valid and not rows[6].valid and not rows[7].valid
     assert rows[0].valid and rows[0].dependencies == {"a": "1"}
     assert not rows[1].valid and rows[1].dependencies is None
     assert not rows[2].valid
