@@ -21,7 +21,7 @@ WINDOW = 192
 #: Bytes of an embedding, filter widths, and filters of each width.
 EMBEDDING, WIDTHS, FILTERS = 8, (2, 3, 4), 12
 #: Bounds of the sample that the network is fitted on: documents, windows of each, and languages
-#: (the most frequent ones).  Documents are drawn by hash, with equal weight for each language.
+#: (the most frequent ones).  Documents are drawn by hash, as many expected of each language, twice as many at most.
 SAMPLE_DOCUMENTS, SAMPLE_WINDOWS, SAMPLE_LANGUAGES = 3000, 3, 200
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 UNDETERMINED = "und"
@@ -164,11 +164,12 @@ def sample(docs: DataFrame) -> tuple[list[str], list[str]]:
         )
         for i in range(SAMPLE_WINDOWS)
     ]
+    # The hash alone decides, so tasks send what is drawn and no more; the limit only bounds chance.
     rows = (
         labelled.select("lang", chance.alias("chance"), "doc_id", F.array(*places).alias("parts"))
-        .where("chance is not null")
+        .where(F.col("chance") < SAMPLE_DOCUMENTS / len(sizes))
         .orderBy("chance", "doc_id")
-        .limit(SAMPLE_DOCUMENTS)
+        .limit(2 * SAMPLE_DOCUMENTS)
         .collect()
     )
     pairs = [(x, row["lang"]) for row in rows for x in dict.fromkeys(row["parts"]) if x]

@@ -25,7 +25,7 @@ GRAMS, BUCKETS, SIZE = (3, 4, 5), 1 << 17, 8
 #: Words of a window.
 WINDOW = 2
 #: Bounds of the sample that the model is fitted on: documents of label 0 and of label 1, drawn by
-#: hash, and the characters of a document that can be drawn.
+#: hash (as many are expected, twice as many at most), and the characters of a document that can be drawn.
 SAMPLE_DOCUMENTS, SAMPLE_CHARACTERS = (1600, 800), 4000
 MEAN_EPOCHS, WINDOW_EPOCHS, RATE = 15, 45, 0.05
 THRESHOLD = 0.7
@@ -130,9 +130,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
 
     Held-out documents are never read.  The drawn ids are bounded, so they are broadcast to the texts.
     """
-    known = labels.where(~F.coalesce(held_out(), F.lit(True))).select("doc_id", "toxic")
+    known = labels.where(~F.coalesce(held_out(), F.lit(True)) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
+    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    place = F.xxhash64("doc_id", F.lit(7)).cast("double") / 2.0**64 + 0.5
+    # The hash alone decides, so tasks send what is drawn and no more; the limit only bounds chance.
     drawn = [
-        known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(most)
+        known.where((F.col("toxic") == label) & (place * sizes.get(label, 0) < most)).orderBy(place, "doc_id").limit(2 * most)
         for label, most in enumerate(SAMPLE_DOCUMENTS)
     ]
     texts = docs.where(F.length("text").between(1, SAMPLE_CHARACTERS)).select("doc_id", "text")
@@ -140,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         texts.join(F.broadcast(drawn[0].union(drawn[1])), "doc_id")
         .select("text", "toxic", "doc_id")
         .orderBy("doc_id", "text", "toxic")
-        .limit(2 * sum(SAMPLE_DOCUMENTS))
+        .limit(4 * sum(SAMPLE_DOCUMENTS))
         .collect()
     )
     if {row["toxic"] for row in rows} != {0, 1}:
