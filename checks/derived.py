@@ -409,6 +409,10 @@ FROM (SELECT doc_id, repo_id, path, content FROM numbered_files) f JOIN events e
 """
 
 
+# Places in a text, in tenths, at which its lexical state is compared; its last character is another.
+TENTHS = (0, 1, 3, 5, 7, 9)
+
+
 # Findings from events: every scanner and severity, with and without place, confidence
 # and advice.  Some users have events only of one kind, some repositories have none.
 FINDING_KINDS = (
@@ -437,6 +441,14 @@ FINDING_KINDS = (
 )
 
 
+# Most events belong to the repository of their user, which has many; those of every third event have one or
+# two findings, so that scores between the bounds occur.
+EVENT_REPO = (
+    "CASE WHEN event_id % 3 = 0 THEN 1000000 + cast(floor(event_id / 6) AS bigint) "
+    "ELSE cast(user_id AS bigint) END"
+)
+
+
 def findings_sql() -> str:
     n = len(FINDING_KINDS)
 
@@ -444,7 +456,7 @@ def findings_sql() -> str:
         return _case(f"event_id % {n}", [f"'{kind[i]}'" for kind in FINDING_KINDS])
 
     return f"""
-SELECT user_id AS repo_id, {pick(0)} AS scanner, {pick(1)} AS id, {pick(2)} AS severity,
+SELECT {EVENT_REPO} AS repo_id, {pick(0)} AS scanner, {pick(1)} AS id, {pick(2)} AS severity,
   {pick(3)} AS category, concat('Title ', cast(event_id % 9 AS string)) AS title,
   concat('Message ', cast(event_id AS string)) AS message,
   CASE WHEN event_id % 10 = 9 THEN NULL ELSE concat('src/f', cast(event_id % 23 AS string), '.ts') END AS file,

@@ -330,7 +330,7 @@ O["explode_lines"] = (
     "unnest(string_split(text, chr(10))) AS line FROM documents"
 )
 FINDINGS = f"findings AS MATERIALIZED ({derived.findings_sql()})"
-REPOS = "repos AS (SELECT DISTINCT user_id AS repo_id FROM events)"
+REPOS = f"repos AS (SELECT DISTINCT {derived.EVENT_REPO} AS repo_id FROM events)"
 O["write_findings_by_scanner"] = f"WITH {FINDINGS} SELECT repo_id, scanner, id, message FROM findings"
 
 # ── context functions ───────────────────────────────────────────────────────────
@@ -345,10 +345,10 @@ O["secret_random_part"] = (
     "SELECT doc_id, token, " + random_part("token") + " AS random_part, " + fake("token") + " AS fake FROM "
     "(SELECT doc_id, (['sk_live_', 'a-', 'key_test_', '', 'AB_'])[doc_id % 5 + 1] || substr(md5(text), 1, doc_id % 20 + 1) AS token FROM documents)"
 )
+TENTHS = ", ".join(f"cast(floor(len(content) * {k} / 10) AS bigint)" for k in derived.TENTHS)
 O["lex_state"] = (
     f"WITH {FILES} SELECT repo_id, path, pos, {state('left(content, pos)', 'substr(content, pos + 1, 1)')} AS state "
-    "FROM (SELECT repo_id, path, content, unnest([cast(floor(len(content) / 2) AS bigint), "
-    "cast(floor(len(content) / 20) AS bigint), 40]) AS pos FROM files)"
+    f"FROM (SELECT repo_id, path, content, unnest([{TENTHS}, len(content) - 1]) AS pos FROM files WHERE content <> '')"
 )
 # The state at a line start is folded from the file's first character, for every line.
 O["line_start_states"] = (
@@ -357,8 +357,8 @@ O["line_start_states"] = (
     + " END AS state FROM lines"
 )
 O["match_offset"] = (
-    "SELECT doc_id, cast(len(array_to_string(ls[1:n], chr(10))) + CASE WHEN n > 0 THEN 1 ELSE 0 END + 3 AS bigint) AS pos FROM "
-    "(SELECT doc_id, string_split(text, chr(10)) AS ls, cast(floor(len(string_split(text, chr(10))) / 2) AS bigint) AS n FROM documents)"
+    "SELECT doc_id, n AS i, cast(len(array_to_string(ls[1:n], chr(10))) + CASE WHEN n > 0 THEN 1 ELSE 0 END + 3 AS bigint) AS pos FROM "
+    "(SELECT doc_id, ls, unnest(range(len(ls))) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))"
 )
 MIDDLE = (
     "middle AS (SELECT *, left(line, cast(floor(len(line) / 2) AS bigint)) AS before FROM lines)"

@@ -105,7 +105,7 @@ class Tables:
         return self.sql(derived.findings_sql(), events=self.table("events"))
 
     def finding_repos(self) -> DataFrame:
-        return self.table("events").select(F.col("user_id").alias("repo_id")).distinct()
+        return self.table("events").select(F.expr(derived.EVENT_REPO).alias("repo_id")).distinct()
 
     def walked(self, detector) -> DataFrame:
         """Findings of one detector over walked files."""
@@ -279,13 +279,13 @@ def secret_random_part(t: Tables) -> DataFrame:
 
 @query
 def lex_state(t: Tables) -> DataFrame:
-    """State in the middle of every derived file and at its end."""
+    """State at places all over every derived file, and at its last character."""
     content = F.col("content")
-    offsets = F.array(
-        F.floor(F.length(content) / 2), F.floor(F.length(content) / 20), F.lit(40).cast("bigint")
-    )
+    size = F.length(content)
+    offsets = F.array(*(F.floor(size * k / 10) for k in derived.TENTHS), (size - 1).cast("bigint"))
     return (
         t.files()
+        .where(content != "")
         .select("repo_id", "path", "content", F.explode(offsets).alias("pos"))
         .select(
             "repo_id", "path", "pos",
@@ -303,10 +303,15 @@ def line_start_states(t: Tables) -> DataFrame:
 
 @query
 def match_offset(t: Tables) -> DataFrame:
+    """Offset of the third column of every line."""
     lines = lexing.lines_of(F.col("text"))
-    index = F.floor(F.size(lines) / 2).cast("int")
-    return t.table("documents").select(
-        "doc_id", lexing.match_offset(lines, index, F.lit(3)).cast("bigint").alias("pos")
+    numbered = t.table("documents").select(
+        "doc_id", lines.alias("lines"), F.explode(F.sequence(F.lit(0), F.size(lines) - 1)).alias("n")
+    )
+    return numbered.select(
+        "doc_id",
+        F.col("n").cast("bigint").alias("i"),
+        lexing.match_offset(F.col("lines"), F.col("n"), F.lit(3)).cast("bigint").alias("pos"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.operators import (
@@ -23,10 +23,12 @@ from palisade.rules.catalogue import attach_texts
 from palisade.session import stored
 from palisade.sources.files import (
     IGNORE_FILE,
+    decode_text,
     filter_ignored,
     filter_readable,
     is_readable,
     parse_manifests,
+    read_files,
     resolve_firebase_rules,
 )
 
@@ -112,7 +114,9 @@ def code_hits(files: DataFrame) -> DataFrame:
     return scan(filter_readable(files), CODE_DETECTORS)
 
 
-def survey(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def survey(
+    files: DataFrame, detectors: Sequence[Detector] = CODE_DETECTORS
+) -> tuple[DataFrame, DataFrame]:
     """(hits, outline) of all files from one pass over their contents, written once.
 
     The outline has a row per file, whether it is readable, and the contents of ``NAMED_FILES`` only; it
@@ -127,7 +131,7 @@ def survey(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         readable.alias("readable"),
         F.when(readable, content).otherwise("").alias("content"),
     )
-    kept = stored(scan_rows(rows, CODE_DETECTORS, keep=["named", "readable"]))
+    kept = stored(scan_rows(rows, detectors, keep=["named", "readable"]))
     hits = kept.select("repo_id", "path", F.inline("_hits"))
     return hits, kept.select("repo_id", "path", F.col("named").alias("content"), "readable")
 
@@ -178,6 +182,14 @@ def all_findings(
     )
 
 
+def tree_findings(
+    spark: SparkSession, root: str, tracked: DataFrame, commit_lines: DataFrame, advisories: DataFrame, **options
+) -> DataFrame:
+    """Findings of the audit scanners for the repositories in a directory tree (options: of ``read_files``)."""
+    files = decode_text(filter_readable(read_files(spark, root, **options))).drop("size")
+    return all_findings(files, tracked, commit_lines, advisories)
+
+
 def audit_report(findings: DataFrame, repos: DataFrame) -> DataFrame:
     """Score, grade, counts and fix prompt; one row per repository.
 

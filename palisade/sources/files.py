@@ -8,6 +8,7 @@ contents are never shuffled for it.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyarrow import fs
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.functions import ignore, lexing, paths
+from palisade.session import stored
 
 MANIFEST_SCHEMA = "dependencies map<string,string>, devDependencies map<string,string>"
 IGNORE_FILE = ".gitignore"
@@ -34,33 +36,28 @@ def read_files(
     target gives no rows.  Only if ``max_bytes`` is given, larger contents are not read (NULL).
 
     Spark's own file sources leave out names that start with a dot, which are exactly the
-    ``.env`` and ignore files a scan needs.  So the entries right below the target are
-    listed here and every task walks and reads its share of them.  Skipped directories
-    are not entered.  Tables of files (the usual input at scale) need no walk: read them
-    with ``spark.read``.
+    ``.env`` and ignore files a scan needs.  So the tree is walked level by level: the folders of a level are
+    dealt to all tasks, each lists its own, and what they find is written and is the next level.  A
+    task holds the listing of one folder, skipped directories are never listed, and one huge repository
+    spreads over all tasks.  Then the files are dealt anew and read.  Tables of files (the usual input
+    at scale) need no walk: read them with ``spark.read``.
     """
     start = root.rstrip("/") if target is None else f"{root.rstrip('/')}/{target}"
-    filesystem, base = fs.FileSystem.from_uri(start)
-    info = filesystem.get_file_info(base)
-    if info.type == fs.FileType.File:
-        entries = [start]
-    elif info.type == fs.FileType.Directory:
-        found = filesystem.get_file_info(fs.FileSelector(base))
-        entries = [f"{start}/{e.base_name}" for e in found]
-    else:
-        entries = []
+    level = spark.createDataFrame([(start, "")], "start string, below string")
+    found: list[DataFrame] = []
+    while True:
+        listed = stored(level.repartition("below").mapInPandas(_list_folders, LISTING_SCHEMA))
+        found.append(listed.where("not folder").select("full", "size"))
+        level = listed.where("folder").select(F.lit(start).alias("start"), "below")
+        if level.isEmpty():
+            break
+    files = reduce(DataFrame.union, found)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for entry in batch["entry"]:
-                yield from _read_below(entry, max_bytes)
-
-    tasks = max(1, min(len(entries), 4 * spark.sparkContext.defaultParallelism))
-    rows = (
-        spark.createDataFrame([(e,) for e in entries], "entry string")
-        .repartition(tasks)
-        .mapInPandas(read, "full string, size bigint, content binary")
-    )
+            yield from _read(batch, max_bytes)
+
+    rows = files.repartition("full").mapInPandas(read, "full string, size bigint, content binary")
     return rows.select(
         F.regexp_extract("full", repo_pattern, 1).try_cast("bigint").alias("repo_id"),
         F.regexp_extract("full", repo_pattern, 2).alias("path"),
@@ -69,26 +66,40 @@ def read_files(
     )
 
 
-def _read_below(entry: str, max_bytes: int | None, batch_bytes: int = 1 << 26) -> Iterator[pd.DataFrame]:
-    """Files at or below one entry, in batches of bounded size."""
-    filesystem, base = fs.FileSystem.from_uri(entry)
-    name = base.rsplit("/", 1)[-1]
-    info = filesystem.get_file_info(base)
-    if info.type == fs.FileType.File:
-        found = [info]
-    else:
-        found = filesystem.get_file_info(fs.FileSelector(base, recursive=True))
+LISTING_SCHEMA = "full string, below string, size bigint, folder boolean"
+
+
+def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entries of each folder ``start + below``; of a start that is a file, the file."""
+    for batch in batches:
+        for start, below in zip(batch["start"], batch["below"], strict=True):
+            filesystem, base = fs.FileSystem.from_uri(start)
+            here = f"{base}{below}"
+            info = filesystem.get_file_info(here)
+            rows = []
+            if info.type == fs.FileType.File:
+                if not paths.SKIPPED_SEGMENT.search(info.base_name):
+                    rows.append((start, below, info.size, False))
+            elif info.type == fs.FileType.Directory:
+                for entry in filesystem.get_file_info(fs.FileSelector(here)):
+                    name = f"{below}/{entry.base_name}"
+                    folder = entry.type == fs.FileType.Directory
+                    if not (folder and paths.SKIPPED_SEGMENT.search(f"{name[1:]}/")):
+                        rows.append((f"{start}{name}", name, entry.size, folder))
+            yield pd.DataFrame(rows, columns=["full", "below", "size", "folder"]).astype({"size": "Int64"})
+
+
+def _read(files: pd.DataFrame, max_bytes: int | None, batch_bytes: int = 1 << 26) -> Iterator[pd.DataFrame]:
+    """Contents of files, in batches of bounded size."""
     rows, held = [], 0
-    for item in found:
-        below = item.path[len(base) :]
-        if item.type != fs.FileType.File or paths.SKIPPED_SEGMENT.search(f"{name}{below}"):
-            continue
+    for full, size in zip(files["full"], files["size"], strict=True):
         content = None
-        if max_bytes is None or item.size <= max_bytes:
-            with filesystem.open_input_stream(item.path) as stream:
+        if max_bytes is None or size <= max_bytes:
+            filesystem, path = fs.FileSystem.from_uri(full)
+            with filesystem.open_input_stream(path) as stream:
                 content = stream.read()
-            held += item.size
-        rows.append((f"{entry}{below}", item.size, content))
+            held += size
+        rows.append((full, size, content))
         if held >= batch_bytes or len(rows) >= 1000:
             yield pd.DataFrame(rows, columns=["full", "size", "content"])
             rows, held = [], 0

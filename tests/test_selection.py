@@ -4,6 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from palisade.functions import paths
+from palisade.model import COMMIT_LINE_SCHEMA
+from palisade.operators import packages
+from palisade.plans import scanners as plans
 from palisade.sources import files as src
 
 
@@ -42,6 +45,14 @@ def test_reads_one_file_and_a_missing_target(spark, tree):
     assert src.read_files(spark, tree, target="repo=7/nope.ts").count() == 0
 
 
+def test_from_a_tree_to_findings(spark, tree):
+    lines = spark.createDataFrame([], COMMIT_LINE_SCHEMA)
+    tracked = spark.createDataFrame([(7, ".env")], "repo_id bigint, path string")
+    advisories = spark.createDataFrame([], packages.ADVISORY_SCHEMA)
+    found = {r.id for r in plans.tree_findings(spark, tree, tracked, lines, advisories).collect()}
+    assert {"git-env-tracked", "supply-chain-no-package-json"} <= found
+
+
 def test_extensions(spark, tree):
     rows = src.read_files(spark, tree)
     assert "notes.md" not in names(src.filter_extension(rows))
