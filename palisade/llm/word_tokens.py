@@ -5,15 +5,19 @@ from __future__ import annotations
 import os
 from array import array
 from functools import lru_cache
+from string import punctuation
 
 from palisade.llm import text as tx
 
 #: Words remembered by a Python worker; a full generation replaces the one before.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
+#: Letters below have one letter as lower case, and stay as they are when normalised.
+LATIN_END = "\u0130"
 
 
 class WordEncoder:
-    """Encoder for vocabularies that drop white space and never merge across it.
+    """Encoder for byte-level vocabularies that drop white space and case, and whose pattern takes runs of letters,
+    single digits, and runs of other characters.
 
     Then the ids of a text are those of its words in order.  Words are found by splitting at spaces and
     line ends; a word that still holds other white space is simply a longer one.
@@ -22,30 +26,69 @@ class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor share its cores
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.new: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        self.symbols: dict[str, bytes] = {"": b""}
+        letters = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelling = {
+            c: letters.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, ord(LATIN_END)) if chr(c).isalpha()
+        }
+
+    def _letters(self, word: str) -> bytes:
+        """Ids of a word of Latin letters in lower case: one match of the vocabulary's pattern, which its model splits."""
+        spelled = word if word.isascii() else word.translate(self.spelling)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.new) > CACHE_ENTRIES:
-            self.old, self.new = self.new, {"": b""}
-        known = words & self.old.keys()
-        self.new.update({w: self.old[w] for w in known})
-        missing = list(words - known)
-        found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        self.new.update({w: array("I", e.ids).tobytes() for w, e in zip(missing, found, strict=True)})
+        """Remembers words.  Most are Latin letters with some ASCII symbols behind: the pattern never matches letters
+        together with symbols behind them, unless an apostrophe and letters follow, so both are encoded alone."""
+        new, old, symbols, rest = self.new, self.old, self.symbols, []
+        for word in words:
+            ids = old.get(word)
+            if ids is None:
+                core = word.rstrip(punctuation)
+                if not core.isalpha() or (not core.isascii() and max(core) >= LATIN_END):
+                    rest.append(word)
+                    continue
+                behind = word[len(core) :]
+                if behind not in symbols:
+                    if len(symbols) > CACHE_ENTRIES:
+                        symbols.clear()
+                    symbols[behind] = array("I", self.tokenizer.encode(behind, add_special_tokens=False).ids).tobytes()
+                ids = self._letters(core.lower()) + symbols[behind] if behind else self._letters(core.lower())
+            new[word] = ids
+        found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        new.update({w: array("I", e.ids).tobytes() for w, e in zip(rest, found, strict=True)})
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit integers of this machine; null has none."""
-        split = [(x or "").replace("\n", " ").split(" ") for x in texts]
-        missing = {w for words in split for w in words if w not in self.new}
-        if missing:
-            if len(self.new) > CACHE_ENTRIES:
-                missing = {w for words in split for w in words}
-            self._learn(missing)
-        return [b"".join(map(self.new.__getitem__, words)) for words in split]
+        if len(self.new) > CACHE_ENTRIES:
+            self.old, self.new = self.new, {"": b""}
+        get, late, found = self.new.get, {}, []
+        for text in texts:
+            words = _lower(text or "").replace("\n", " ").split(" ")
+            ids = list(map(get, words))
+            if None in ids:
+                late[len(found)] = words
+            found.append(ids)
+        if late:
+            self._learn({w for i, words in late.items() for w, x in zip(words, found[i], strict=True) if x is None})
+            for i, words in late.items():
+                found[i] = map(get, words)
+        return [b"".join(ids) for ids in found]
+
+
+def _lower(text: str) -> str:
+    """Text of Latin-1 letters in lower case, any other text as it is."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
 
 @lru_cache(maxsize=2)
