@@ -8,6 +8,7 @@ each stage with a brute-force version.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -28,23 +29,28 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text")
 
 
+def _aside(docs: DataFrame, *results: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with columns named like an operator's results renamed, and what gives them back their names."""
+    names = {c: free_name(docs, f"{c}_kept") for c in docs.columns if c in results}
+    back = {v: k for k, v in names.items()}
+    return docs.withColumnsRenamed(names), lambda kept: kept.withColumnsRenamed(back).select(docs.columns)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under the threshold; null and empty texts score the bias and stay."""
     model = toxicity.fit(_texts(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    flag = free_name(docs, "flag")
-    names = {c: free_name(docs, f"{c}_kept") for c in docs.columns if c in ("score", "predicted")}
-    scored = toxicity.score(docs.withColumnsRenamed(names), model)
-    kept = scored.where("predicted = 0").withColumnRenamed("predicted", flag).drop("score", flag)
-    return kept.withColumnsRenamed({v: k for k, v in names.items()}).select(docs.columns)
+    aside, back = _aside(docs, "score", "predicted")
+    kept = toxicity.score(aside, model).where("predicted = 0").drop("score", "predicted")
+    return back(kept)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a recognised language: those without a letter, and those of which no language has
     ``LEAST_LANGUAGE_SCORE``, go."""
-    names = {c: free_name(docs, f"{c}_kept") for c in docs.columns if c in ("score", "lang_pred")}
-    found = language_id.predict(docs.withColumnsRenamed(names), language_id.fit(docs))
+    aside, back = _aside(docs, "score", "lang_pred")
+    found = language_id.predict(aside, language_id.fit(docs))
     kept = found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return kept.drop("score", "lang_pred").withColumnsRenamed({v: k for k, v in names.items()}).select(docs.columns)
+    return back(kept.drop("score", "lang_pred"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +64,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier document holds.  A text that loses nothing is unchanged;
     one that loses all its words goes; any other is its kept words, joined by one space, with its new length."""
-    names = {c: free_name(docs, f"{c}_kept") for c in docs.columns if c in ("n_words", "n_removed", "kept_text")}
-    cut = remove_repeats(docs.withColumnsRenamed(names))
+    aside, back = _aside(docs, "n_words", "n_removed", "kept_text")
+    cut = remove_repeats(aside)
     lost = F.col("n_removed") > 0
     cut = cut.where(~lost | (F.col("n_removed") < F.col("n_words"))).withColumn(
         "text", F.when(lost, F.col("kept_text")).otherwise(F.col("text"))
@@ -67,8 +73,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         cut = cut.withColumn("n_chars", F.when(lost, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    kept = cut.drop("n_words", "n_removed", "kept_text")
-    return kept.withColumnsRenamed({v: k for k, v in names.items()}).select(docs.columns)
+    return back(cut.drop("n_words", "n_removed", "kept_text"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
