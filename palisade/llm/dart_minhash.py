@@ -8,9 +8,10 @@ Jaccard similarity.  About K·ln K darts are thrown per set, however many elemen
 
 Signatures are joined in bands.  A shared band only proposes; exact similarity of the shingle sets
 decides.  Equal sets are folded first.  Buckets are never paired out: each bucket's members meet its
-leader, then delegates of the classes still apart in the bucket, and at last all members of classes
-that are still apart.  In the first two rounds only the most promising partner (of each other class) is
-tested, the last round tests all that are left.  Pairs inside one class need no test, as their class is known.
+leader, then delegates of the classes still apart in the bucket, and at last, in blocks of bounded size, all
+members of classes that are still apart.  In the first two rounds only the most promising partner (of each
+other class) is tested, the last round tests all that are left.  Pairs inside one class need no test, as their
+class is known.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ BANDS, ROWS = 27, 6
 DEVIATIONS = 5
 #: Delegates of a class in a bucket, before the round in which all members meet.
 DELEGATES = 4
+#: Members of a bucket that are compared at once in the last round.
+BLOCK = 128
 
 _STEP, _LAYER, _COORDINATE, _HEIGHT = (
     np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
@@ -130,6 +133,10 @@ def _blobs(owner: np.ndarray, values: np.ndarray, rows: int) -> list[bytes]:
     return [data[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
+def _table(blobs: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs.to_pylist()), np.uint8).reshape(len(blobs), width)
+
+
 def _multiset(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Element i of weight n as n elements, so that weighted similarity is that of plain sets."""
     times = weights.astype(np.int64)
@@ -170,6 +177,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
                 bands = tx.mix(bands + signed.reshape(rows, BANDS, ROWS)[:, :, i] + _STEP)
             bands = tx.mix(bands + np.arange(BANDS, dtype=np.uint64) * _LAYER).view(np.int64)
             marks = (tx.mix(signed) & np.uint64(255)).astype(np.uint8)
+            shared = (bands.view(np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             some = sizes > 0
             yield pa.RecordBatch.from_arrays(
                 [
@@ -178,7 +186,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
                     pa.array(digests[1], mask=~some),
                     pa.array(sizes),
                     pa.array(list(bands), pa.list_(pa.int64())),
-                    pa.array([x.tobytes() for x in marks], pa.binary()),
+                    # Per coordinate a byte, then per band four bytes of its hash.
+                    pa.array([x.tobytes() + y.tobytes() for x, y in zip(marks, shared, strict=True)], pa.binary()),
                 ],
                 names=["doc_id", "digest", "digest_2", "n_shingles", "bands", "marks"],
             )
@@ -203,8 +212,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
             low, high = (np.asarray(part[c]) for c in ("n_a", "n_b"))
             near = np.minimum(low, high) >= similarity * np.maximum(low, high)
             left, right = (
-                np.frombuffer(b"".join(part[c].to_pylist()), np.uint8).reshape(batch.num_rows, size)
-                for c in ("marks_a", "marks_b")
+                _table(part[c], size + 4 * BANDS)[:, :size] for c in ("marks_a", "marks_b")
             )
             agree = (left == right).sum(1)
             at = np.flatnonzero(near & (agree >= slack * size))
@@ -213,6 +221,31 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
                 [*(tx.pick(part[c], at) for c in names), pa.array(agree[at])], names=[*names, "agree"]
             )
 
+    def crossing(batches):
+        """Promising pairs of different classes in a block, or in two blocks, of a bucket.  A pair is named in the
+        first band that it shares; there its classes are apart as well."""
+        for rows in tx.groups(batches, 3):
+            part = {name: rows.column(i) for i, name in enumerate(rows.schema.names)}
+            bucket, low, high = (part[c][0].as_py() for c in ("bucket", "low", "high"))
+            block, n = np.asarray(part["block"]), np.asarray(part["n"])
+            ids, of = np.asarray(part["doc_id"]), np.asarray(part["class"])
+            table = _table(part["marks"], size + 4 * BANDS)
+            marks, shared = table[:, :size], np.ascontiguousarray(table[:, size:]).view(np.uint32)
+            left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+            apart = of[left][:, None] != of[right]
+            if low == high:
+                apart = np.triu(apart, 1)
+            small, large = np.minimum(n[left][:, None], n[right]), np.maximum(n[left][:, None], n[right])
+            a, b = np.nonzero(apart & (small >= similarity * large))
+            a, b = left[a], right[b]
+            near = (marks[a] == marks[b]).sum(1) >= slack * size
+            a, b = a[near], b[near]
+            first = (shared[a] == shared[b]).argmax(1)
+            named = shared[a, first] == np.uint32(bucket & 0xFFFFFFFF)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[a[named]]), pa.array(ids[b[named]])], names=["a", "b"]
+            )
+
     def exact(batches):
         for batch in batches:
             part = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
@@ -279,7 +312,19 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
         )
         now = stored(now.join(stored(apart), "bucket"))
         if last:
-            pairs = candidates(now, now, "class_a != class_b and doc_id_a < doc_id_b")
+            blocks = stored(now.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
+            dealt = now.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
+            met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+            keys = ("bucket", "low", "high")
+            pairs = (
+                met.select(
+                    "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+                    "block", F.col("doc_id").cast("long"), "n", "marks", F.col("class").cast("long"),
+                )
+                .repartition(*keys)
+                .sortWithinPartitions(*keys)
+                .mapInArrow(crossing, "a long, b long")
+            )
         else:
             slot = now.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(DELEGATES)))
             pairs = best(candidates(now, delegates(slot, "class", "slot"), "class_a != class_b"), "a", "class_b")

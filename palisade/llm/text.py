@@ -120,9 +120,12 @@ def _bounds(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def words(texts: pa.Array) -> Words:
     """Words of all texts of an array; null is a text without words."""
     bounds, data = _bounds(texts)
-    data = data[bounds[0] : bounds[-1]]
-    bounds = bounds - bounds[0]
-    inside = ~_SPACE[data]
+    return words_between(data[bounds[0] : bounds[-1]], bounds - bounds[0], _SPACE)
+
+
+def words_between(data: np.ndarray, bounds: np.ndarray, cuts: np.ndarray) -> Words:
+    """Runs of bytes that are not ``cuts`` (a flag per byte value), in texts data[bounds[i]:bounds[i + 1]]."""
+    inside = ~cuts[data]
     first = np.zeros(len(data) + 1, bool)
     first[bounds] = True
     before = np.zeros(len(data), bool)
@@ -153,3 +156,22 @@ def string_column(batch: pa.RecordBatch, name: str) -> pa.Array:
 def pick(values: pa.Array, at: np.ndarray) -> pa.Array:
     """Values at the given rows."""
     return values.take(pa.array(at, pa.int64()))
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Rows of each run of equal values in the first ``keys`` columns (longs) of sorted batches."""
+    rest = None
+    for batch in batches:
+        rows = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        if not rows.num_rows:
+            continue
+        values = [np.asarray(rows.column(i)) for i in range(keys)]
+        new = np.zeros(rows.num_rows - 1, bool)
+        for x in values:
+            new |= x[1:] != x[:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist()]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield rows.slice(a, b - a)
+        rest = rows.slice(cuts[-1])
+    if rest is not None:
+        yield rest

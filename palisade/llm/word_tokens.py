@@ -7,12 +7,19 @@ from array import array
 from functools import lru_cache
 from string import punctuation
 
+import numpy as np
+import pyarrow as pa
+
 from palisade.llm import text as tx
+from palisade.llm.language_id import folded
 
 #: Words remembered by a Python worker; a full generation replaces the one before.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 250_000
 #: Letters below have one letter as lower case, and stay as they are when normalised.
 LATIN_END = "\u0130"
+#: Bytes that part words: space and line end.
+_CUTS = np.zeros(256, bool)
+_CUTS[[0x20, 0x0A]] = True
 
 
 class WordEncoder:
@@ -30,9 +37,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.new: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-        self.symbols: dict[str, bytes] = {"": b""}
+        self.new: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
+        self.symbols: dict[str, bytes] = {}
         letters = ByteLevel(add_prefix_space=False, use_regex=False)
         self.spelling = {
             c: letters.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, ord(LATIN_END)) if chr(c).isalpha()
@@ -43,52 +50,68 @@ class WordEncoder:
         spelled = word if word.isascii() else word.translate(self.spelling)
         return array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        """Remembers words.  Most are Latin letters with some ASCII symbols behind: the pattern never matches letters
-        together with symbols behind them, unless an apostrophe and letters follow, so both are encoded alone."""
-        new, old, symbols, rest = self.new, self.old, self.symbols, []
-        for word in words:
-            ids = old.get(word)
-            if ids is None:
-                core = word.rstrip(punctuation)
-                if not core.isalpha() or (not core.isascii() and max(core) >= LATIN_END):
-                    rest.append(word)
-                    continue
-                behind = word[len(core) :]
-                if behind not in symbols:
-                    if len(symbols) > CACHE_ENTRIES:
-                        symbols.clear()
-                    symbols[behind] = array("I", self.tokenizer.encode(behind, add_special_tokens=False).ids).tobytes()
-                ids = self._letters(core.lower()) + symbols[behind] if behind else self._letters(core.lower())
-            new[word] = ids
-        found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-        new.update({w: array("I", e.ids).tobytes() for w, e in zip(rest, found, strict=True)})
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as unsigned 32-bit integers of this machine; null has none."""
+    def _encode(self, word: str) -> bytes | None:
+        """Ids of a word of Latin letters with some ASCII symbols behind, as most are; None for any other.  The pattern never
+        matches letters together with symbols behind them, unless an apostrophe and letters follow: both are encoded alone."""
+        core = word.rstrip(punctuation)
+        if not core.isalpha() or (not core.isascii() and max(core) >= LATIN_END):
+            return None
+        ids = self._letters(core.lower())
+        if len(core) == len(word):
+            return ids
+        behind = word[len(core) :]
+        known = self.symbols.get(behind)
+        if known is None:
+            if len(self.symbols) > CACHE_ENTRIES:
+                self.symbols.clear()
+            known = array("I", self.tokenizer.encode(behind, add_special_tokens=False).ids).tobytes()
+            self.symbols[behind] = known
+        return ids + known
+
+    def _ids_of(self, keys: list[int], word_at) -> list[bytes]:
+        """Ids of the words with the given hashes; ``word_at(i)`` is the i-th of these words."""
         if len(self.new) > CACHE_ENTRIES:
-            self.old, self.new = self.new, {"": b""}
-        get, late, found = self.new.get, {}, []
-        for text in texts:
-            words = _lower(text or "").replace("\n", " ").split(" ")
-            ids = list(map(get, words))
-            if None in ids:
-                late[len(found)] = words
-            found.append(ids)
-        if late:
-            self._learn({w for i, words in late.items() for w, x in zip(words, found[i], strict=True) if x is None})
-            for i, words in late.items():
-                found[i] = map(get, words)
-        return [b"".join(ids) for ids in found]
-
-
-def _lower(text: str) -> str:
-    """Text of Latin-1 letters in lower case, any other text as it is."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return text
-    return text.lower()
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        found = list(map(new.get, keys))
+        rest = {}
+        for i, ids in enumerate(found):
+            if ids is None:
+                ids = old.get(keys[i])
+                if ids is None:
+                    word = word_at(i)
+                    ids = self._encode(word)
+                    if ids is None:
+                        rest[i] = word
+                        continue
+                found[i] = new[keys[i]] = ids
+        encoded = self.tokenizer.encode_batch_fast(list(rest.values()), add_special_tokens=False)
+        for i, e in zip(rest, encoded, strict=True):
+            found[i] = new[keys[i]] = array("I", e.ids).tobytes()
+        return found
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """Ids of each text as unsigned 32-bit integers of this machine; null has none.
+
+        Words are told apart by a 64-bit hash of their bytes in lower case, found for all of them at once; only
+        distinct words are looked up, and only unknown ones become strings."""
+        array_of = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        bounds, data = tx._bounds(array_of)
+        data = folded(data[bounds[0] : bounds[-1]])
+        words = tx.words_between(data, bounds - bounds[0], _CUTS)
+        distinct, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        starts, ends = words.starts[first].tolist(), words.ends[first].tolist()
+        raw = data.tobytes()
+        blobs = self._ids_of(distinct.tolist(), lambda i: raw[starts[i] : ends[i]].decode())
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        flat = np.frombuffer(b"".join(blobs), np.uint32)
+        begins = np.cumsum(sizes) - sizes
+        counts = sizes[which]
+        behind = np.cumsum(counts)
+        ids = flat[np.repeat(begins[which] - behind + counts, counts) + np.arange(behind[-1] if len(behind) else 0)]
+        cuts = (np.concatenate([[0], behind])[words.offsets] * 4).tolist()
+        out = ids.tobytes()
+        return [out[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -101,5 +124,5 @@ def encoded_batches(batches, path: str):
     coder = encoder(path)
     for batch in batches:
         texts = tx.string_column(batch, "text")
-        for a, b in tx.chunks(texts):
-            yield batch.slice(a, b - a), coder.encode(texts.slice(a, b - a).to_pylist())
+        for a, b in tx.chunks(texts, 2 * tx.CHUNK_BYTES):
+            yield batch.slice(a, b - a), coder.encode(texts.slice(a, b - a))
