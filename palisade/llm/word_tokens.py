@@ -14,7 +14,7 @@ from palisade.llm import text as tx
 from palisade.llm.language_id import folded
 
 #: Words remembered by a Python worker; a full generation replaces the one before.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 160_000
 #: Letters below have one letter as lower case, and stay as they are when normalised.
 LATIN_END = "\u0130"
 #: Bytes that part words: space and line end.
@@ -124,5 +124,5 @@ def encoded_batches(batches, path: str):
     coder = encoder(path)
     for batch in batches:
         texts = tx.string_column(batch, "text")
-        for a, b in tx.chunks(texts, 2 * tx.CHUNK_BYTES):
+        for a, b in tx.chunks(texts, tx.CHUNK_BYTES * 3 // 2):
             yield batch.slice(a, b - a), coder.encode(texts.slice(a, b - a))
