@@ -1,30 +1,29 @@
-"""Embedding near-duplicates by NN-descent.
-
-Equal directions are folded to one node.  A forest of random projections gives each node its first
-neighbours (rows sorted along a projection, cut into blocks).  Then the graph is refined: at each node
-its neighbours, and those it is a neighbour of, are compared with each other.  A list keeps its nearest
-``NEIGHBOURS``, and more where all of these are links (saturated).  A sample is audited against brute force, and
-refinement goes on until the audit is content.  Threshold edges give components; inside a component,
-which a list cannot hold whole, links are counted by comparing its members in blocks of bounded size.
+"""Embedding near-duplicates by random projection trees whose codes are compared in full.
+
+Equal directions are folded to one node.  A tree gives each node a code, the signs of its projections; all
+nodes of one code are compared with each other, in blocks.  The number of trees follows from the number of
+nodes and the threshold, so that a link at the threshold shares no code with probability ``MISS`` at most,
+whatever the data; tables up to some ten thousand nodes are compared in full.  Of the links of a block a spanning forest is kept, which has the
+same components and no more rows than nodes; inside a component links are counted by comparing its members
+in blocks of bounded size.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.components import components
 from palisade.session import stored
 
-NEIGHBOURS, MOST_NEIGHBOURS = 8, 32
-TREES, TREE_BITS, LEAF = 5, 14, 128
-#: Partners that are compared with each other at once; a node with more has several such groups.
-PARTNERS = 32
-#: Nodes of an audit (the smallest by hash), the recall that contents it, and the most rounds of refinement.
-AUDIT, RECALL, MOST_ROUNDS = 256, 0.995, 4
+#: Nodes that a code holds on average, and nodes of a code that are compared at once (a larger code has more blocks).
+LEAF, MEET = 2048, 4096
+#: Largest chance that a link at the threshold, and no more, shares no code.
+MISS = 1e-4
 #: Members of a component that are compared at once.
 BLOCK = 128
 
@@ -33,24 +32,6 @@ def _matrix(blobs: pa.Array, size: int) -> np.ndarray:
     return np.frombuffer(b"".join(blobs.to_pylist()), np.float64).reshape(-1, size)
 
 
-def _edges(a, b, cos) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(cos, pa.float64())], names=["a", "b", "cos"]
-    )
-
-
-def _nearest(ids: np.ndarray, unit: np.ndarray, most: int) -> pa.RecordBatch:
-    """Each row's ``most`` nearest among the given rows."""
-    cos = unit @ unit.T
-    np.fill_diagonal(cos, -2)
-    most = min(most, len(ids) - 1)
-    if most < 1:
-        return _edges([], [], [])
-    at = np.argpartition(-cos, most - 1, axis=1)[:, :most]
-    row = np.repeat(np.arange(len(ids)), most)
-    return _edges(ids[row], ids[at.ravel()], cos[row, at.ravel()])
-
-
 def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, members): distinct unit vectors ``node, first_id, copies, size, unit``, and ``vec_id, key`` of all rows."""
 
@@ -80,148 +61,104 @@ def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stored(numbered), found.select("vec_id", "key")
 
 
-def _planted(nodes: DataFrame, trees: int, seed: int) -> DataFrame:
-    """First neighbours: per tree, nodes sorted by the signs of projections and cut into blocks."""
+def forest_shape(nodes: int, threshold: float) -> tuple[int, int]:
+    """(bits of a code, trees) for so many nodes; no bits, so one code for all, where trees compare no less."""
+    bits = max(0, round(math.log2(max(1, nodes) / LEAF)))
+    agree = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    shared = min(agree**bits, 1 - 1e-9)
+    trees = math.log(MISS) / math.log1p(-shared) if shared > 1e-15 else math.inf
+    return (bits, math.ceil(trees)) if trees < 2**bits else (0, 1)
+
+
+def _codes(nodes: DataFrame, bits: int, trees: range, seed: int) -> DataFrame:
+    """``tree, size, code, node``: the signs of each node's projections."""
 
     def project(batches):
         for batch in batches:
-            for size in np.unique(np.asarray(batch.column(1))).tolist():
-                at = np.flatnonzero(np.asarray(batch.column(1)) == size)
+            sizes = np.asarray(batch.column(1))
+            for size in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == size)
                 unit = _matrix(batch.column(2).take(pa.array(at)), size)
-                for tree in range(trees):
-                    plane = np.random.default_rng((seed, tree, size)).normal(size=(size, TREE_BITS + 1))
-                    side = unit @ plane
-                    code = (side[:, :-1] > 0) @ (1 << np.arange(TREE_BITS - 1, -1, -1))
+                for tree in trees:
+                    plane = np.random.default_rng((seed, tree, size)).normal(size=(size, bits))
+                    code = (unit @ plane > 0) @ (1 << np.arange(bits, dtype=np.int64))
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.full(len(at), tree), pa.int64()),
                             pa.array(np.full(len(at), size), pa.int64()),
                             pa.array(code.astype(np.int64)),
-                            pa.array(side[:, -1]),
                             batch.column(0).take(pa.array(at)),
-                            batch.column(2).take(pa.array(at)),
                         ],
-                        names=["tree", "size", "code", "along", "node", "unit"],
+                        names=["tree", "size", "code", "node"],
                     )
 
-    def leaves(batches):
-        rest = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks().to_batches()
-            if not rows:
-                continue
-            rows, done = rows[0], 0
-            kind = np.asarray(rows.column(0)) * (1 << 32) + np.asarray(rows.column(1))
-            cuts = np.append(np.flatnonzero(np.diff(kind)) + 1, len(kind))
-            start = 0
-            for end in cuts.tolist():
-                whole = range(start, end, LEAF) if end < len(kind) else range(start, end - LEAF + 1, LEAF)
-                for i in whole:
-                    part = rows.slice(i, min(LEAF, end - i))
-                    yield _leaf(part)
-                    done = i + part.num_rows
-                start = end
-            rest = rows.slice(done)
-        if rest is not None and rest.num_rows:
-            yield _leaf(rest)
-
-    def _leaf(rows):
-        unit = _matrix(rows.column(3), int(rows.column(1)[0].as_py()))
-        return _nearest(np.asarray(rows.column(2)), unit, NEIGHBOURS)
-
-    placed = nodes.select("node", F.col("size").cast("long"), "unit").mapInArrow(
-        project, "tree long, size long, code long, along double, node long, unit binary"
-    )
-    order = ("tree", "size", "code", "along", "node")
-    sorted_rows = stored(placed).repartitionByRange(*order).sortWithinPartitions(*order).select("tree", "size", "node", "unit")
-    return sorted_rows.mapInArrow(leaves, "a long, b long, cos double")
+    placed = nodes.select("node", F.col("size").cast("long"), "unit")
+    return placed.mapInArrow(project, "tree long, size long, code long, node long")
 
 
-def _lists(edges: DataFrame, threshold: float) -> DataFrame:
-    """``node, nearest``: the nearest of each node, more of them where all are links."""
-    best = F.sort_array(F.collect_set(F.struct("cos", F.col("b").alias("other"))), asc=False)
-    linked = F.size(F.filter("all", lambda x: x["cos"] >= threshold))
-    most = F.least(F.greatest(F.lit(NEIGHBOURS), linked + NEIGHBOURS // 2), F.lit(MOST_NEIGHBOURS))
-    return (
-        edges.groupBy(F.col("a").alias("node"))
-        .agg(best.alias("all"))
-        .select("node", F.slice("all", F.lit(1), most).alias("nearest"))
+def _dealt(members: DataFrame, key: tuple[str, ...], most: int) -> DataFrame:
+    """``members`` with ``block, low, high``: the members of a key fall into blocks, once for each pair of blocks."""
+    sizes = members.groupBy(*key).agg(F.ceil(F.count("*") / most).alias("blocks"))
+    dealt = members.join(stored(sizes), list(key)).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        *members.columns, "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
     )
 
 
-def _refined(lists: DataFrame, nodes: DataFrame, number: int) -> DataFrame:
-    """Edges from comparing, at each node, its neighbours and those it is a neighbour of."""
-    forth = lists.select("node", F.explode("nearest.other").alias("other"))
-    both = stored(forth.union(forth.select("other", "node")).distinct())
-    groups = both.groupBy("node").agg(F.ceil(F.count("*") / PARTNERS).alias("groups"))
-    # The partners of a node that very many have as neighbour fall into groups of their own each round.
-    spread = both.join(stored(groups), "node").select(
-        "node", F.pmod(F.xxhash64("other", F.lit(number)), "groups").alias("part"), "other"
-    )
-    worst = lists.select(F.col("node").alias("other"), F.element_at("nearest.cos", -1).alias("worst"))
-    known = stored(nodes.select(F.col("node").alias("other"), "size", "unit").join(worst, "other", "left"))
-
-    def compare(table: pa.Table) -> pa.Table:
-        out = [_edges([], [], [])]
-        for size in np.unique(np.asarray(table.column("size"))).tolist():
-            rows = table.filter(pa.compute.equal(table.column("size"), size)).combine_chunks()
-            ids = np.asarray(rows.column("other"))
-            unit = _matrix(rows.column("unit"), size)
-            cos = unit @ unit.T
-            np.fill_diagonal(cos, -2)
-            worst = np.asarray(rows.column("worst").fill_null(-2.0))
-            a, b = np.nonzero(cos > np.minimum(worst, 1 - 1e-12)[:, None])
-            out.append(_edges(ids[a], ids[b], cos[a, b]))
-        return pa.Table.from_batches(out)
+def _merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the labels (each the smallest place reached so far) of linked places."""
+    while True:
+        left, right = labels[a], labels[b]
+        apart = left != right
+        if not apart.any():
+            return
+        a, b, left, right = a[apart], b[apart], left[apart], right[apart]
+        np.minimum.at(labels, np.maximum(left, right), np.minimum(left, right))
+        while not np.array_equal(further := labels[labels], labels):
+            labels[:] = further
 
-    return (
-        spread.join(known, "other")
-        .groupBy("node", "part")
-        .applyInArrow(compare, "a long, b long, cos double")
-    )
 
+def _forest(ids: np.ndarray, unit: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float):
+    """Links of left with right places that join the same nodes as all such links do."""
+    labels = np.arange(len(ids))
+    for i in range(0, len(left), 512):
+        rows = left[i : i + 512]
+        a, b = np.nonzero(unit[rows] @ unit[right].T >= threshold)
+        _merge(labels, rows[a], right[b])
+    return ids, ids[labels]
 
-def _audit(nodes: DataFrame, threshold: float) -> DataFrame:
-    """True links ``a, b`` of a bounded sample of nodes, by brute force over all nodes."""
-    sample = nodes.orderBy(F.xxhash64("node", F.lit(3)), "node").limit(AUDIT).select("node", "size", "unit").collect()
-    by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for size in {r["size"] for r in sample}:
-        mine = [r for r in sample if r["size"] == size]
-        by_size[size] = (
-            np.array([r["node"] for r in mine]),
-            np.stack([np.frombuffer(bytes(r["unit"]), np.float64) for r in mine]),
-        )
 
-    def brute(batches):
-        for batch in batches:
-            sizes = np.asarray(batch.column(1))
-            for size, (ids, unit) in by_size.items():
-                at = np.flatnonzero(sizes == size)
-                if len(at):
-                    other = np.asarray(batch.column(0))[at]
-                    cos = unit @ _matrix(batch.column(2).take(pa.array(at)), size).T
-                    a, b = np.nonzero((cos >= threshold) & (ids[:, None] != other))
-                    yield _edges(ids[a], other[b], cos[a, b])
+def _met(codes: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Links ``a, b`` that join what the links between nodes of one code join."""
+    key = ("tree", "size", "code")
 
-    return nodes.select("node", "size", "unit").mapInArrow(brute, "a long, b long, cos double")
+    def compare(_: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        block, ids = np.asarray(table.column("block")), np.asarray(table.column("node"))
+        unit = _matrix(table.column("unit").combine_chunks(), table.column("size")[0].as_py())
+        first = block == block.min()
+        left = np.flatnonzero(first)
+        right = left if first.all() else np.flatnonzero(~first)
+        a, b = _forest(ids, unit, left, right, threshold)
+        return pa.table({"a": a[a != b], "b": b[a != b]})
+
+    # Only numbers are dealt; the vectors are joined last, so they are shuffled once to where they meet.
+    pairs = stored(_dealt(codes, key, MEET))
+    return (
+        pairs.join(nodes.select("node", "unit"), "node")
+        .groupBy(*key, "low", "high")
+        .applyInArrow(compare, "a long, b long")
+    )
 
 
-def _recall(truth: DataFrame, labels: DataFrame) -> float:
-    """Share of the true links whose ends are in one component."""
-    ends = truth.join(labels.select(F.col("node").alias("a"), F.col("component").alias("left")), "a", "left").join(
-        labels.select(F.col("node").alias("b"), F.col("component").alias("right")), "b", "left"
-    )
-    row = ends.agg(F.count("*").alias("n"), F.count_if(F.col("left") == F.col("right")).alias("found")).first()
-    return row["found"] / row["n"] if row["n"] else 1.0
+def _links(nodes: DataFrame, threshold: float, seed: int) -> DataFrame:
+    """Links ``a, b`` that have the components of all links."""
+    bits, trees = forest_shape(nodes.count(), threshold)
+    return stored(_met(stored(_codes(nodes, bits, range(trees), seed)), nodes, threshold))
 
 
 def _counted(members: DataFrame, threshold: float) -> DataFrame:
     """``node, linked``: vectors (with copies) that each node links to, within its component."""
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = members.join(stored(sizes), "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "copies", "size", "unit"
-    )
+    pairs = _dealt(members, ("component",), BLOCK)
 
     def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         _, low, high = (x.as_py() for x in key)
@@ -249,16 +186,7 @@ def linked_vectors(vectors: DataFrame, threshold: float = 0.95, seed: int = 17)
     0 links, their own id.  Equal rows all count.  A row with a null ``vec_id`` links with nothing; its component is null.
     """
     nodes, members = nodes_of(vectors)
-    edges = _planted(nodes, TREES, seed)
-    lists = stored(_lists(edges, threshold))
-    truth = stored(_audit(nodes, threshold))
-    for number in range(MOST_ROUNDS):
-        known = lists.select(F.col("node").alias("a"), F.inline("nearest")).select("a", F.col("other").alias("b"), "cos")
-        lists = stored(_lists(_refined(lists, nodes, number).union(known), threshold))
-        links = lists.select(F.col("node").alias("a"), F.inline("nearest")).where(F.col("cos") >= threshold)
-        labels = components(links.select("a", F.col("other").alias("b")))
-        if _recall(truth, labels) >= RECALL:
-            break
+    labels = components(_links(nodes, threshold, seed))
     inside = nodes.join(labels, "node")
     counts = _counted(inside.select("component", "node", "copies", "size", "unit"), threshold)
     smallest = inside.groupBy("component").agg(F.min("first_id").alias("smallest"))

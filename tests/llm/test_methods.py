@@ -334,3 +334,30 @@ def test_own_ranks_file_format(tmp_path):
     path = tmp_path / "ranks"
     path.write_bytes(base64.b64encode(b"a") + b" 0\n" + base64.b64encode(b"aa") + b" 1\n")
     assert byte_bpe.read_ranks(str(path)) == {b"a": 0, b"aa": 1}
+
+
+def _groups(rng, groups, size, cosine, inner=0.003):
+    """Unit vectors of pairs of tight groups; the centres of a pair are at ``cosine``."""
+    out = []
+    for _ in range(groups):
+        a, b = rng.normal(size=(2, 64))
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        b /= np.linalg.norm(b)
+        for centre in (a, cosine * a + np.sqrt(1 - cosine**2) * b):
+            out.append(centre + rng.normal(size=(size, 64)) * inner / 8)
+    return np.concatenate(out)
+
+
+def test_tight_groups_of_vectors_are_linked_with_each_other(spark):
+    rng = np.random.default_rng(9)
+    unit = np.concatenate([_groups(rng, 3, 150, 0.955), rng.normal(size=(400, 64))]).astype(np.float32)
+    cos = unit.astype(float)
+    cos /= np.linalg.norm(cos, axis=1, keepdims=True)
+    linked = cos @ cos.T >= 0.95
+    np.fill_diagonal(linked, False)
+    roots = root_of(zip(*np.nonzero(linked), strict=True), range(len(unit)))
+    assert len(set(roots.values())) == 403
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(unit)], "vec_id bigint, embedding array<float>")
+    found = linked_vectors(table).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found} == {i: (linked[i].sum(), roots[i]) for i in roots}
