@@ -3,7 +3,8 @@
 Equal directions are folded to one node.  A tree gives each node a code, the signs of its projections; all
 nodes of one code are compared with each other, in blocks.  The number of trees follows from the number of
 nodes and the threshold, so that a link at the threshold shares no code with probability ``MISS`` at most,
-whatever the data; tables up to some ten thousand nodes are compared in full.  Of the links of a block a spanning forest is kept, which has the
+whatever the data; tables up to some ten thousand nodes are compared in full.  An audit against brute force
+adds trees until its links are met, or fails.  Of the links of a block a spanning forest is kept, which has the
 same components and no more rows than nodes; inside a component links are counted by comparing its members
 in blocks of bounded size.
 """
@@ -24,6 +25,11 @@ from palisade.session import stored
 LEAF, MEET = 2048, 4096
 #: Largest chance that a link at the threshold, and no more, shares no code.
 MISS = 1e-4
+#: Nodes of an audit (the smallest by hash) that have links and of all, the recall that contents it, and how
+#: often the trees are doubled for it.
+AUDIT_LINKED, AUDIT_ALL, RECALL, MOST_DOUBLINGS = 1024, 256, 0.999, 4
+#: Links of an audited node that are taken from a batch of vectors.
+AUDIT_BATCH = 16
 #: Members of a component that are compared at once.
 BLOCK = 128
 
@@ -150,10 +156,77 @@ def _met(codes: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def _audit(nodes: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
+    """Some true links ``a, b`` of a bounded sample of nodes, by brute force over all nodes.
+
+    Most of the sample has links, so there are enough of them; the rest is drawn from all nodes.
+    """
+    place = F.xxhash64("node", F.lit(3))
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    drawn = ends.orderBy(place, "node").limit(AUDIT_LINKED).union(nodes.select("node").orderBy(place, "node").limit(AUDIT_ALL))
+    sample = nodes.select("node", "size", "unit").join(drawn.distinct(), "node").collect()
+    by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for size in {r["size"] for r in sample}:
+        mine = [r for r in sample if r["size"] == size]
+        by_size[size] = (
+            np.array([r["node"] for r in mine]),
+            np.stack([np.frombuffer(bytes(r["unit"]), np.float64) for r in mine]),
+        )
+
+    def brute(batches):
+        for batch in batches:
+            sizes = np.asarray(batch.column(1))
+            for size, (ids, unit) in by_size.items():
+                at = np.flatnonzero(sizes == size)
+                if len(at):
+                    other = np.asarray(batch.column(0))[at]
+                    cos = unit @ _matrix(batch.column(2).take(pa.array(at)), size).T
+                    linked = (cos >= threshold) & (ids[:, None] != other)
+                    # A node with very many links is audited by some of each batch.
+                    a, b = np.nonzero(linked & (np.cumsum(linked, axis=1) <= AUDIT_BATCH))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(other[b])], names=["a", "b"])
+
+    return nodes.select("node", "size", "unit").mapInArrow(brute, "a long, b long")
+
+
+def _recall(truth: DataFrame, codes: DataFrame) -> float:
+    """Share of true links whose ends share a code in some tree, so were compared.
+
+    Nodes known by a link that was met flatter it where links are lone pairs.  So the even and the odd trees,
+    which know nothing of each other, are also held against each other: what one half met and the other
+    did not gives the share that both miss.  The lower of the two counts.
+    """
+    left = codes.select(F.col("node").alias("a"), "tree", "code")
+    right = codes.select(F.col("node").alias("b"), "tree", F.col("code").alias("other"))
+    met = F.col("code") == F.col("other")
+    ends = truth.distinct().join(left, "a").join(right, ["b", "tree"]).groupBy("a", "b").agg(
+        F.max(met & (F.col("tree") % 2 == 0)).alias("even"), F.max(met & (F.col("tree") % 2 == 1)).alias("odd")
+    )
+    row = ends.agg(
+        F.count("*").alias("n"), F.count_if(F.col("even") | F.col("odd")).alias("found"), F.count_if("even").alias("even"),
+        F.count_if("odd").alias("odd"), F.count_if(F.col("even") & F.col("odd")).alias("both"),
+    ).first()
+    if not row["n"]:
+        return 1.0
+    missed = (1 - row["both"] / max(1, row["even"])) * (1 - row["both"] / max(1, row["odd"]))
+    return min(row["found"] / row["n"], 1 - missed)
+
+
 def _links(nodes: DataFrame, threshold: float, seed: int) -> DataFrame:
-    """Links ``a, b`` that have the components of all links."""
+    """Links ``a, b`` that have the components of all links; fails if an audit misses its recall."""
     bits, trees = forest_shape(nodes.count(), threshold)
-    return stored(_met(stored(_codes(nodes, bits, range(trees), seed)), nodes, threshold))
+    codes = stored(_codes(nodes, bits, range(trees), seed))
+    links = stored(_met(codes, nodes, threshold))
+    if not bits:
+        return links
+    for _ in range(MOST_DOUBLINGS + 1):
+        truth = stored(_audit(nodes, links, threshold))
+        reached = _recall(truth, codes)
+        if reached >= RECALL:
+            return links.union(truth)
+        more = stored(_codes(nodes, bits, range(trees, 2 * trees), seed))
+        links, codes, trees = stored(links.union(_met(more, nodes, threshold))), codes.union(more), 2 * trees
+    raise RuntimeError(f"{trees // 2} trees of {bits} bits met {reached:.4f} of the audited links; {RECALL} are asked for")
 
 
 def _counted(members: DataFrame, threshold: float) -> DataFrame:

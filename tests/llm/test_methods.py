@@ -12,7 +12,7 @@ import public_tokenizers
 from helpers import doc_table, mutated, root_of, words
 from tokenizers import Tokenizer
 
-from palisade.llm import byte_bpe, host_rules, language_id, licenses, packing, records, toxicity
+from palisade.llm import byte_bpe, host_rules, language_id, licenses, neighbours, packing, records, toxicity
 from palisade.llm import text as tx
 from palisade.llm.components import components, merged
 from palisade.llm.dart_minhash import near_duplicates, signatures
@@ -361,3 +361,26 @@ def test_tight_groups_of_vectors_are_linked_with_each_other(spark):
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(unit)], "vec_id bigint, embedding array<float>")
     found = linked_vectors(table).collect()
     assert {r.vec_id: (r.n_links, r.component_id) for r in found} == {i: (linked[i].sum(), roots[i]) for i in roots}
+
+
+def test_forest_grows_with_the_table_and_finds_lone_pairs(spark, monkeypatch):
+    agree = 1 - np.arccos(0.95) / np.pi
+    shapes = [neighbours.forest_shape(n, 0.95) for n in (500, 10**5, 10**6, 10**7, 10**9)]
+    assert shapes[0] == (0, 1) and shapes == sorted(set(shapes))
+    assert all((1 - agree**bits) ** trees <= neighbours.MISS for bits, trees in shapes[1:])
+    # Lone pairs at the threshold among many vectors, with codes and blocks so small that trees are needed.
+    monkeypatch.setattr(neighbours, "LEAF", 64)
+    monkeypatch.setattr(neighbours, "MEET", 48)
+    rng = np.random.default_rng(10)
+    unit = np.concatenate([_groups(rng, 300, 1, 0.951, 0), rng.normal(size=(6000, 64))]).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(unit)], "vec_id bigint, embedding array<float>")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in linked_vectors(table).collect()}
+    assert neighbours.forest_shape(6600, 0.95)[0] > 4
+    assert found == {i: (1, i - i % 2) if i < 600 else (0, i) for i in range(len(unit))}
+    # Too few trees are noticed: more are grown, and if none may be, the operator fails.
+    nodes, _ = neighbours.nodes_of(table)
+    monkeypatch.setattr(neighbours, "forest_shape", lambda n, threshold: (7, 4))
+    assert neighbours._links(nodes, 0.95, 17).selectExpr("least(a, b) a", "greatest(a, b) b").distinct().count() == 300
+    monkeypatch.setattr(neighbours, "MOST_DOUBLINGS", 0)
+    with pytest.raises(RuntimeError, match="audited links"):
+        neighbours._links(nodes, 0.95, 17)
