@@ -14,7 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm import text as tx
@@ -25,8 +25,9 @@ GRAMS, BUCKETS, SIZE = (3, 4, 5), 1 << 17, 8
 #: Words of a window.
 WINDOW = 2
 #: Bounds of the sample that the model is fitted on: documents of label 0 and of label 1, drawn by
-#: hash (as many are expected, twice as many at most), and the characters of a document that can be drawn.
-SAMPLE_DOCUMENTS, SAMPLE_CHARACTERS = (1600, 800), 4000
+#: hash (as many are expected, twice as many at most), and the characters for each of these documents. They are
+#: a total of the label: texts are read whole where the total holds them, else the longest give hashed pieces.
+SAMPLE_DOCUMENTS, SAMPLE_CHARACTERS, PIECE = (1600, 800), 4000, 500
 MEAN_EPOCHS, WINDOW_EPOCHS, RATE = 15, 45, 0.05
 THRESHOLD = 0.7
 CACHE_ENTRIES = 300_000
@@ -125,6 +126,27 @@ def train(texts: list[str], labels: list[int], seed: int = 13) -> Model:
     return Model(gains, float(bias[1] - bias[0]))
 
 
+def _level(lengths: list[int], total: int) -> int:
+    """Largest length to cut texts to, so that they have ``total`` characters at most."""
+    rest = sorted(lengths)
+    for i, n in enumerate(rest):
+        if n * (len(rest) - i) > total:
+            return total // (len(rest) - i)
+        total -= n
+    return rest[-1] if rest else 0
+
+
+def _sampled(most: Column) -> Column:
+    """The text, or if it is longer than ``most`` hashed pieces of it, one from each of as many equal parts."""
+    count = F.greatest(F.floor(most / PIECE), F.lit(1)).cast("int")
+    part = F.floor(F.length("text") / count).cast("int")
+    free = F.greatest(part - PIECE, F.lit(1))
+    piece = lambda i: F.col("text").substr(i * part + 1 + F.pmod(F.xxhash64("doc_id", i), free).cast("int"), F.lit(PIECE))
+    return F.when(F.length("text") <= most, F.col("text")).otherwise(
+        F.array_join(F.transform(F.sequence(F.lit(0), count - 1), piece), " ")
+    )
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Model for ``docs (doc_id, text)`` and ``labels (doc_id, toxic)``; None without both labels.
 
@@ -138,10 +160,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         known.where((F.col("toxic") == label) & (place * sizes.get(label, 0) < most)).orderBy(place, "doc_id").limit(2 * most)
         for label, most in enumerate(SAMPLE_DOCUMENTS)
     ]
-    texts = docs.where(F.length("text").between(1, SAMPLE_CHARACTERS)).select("doc_id", "text")
+    texts = docs.where(F.length("text") > 0).select("doc_id", "text")
+    chosen = texts.join(F.broadcast(drawn[0].union(drawn[1])), "doc_id")
+    lengths = chosen.select("doc_id", "toxic", F.length("text").alias("n"))
+    found = lengths.orderBy("doc_id", "n", "toxic").limit(4 * sum(SAMPLE_DOCUMENTS)).collect()
+    civil, toxic = (
+        _level([r["n"] for r in found if r["toxic"] == label], most * SAMPLE_CHARACTERS)
+        for label, most in enumerate(SAMPLE_DOCUMENTS)
+    )
     rows = (
-        texts.join(F.broadcast(drawn[0].union(drawn[1])), "doc_id")
-        .select("text", "toxic", "doc_id")
+        chosen.select(_sampled(F.when(F.col("toxic") == 1, toxic).otherwise(civil)).alias("text"), "toxic", "doc_id")
         .orderBy("doc_id", "text", "toxic")
         .limit(4 * sum(SAMPLE_DOCUMENTS))
         .collect()

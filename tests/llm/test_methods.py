@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 import public_tokenizers
 from helpers import doc_table, mutated, root_of, words
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from palisade.llm import byte_bpe, host_rules, language_id, licenses, neighbours, packing, records, toxicity
@@ -384,3 +385,39 @@ def test_forest_grows_with_the_table_and_finds_lone_pairs(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "MOST_DOUBLINGS", 0)
     with pytest.raises(RuntimeError, match="audited links"):
         neighbours._links(nodes, 0.95, 17)
+
+
+def _labelled(rng, n, words):
+    """Documents of so many words, every second with a toxic passage in it, and their labels."""
+    civil = ["".join(rng.choice("abdefgiklmnoprstu") for _ in range(rng.randint(3, 8))) for _ in range(400)]
+    texts = {}
+    for i in range(n):
+        text = rng.choices(civil, k=words)
+        if i % 2:
+            for _ in range(max(1, words // 60)):
+                at = rng.randrange(len(text))
+                text[at:at] = rng.choices(["wretchquo", "zyxvile", "scumhaq", "jerkwyx"], k=4)
+        texts[i] = " ".join(text)
+    return texts, [(i, i % 2) for i in texts]
+
+
+def test_toxicity_is_fitted_on_long_documents(spark):
+    texts, labels = _labelled(random.Random(21), 300, 900)
+    assert min(map(len, texts.values())) > toxicity.SAMPLE_CHARACTERS
+    docs = doc_table(spark, texts)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    assert model is not None
+    found = toxicity.score(docs, model).collect()
+    assert sum(r.predicted == r.doc_id % 2 for r in found) >= 0.97 * len(found)
+
+
+def test_sample_of_long_texts_spans_them(spark):
+    assert toxicity._level([10, 50, 90], 150) == 90 and toxicity._level([10, 50, 90], 100) == 45
+    assert toxicity._level([7] * 4, 20) == 5 and toxicity._level([], 9) == 0
+    text = " ".join(f"w{i}" for i in range(10_000))
+    rows = doc_table(spark, {i: text for i in range(20)} | {99: "short"}).select("doc_id", toxicity._sampled(F.lit(2000)).alias("text")).collect()
+    assert {r.text for r in rows if r.doc_id == 99} == {"short"}
+    long = [r.text for r in rows if r.doc_id != 99]
+    assert len(set(long)) == 20 and max(map(len, long)) <= 2000 + 3
+    places = {int(w[1:]) // 1000 for t in long for w in t.split()[1:-1] if w[1:].isdigit()}
+    assert places >= set(range(10))
