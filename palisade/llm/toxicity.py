@@ -9,6 +9,7 @@ text and goes on with the window that the model itself finds worst.
 
 from __future__ import annotations
 
+import re
 import zlib
 from typing import NamedTuple
 
@@ -28,9 +29,12 @@ WINDOW = 2
 #: hash (as many are expected, twice as many at most), and the characters for each of these documents. They are
 #: a total of the label: texts are read whole where the total holds them, else the longest give hashed pieces.
 SAMPLE_DOCUMENTS, SAMPLE_CHARACTERS, PIECE = (1600, 800), 4000, 500
+#: Characters from which a word is read as several: its parts between symbols, and overlapping pieces of long parts.
+LONG_WORD, WORD_PIECE = 39, 12
 MEAN_EPOCHS, WINDOW_EPOCHS, RATE = 15, 45, 0.05
 THRESHOLD = 0.7
 CACHE_ENTRIES = 300_000
+_SYMBOLS = re.compile(r"[\W_]+")
 
 
 class Model(NamedTuple):
@@ -49,12 +53,26 @@ def subwords(word: str) -> list[int]:
     core = f"<{core[a:b]}>"
     if len(core) == 2:
         return []
-    parts = [core] if len(core) > 40 else [core, *(core[i : i + n] for n in GRAMS for i in range(len(core) - n + 1))]
+    parts = [core, *(core[i : i + n] for n in GRAMS for i in range(len(core) - n + 1))]
     return [zlib.crc32(x.encode()) % BUCKETS for x in parts]
 
 
 def _words(text: str | None) -> list[str]:
-    return (text or "").split()
+    found = (text or "").split()
+    if max(map(len, found), default=0) < LONG_WORD:
+        return found
+    return [x for w in found for x in ([w] if len(w) < LONG_WORD else _pieces(w))]
+
+
+def _pieces(word: str) -> list[str]:
+    """Words that a long word is read as; together they hold every n-gram inside it."""
+    step = WORD_PIECE - max(GRAMS) + 1
+    return [
+        part[i : i + WORD_PIECE] if len(part) >= LONG_WORD else part
+        for part in _SYMBOLS.split(word)
+        if part
+        for i in (range(0, len(part) - WORD_PIECE + step, step) if len(part) >= LONG_WORD else (0,))
+    ]
 
 
 def _worst(gains: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

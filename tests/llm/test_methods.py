@@ -421,3 +421,16 @@ def test_sample_of_long_texts_spans_them(spark):
     assert len(set(long)) == 20 and max(map(len, long)) <= 2000 + 3
     places = {int(w[1:]) // 1000 for t in long for w in t.split()[1:-1] if w[1:].isdigit()}
     assert places >= set(range(10))
+
+
+def test_toxic_words_without_spaces_count():
+    texts, labels = _labelled(random.Random(22), 400, 30)
+    model = toxicity.train(list(texts.values()), [label for _, label in labels])
+    passage = ["wretchquo", "zyxvile", "scumhaq", "jerkwyx", "wretchquo", "zyxvile"]
+    joined = [sep.join(passage) for sep in ("_", "-", "", "/")]
+    assert min(map(len, joined)) >= toxicity.LONG_WORD
+    scores = toxicity._Scorer(model).score([*joined, texts[0].replace(" ", "_"), "_" * 60])
+    assert min(scores[:4]) >= toxicity.THRESHOLD > max(scores[4:])
+    word = "".join(random.Random(23).choice("abcdefgh") for _ in range(101))
+    grams = {word[i : i + n] for n in toxicity.GRAMS for i in range(len(word) - n + 1)}
+    assert all(any(g in piece for piece in toxicity._pieces(word)) for g in grams)
