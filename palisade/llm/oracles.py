@@ -118,3 +118,101 @@ common AS (
 SELECT s.doc_id, class_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, s.doc_id = class_id AS kept
 FROM split s JOIN least ON s.doc_id = least.a LEFT JOIN sizes z ON s.doc_id = z.doc_id
 """
+
+
+def _clustering(k: int, rounds: int, scale: int, dim: int) -> str:
+    """Lloyd's rounds, one after the other."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+assigned{r} AS MATERIALIZED (
+  SELECT row, any_value(vec_id) AS vec_id, any_value(v) AS v, min({{'d': d, 'c': c}}) AS best FROM (
+    SELECT k.row, k.vec_id, k.v, m.c,
+           CAST(list_sum(list_transform(list_zip(k.v, m.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+    FROM kept k, means{r} m
+  ) GROUP BY row
+)""")
+        if r < rounds:
+            steps.append(f"""
+sums{r} AS (
+  SELECT best.c AS c, i, sum(v[i]) AS s, CAST(count(*) AS HUGEINT) AS n
+  FROM assigned{r}, (SELECT unnest(range(1, {dim} + 1)) AS i) GROUP BY best.c, i
+), moved{r} AS (
+  SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM sums{r} GROUP BY c
+), means{r + 1} AS MATERIALIZED (
+  SELECT c, coalesce(w.v, m.v) AS v FROM means{r} m LEFT JOIN moved{r} w USING (c)
+)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id,
+         list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), means0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (
+    SELECT sha256('1:' || CAST(vec_id AS VARCHAR)) AS h, v FROM kept WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT {k}
+  )
+), {",".join(steps)}
+SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, best.d AS distance,
+       CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM assigned{rounds} a JOIN means{rounds} m ON a.best.c = m.c
+"""
+
+
+ORACLES["op11_centroid_clusters"] = _clustering(k=16, rounds=3, scale=64, dim=64)
+
+#: All inner products, the ten highest of each query.
+ORACLES["op12_exact_top_k"] = r"""
+WITH kept AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM kept q JOIN kept c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+def _phrases(least: int, longest: int, within: int, scale: int, first: int) -> str:
+    """Frequent runs of words, counted one by one, and the frequencies of what their cuts leave."""
+    runs = " UNION ALL ".join(
+        f"SELECT lang, unnest(list_transform(range(1, len(ws) - {k - 2}), lambda i: ws[i:i + {k - 1}])) AS p FROM pieces WHERE len(ws) >= {k}"
+        for k in range(1, longest + 1)
+    )
+    return f"""
+WITH pieces AS MATERIALIZED (
+  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+    FROM documents)
+), totals AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+counts AS MATERIALIZED (SELECT lang, p, count(*) AS f FROM ({runs}) GROUP BY lang, p HAVING count(*) >= {least}),
+found AS (SELECT lang, p, f AS a FROM counts WHERE len(p) > 1),
+parts AS (
+  SELECT lang, p[i:i + size - 1] AS p, max(a) AS cover
+  FROM (SELECT lang, p, a, size, unnest(range(1, len(p) - size + 2)) AS i
+        FROM (SELECT lang, p, a, unnest(range(2, len(p))) AS size FROM found WHERE len(p) > 2))
+  GROUP BY 1, 2
+), kept AS (
+  SELECT f.lang, f.p, f.a FROM found f LEFT JOIN parts USING (lang, p)
+  WHERE cover IS NULL OR 100 * CAST(cover AS HUGEINT) < {within} * CAST(a AS HUGEINT)
+), cuts AS (
+  SELECT k.lang, k.p, k.a, min({{'score': CAST(({scale} * CAST(a AS HUGEINT)) // (x.f + y.f) AS BIGINT), 'k': k, 'l': x.f, 'r': y.f}}) AS cut
+  FROM (SELECT *, unnest(range(1, len(p))) AS k FROM kept) k
+  JOIN counts x ON x.lang = k.lang AND x.p = k.p[1:k.k] JOIN counts y ON y.lang = k.lang AND y.p = k.p[k.k + 1:]
+  GROUP BY k.lang, k.p, k.a
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY cut.score DESC, a DESC, array_to_string(p, ' ')) AS rank,
+         array_to_string(p, ' ') AS phrase, a, cut.l AS l, cut.r AS r, cut.score AS score
+  FROM cuts
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= {first}
+"""
+
+
+ORACLES["op13_collocations"] = _phrases(least=30, longest=4, within=80, scale=2_000_000, first=2000)

@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm import byte_bpe, language_id, licenses, toxicity
+from palisade.llm.centroids import cluster_vectors
+from palisade.llm.collocations import collocations
 from palisade.llm.dart_minhash import near_duplicates
 from palisade.llm.host_rules import host_verdicts
 from palisade.llm.neighbours import linked_vectors
 from palisade.llm.packing import packed_documents
+from palisade.llm.pivot_search import top_k
 from palisade.llm.records import read_records, write_records
 from palisade.llm.repeats import remove_repeats
 from palisade.session import shared_folder
@@ -114,3 +117,21 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of each document, and whether it is the one that stays."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
+@query
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of each vector after three rounds from 16 vectors, its distance and the inertia."""
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), k=16, rounds=3, scale=64, dim=64)
+
+
+@query
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten vectors with the highest inner product with each hundredth vector."""
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest phrases of two to four words of each language."""
+    return collocations(table(spark, sf_dir, "documents"), least=30, longest=4, within=80, scale=2_000_000, first=2000)

@@ -17,7 +17,7 @@ def test_query_equals_sql(spark, name):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     got = REGISTRY[name](spark, SF).toPandas()
     expected = duck.sql(ORACLES[name]).df()[list(got.columns)]
-    key = got.columns[0]
+    key = list(got.columns[:2])
     got, expected = (x.sort_values(key).reset_index(drop=True).astype(str) for x in (got, expected))
     assert len(got) and got.equals(expected)
 
@@ -25,4 +25,4 @@ def test_query_equals_sql(spark, name):
 def test_all_are_registered():
     names = set(entry.queries())
     assert set(REGISTRY) | {"pipeline"} <= names
-    assert {n.split("_")[0] for n in REGISTRY} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in REGISTRY} == {f"op{i}" for i in range(1, 14)}
