@@ -4,8 +4,8 @@ Words are counted first.  Then, level by level, the texts are sequences of state
 words that starts at a position, 0 where none does.  A phrase of k + 1 words can only be frequent where the states of a
 position and of the next one both accept (Apriori), so occurrences of such neighbours are summed over the shards
 of the text, and the neighbours that come to the threshold go into a double-array trie.  The tries are broadcast,
-numpy advances the states of all positions of a shard by one level at once, counts the accepting states
-with a bincount, and the sums over shards are the frequencies.
+numpy advances the states of all positions of a shard by one level at once and counts the accepting states
+with a bincount; these arrays, summed over shards, are the frequencies.
 
 An edge of the trie leads from a phrase by the phrase that starts one word later, which stands for the word it adds: the
 two together name the longer phrase.  Positions without a state only separate, so sequences shrink from level to level and
@@ -37,13 +37,16 @@ from palisade.session import stored
 
 UNKNOWN = "und"
 #: Entries of one broadcast trie or word list, and bytes of the words of one list.
-SHARD = 1 << 20
+SHARD = 1 << 19
 SHARD_BYTES = 32 << 20
 #: Numbers are given in buckets of at most this many.
 BUCKET = 1 << 15
 #: Text bytes that are read at once, and neighbours that are counted at once.
-CHUNK = 4 << 20
-PAIRS = 1 << 22
+CHUNK = 2 << 20
+PAIRS = 1 << 20
+#: Values of a digit of a trie's labels, and slots whose counts are one row.
+RADIX = 256
+BLOCK = 1 << 13
 
 _CUT = np.zeros(256, bool)
 _CUT[[0x20, 0x09, *b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -143,84 +146,112 @@ def _numbered_words(shared, last: bool):
 
 
 class Trie(NamedTuple):
-    """Double array: the edge from node i by label j leads to slot base[i] + j if check holds i there."""
+    """Double array over the digits of labels: the edge from node i by digit d leads to slot base[i] + d if check
+    holds i there; target is the next node, after the last digit the state that the edge leads to."""
 
-    nodes: np.ndarray  #: sorted states that have edges
-    labels: np.ndarray  #: sorted states that are labels
+    nodes: np.ndarray  #: sorted states that have edges; their places are the numbers of the first nodes
+    labels: np.ndarray  #: sorted states that are labels; their places are spelled in ``digits`` digits
+    digits: int
     base: np.ndarray
     check: np.ndarray
-    value: np.ndarray  #: state that the slot stands for
+    target: np.ndarray
 
     def step(self, states: np.ndarray) -> np.ndarray:
         """Slot that each position but the last comes to by its next one's state, -1 for none."""
         slots = np.full(len(states), -1, np.int64)
         at = np.flatnonzero((states[:-1] > 0) & (states[1:] > 0))
-        node, label = states[at], states[at + 1]
-        i = np.searchsorted(self.nodes, node).clip(max=len(self.nodes) - 1)
-        j = np.searchsorted(self.labels, label).clip(max=len(self.labels) - 1)
-        slot = self.base[i] + j
-        good = (self.nodes[i] == node) & (self.labels[j] == label) & (slot >= 0) & (slot < len(self.check))
-        good[good] = self.check[slot[good]] == i[good]
-        slots[at[good]] = slot[good]
+        node = np.searchsorted(self.nodes, states[at]).clip(max=len(self.nodes) - 1)
+        label = np.searchsorted(self.labels, states[at + 1]).clip(max=len(self.labels) - 1)
+        good = (self.nodes[node] == states[at]) & (self.labels[label] == states[at + 1])
+        at, node, label = at[good], node[good], label[good]
+        slot = node
+        for place in reversed(range(self.digits)):
+            slot = self.base[node] + (label // RADIX**place) % RADIX
+            good = self.check[slot] == node
+            at, label, slot = at[good], label[good], slot[good]
+            node = self.target[slot]
+        slots[at] = slot
         return slots
 
 
+def _places(counts: np.ndarray, digits: np.ndarray) -> np.ndarray:
+    """Base of each node such that no two edges have one slot.  Nodes with most edges come first.  Nodes of equally many
+    edges are tried together at random bases (of a fixed seed), and each that meets no other stays; those that find no
+    room get new slots.  Nodes with one edge take what is free."""
+    rng = np.random.default_rng(1)
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    base = np.zeros(len(counts), np.int64)
+    taken = np.zeros(int(1.5 * len(digits)) + 4 * RADIX, bool)
+    for c in np.unique(counts)[::-1].tolist():
+        todo = np.flatnonzero(counts == c)
+        own = digits[starts[todo][:, None] + np.arange(c)]
+        if c == 1:
+            free = np.flatnonzero(~taken[RADIX:-RADIX])[: len(todo)] + RADIX
+            new = len(taken) + np.arange(len(todo) - len(free))
+            taken = np.concatenate([taken, np.zeros(len(new) + RADIX, bool)])
+            base[todo] = np.concatenate([free, new]) - own[:, 0]
+            break
+        for _ in range(40 if c < RADIX // 4 else 0):
+            if not len(todo):
+                break
+            tries = rng.integers(0, len(taken) - RADIX, len(todo))
+            slots = tries[:, None] + own
+            fits = np.flatnonzero(~taken[slots].any(1))
+            first = np.zeros((len(fits), c), bool)
+            first.ravel()[np.unique(slots[fits].ravel(), return_index=True)[1]] = True
+            fits = fits[first.all(1)]
+            base[todo[fits]] = tries[fits]
+            taken[slots[fits]] = True
+            left = np.ones(len(todo), bool)
+            left[fits] = False
+            todo, own = todo[left], own[left]
+        base[todo] = len(taken) + RADIX * np.arange(len(todo))
+        taken = np.concatenate([taken, np.zeros(RADIX * len(todo), bool)])
+        taken[base[todo][:, None] + own] = True
+    return base
+
+
 def build_trie(prefixes: np.ndarray, suffixes: np.ndarray, ids: np.ndarray) -> Trie:
-    """Trie of edges (prefix, suffix) to ids.  Nodes with most edges are placed first, at the first base where all
-    their slots are free; nodes with one edge fill what is left."""
+    """Trie of edges (prefix, suffix) to ids."""
     nodes, node = np.unique(prefixes, return_inverse=True)
     labels, label = np.unique(suffixes, return_inverse=True)
     order = np.lexsort((label, node))
     node, label, ids = node[order], label[order], ids[order]
-    counts = np.bincount(node, minlength=len(nodes))
-    starts = np.concatenate([[0], np.cumsum(counts)])
-    base = np.zeros(len(nodes), np.int64)
-    taken = np.zeros(2 * (len(ids) + len(labels)) + 64, bool)
-    low = 0
-    for i in np.argsort(-counts, kind="stable"):
-        if counts[i] < 2:
-            break
-        own = label[starts[i] : starts[i + 1]]
-        at = low
-        while True:
-            if at + 4096 + len(labels) >= len(taken):
-                taken = np.concatenate([taken, np.zeros(len(taken) + 4096, bool)])
-            tries = at + np.flatnonzero(~taken[at : at + 256])
-            fits = np.flatnonzero(~taken[tries[:, None] + (own - own[0])[None, :]].any(1))
-            if len(fits):
-                base[i] = tries[fits[0]] - own[0]
-                taken[base[i] + own] = True
-                break
-            at += 256
-        while taken[low : low + 256].mean() > 0.9:
-            low += 256
-    single = np.flatnonzero(counts == 1)
-    free = np.flatnonzero(~taken)
-    if len(free) < len(single):
-        free = np.concatenate([free, len(taken) + np.arange(len(single))])
-    base[single] = free[: len(single)] - label[starts[single]]
-    slots = base[node] + label
-    check = np.full(slots.max(initial=0) + 1, -1, np.int32)
-    value = np.zeros(len(check), np.int32)
-    check[slots], value[slots] = node, ids
-    return Trie(nodes, labels, base, check, value)
+    places = max(1, -(-(len(labels) - 1).bit_length() // (RADIX.bit_length() - 1)))
+    parents, digits, targets, known = [], [], [], len(nodes)
+    for place in reversed(range(places)):
+        digit = (label // RADIX**place) % RADIX
+        new = np.ones(len(node), bool)
+        new[1:] = (node[1:] != node[:-1]) | (digit[1:] != digit[:-1])
+        child = known + np.cumsum(new) - 1
+        parents.append(node[new])
+        digits.append(digit[new])
+        targets.append(child[new] if place else ids)
+        known += int(new.sum()) if place else 0
+        node = child
+    parents, digits, targets = (np.concatenate(x) for x in (parents, digits, targets))
+    base = _places(np.bincount(parents, minlength=known), digits)  # parents ascend
+    slots = base[parents] + digits
+    check = np.full(int(base.max(initial=0)) + RADIX, -1, np.int32)
+    target = np.zeros(len(check), np.int32)
+    check[slots], target[slots] = parents, targets
+    return Trie(nodes, labels, places, base, check, target)
 
 
 def _advanced(shared, last: bool):
-    """Sequences one level on, and after all of them how often each state accepted.
+    """Sequences one level on, and after all of them how often each slot accepted, ``BLOCK`` slots to a row.
 
     ``states`` are the level before; ``longer`` what earlier tries of the level found, position by position."""
 
+    def row(states=None, longer=None, block=None, counts=None):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([states], pa.binary()), pa.array([longer], pa.binary()), pa.array([block], pa.int32()), pa.array([counts], pa.binary())],
+            names=["states", "longer", "block", "counts"],
+        )
+
     def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie: Trie = shared.value
-        counts = np.zeros(len(trie.check), np.int64)
-
-        def row(states, longer, ids, n):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(states, pa.binary()), pa.array(longer, pa.binary()), pa.array(ids, pa.int32()), pa.array(n, pa.int64())],
-                names=["states", "longer", "id", "n"],
-            )
-
+        counts = np.zeros(-(-len(trie.check) // BLOCK) * BLOCK, np.int64)
         for batch in batches:
             for old, longer in zip(batch.column(0), batch.column(1), strict=True):
                 states = np.frombuffer(old.as_py(), np.int32)
@@ -228,20 +259,41 @@ def _advanced(shared, last: bool):
                 hit = slots >= 0
                 counts += np.bincount(slots[hit], minlength=len(counts))
                 found = np.zeros(len(states), np.int32) if longer.as_py() is None else np.frombuffer(longer.as_py(), np.int32).copy()
-                found[hit] = trie.value[slots[hit]]
-                if last:
-                    if found.any():
-                        yield row([_compact(found)], [None], [None], [None])
-                else:
-                    yield row([states.tobytes()], [found.tobytes()], [None], [None])
-        used = np.flatnonzero(counts)
-        for a in range(0, len(used), 1 << 16):
-            part = used[a : a + (1 << 16)]
-            yield row([None] * len(part), [None] * len(part), trie.value[part], counts[part])
+                found[hit] = trie.target[slots[hit]]
+                if not last:
+                    yield row(states.tobytes(), found.tobytes())
+                elif found.any():
+                    yield row(_compact(found))
+        for block, part in enumerate(counts.reshape(-1, BLOCK)):
+            if part.any():
+                yield row(block=block, counts=part.tobytes())
 
     return advance
 
 
+def _summed(shared):
+    """Sums of the counts of equal blocks, which follow one another, as the states' frequencies."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, now, total = shared.value.target, None, np.zeros(BLOCK, np.int64)
+
+        def out():
+            used = np.flatnonzero(total)
+            return pa.RecordBatch.from_arrays([pa.array(target[now * BLOCK + used]), pa.array(total[used])], names=["id", "f"])
+
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if now is not None and block != now:
+                    yield out()
+                    total[:] = 0
+                now = block
+                total += np.frombuffer(counts.as_py(), np.int64)
+        if now is not None:
+            yield out()
+
+    return sums
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often a state and the next position's state stand side by side, as one long of both."""
     waiting: list[np.ndarray] = []
@@ -307,18 +359,22 @@ def _sequences(docs: DataFrame, lists: list[DataFrame]) -> DataFrame:
 def _next_states(states: DataFrame, parts: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Sequences one level on, and ``id, f`` of the level's phrases."""
     context = states.sparkSession.sparkContext
-    rows, counts = states.select("states", F.lit(None).cast("binary").alias("longer")), []
+    rows, sums = states.select("states", F.lit(None).cast("binary").alias("longer")), []
     for place, part in enumerate(parts):
         edges = part.select("prefix", "suffix", "id").toArrow()  # at most SHARD rows
         shared = context.broadcast(build_trie(*(np.asarray(edges[c]) for c in ("prefix", "suffix", "id"))))
         passed = stored(
-            rows.mapInArrow(_advanced(shared, place == len(parts) - 1), "states binary, longer binary, id int, n bigint")
+            rows.mapInArrow(
+                _advanced(shared, place == len(parts) - 1), "states binary, longer binary, block int, counts binary"
+            )
+        )
+        rows = passed.where("block is null").select("states", "longer")
+        blocks = passed.where("block is not null").select("block", "counts")
+        sums.append(
+            stored(blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_summed(shared), "id int, f bigint"))
         )
         shared.unpersist()
-        rows = passed.where("id is null").select("states", "longer")
-        counts.append(passed.where("id is not null").select("id", "n"))
-    sums = reduce(DataFrame.unionByName, counts).groupBy("id").agg(F.sum("n").alias("f"))
-    return rows.select("states"), sums
+    return rows.select("states"), reduce(DataFrame.unionByName, sums)
 
 
 def phrases(docs: DataFrame, least: int = 30, longest: int = 4) -> tuple[DataFrame, list[DataFrame]]:

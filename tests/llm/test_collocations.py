@@ -84,14 +84,17 @@ def test_messy_and_empty(spark):
     assert found(spark, [("en", "a b"), ("en", "c")], least=1000) == []
 
 
-def test_trie_holds_its_edges_and_no_others():
+@pytest.mark.parametrize("wide", [1, 2, 90_000])
+def test_trie_holds_its_edges_and_no_others(wide):
+    """Also with labels of one and of several digits, and a node with very many edges."""
     rng = np.random.default_rng(7)
     edges = np.unique(rng.integers(1, 300, (4000, 2)).astype(np.int32), axis=0)
     edges = edges[(edges[:, 0] % 3 == 0) | (edges[:, 1] < 20)]
+    edges = np.concatenate([edges, np.stack([np.full(wide, 310), np.arange(400, 400 + wide)], 1).astype(np.int32)])
     ids = np.arange(1, len(edges) + 1, dtype=np.int32)
     trie = co.build_trie(edges[:, 0], edges[:, 1], ids)
     known = {tuple(e): i for e, i in zip(edges.tolist(), ids.tolist())}
-    states = rng.integers(0, 320, 50_000).astype(np.int32)
+    states = np.concatenate([rng.integers(0, 320, 50_000), edges[-500:].ravel()]).astype(np.int32)
     slots = trie.step(states)
-    got = np.where(slots >= 0, trie.value[slots], 0)
+    got = np.where(slots >= 0, trie.target[slots], 0)
     assert got.tolist() == [known.get(p, 0) for p in zip(states[:-1].tolist(), states[1:].tolist())] + [0]
