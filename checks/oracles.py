@@ -1075,3 +1075,28 @@ JOIN changes c ON c.repo_id = f.repo_id AND c.path = f.file
 JOIN routes r ON r.repo_id = f.repo_id AND r.path = f.file AND r.scanner = f.scanner
 WHERE f.severity IN ('critical', 'warning')"""
 O["stream_dedup"] = f"SELECT DISTINCT repo_id, file, line, id FROM ({O['scan_changes']})"
+
+RELATED = " UNION ALL ".join(
+    f"SELECT {q(scanner)} AS scanner, repo_id, id, severity, {file} AS file, {line} AS line FROM ({O[name]})"
+    for scanner, name, file, line in (
+        ("check_env", "env_public_secret", "file", "line"),
+        ("check_env", "env_ignore_gaps", "file", "line"),
+        ("check_firebase", "check_firebase", "file", "line"),
+        *[("scan_rules_files", name, "file", "line") for name in CODE_SCANNERS["scan_rules_files"]],
+        *[("check_supply_chain", name, "'package.json'", "NULL") for name in ("malicious_packages", "typosquats", "suspicious_scripts")],
+        ("scan_dependencies", "vulnerable_dependencies", "'package.json'", "NULL"),
+    )
+)
+O["scan_changes_stream"] = f"""WITH numbered_files AS MATERIALIZED ({NUMBERED_FILES}), changes AS ({derived.CHANGES_SQL}),
+own AS ({CHANGED}), related AS ({RELATED}), routes AS ({O['route_change']}),
+routed AS (SELECT c.ts, c.repo_id, c.path AS changed, r.scanner FROM changes c JOIN routes r USING (repo_id, path)),
+found AS (
+  SELECT r.ts, r.changed, f.repo_id, f.scanner, f.id, f.severity, f.file, f.line FROM own f
+  JOIN routed r ON r.repo_id = f.repo_id AND r.changed = f.file AND r.scanner = f.scanner
+  UNION ALL
+  SELECT r.ts, r.changed, f.repo_id, f.scanner, f.id, f.severity, f.file, f.line FROM related f
+  JOIN routed r ON r.repo_id = f.repo_id AND r.scanner = f.scanner)
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo_id, changed, ts, coalesce(file, ''), coalesce(cast(line AS varchar), ''), id
+    ORDER BY {SCANNER_ORDER}) AS rn
+  FROM found WHERE severity IN ('critical', 'warning')) WHERE rn = 1"""

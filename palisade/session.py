@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,5 +53,24 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: what is large, or is read
     again by a few of its columns, takes less room so than in a checkpoint."""
     folder = f"{shared_folder(df.sparkSession)}/table-{os.urandom(8).hex()}"
+    if _OWNED:
+        _OWNED[-1].append(folder)
     df.write.parquet(folder)
     return df.sparkSession.read.parquet(folder)
+
+
+#: Folders of the tables that were stored inside each open ``owned_tables``.
+_OWNED: list[list[str]] = []
+
+
+@contextmanager
+def owned_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that are ``stored`` inside are removed at the end: for work that leaves nothing lazy behind."""
+    _OWNED.append([])
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for folder in _OWNED.pop():
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
