@@ -89,7 +89,7 @@ class Tables:
         return self.sql(derived.responses_sql(True), pages=self.table("pages"))
 
     def advisories(self) -> DataFrame:
-        return self.sql(derived.advisories_sql(True), part=self.table("part"))
+        return self.spread(self.sql(derived.advisories_sql(True), part=self.table("part")))
 
     def manifests(self) -> DataFrame:
         return src.parse_manifests(self.files())

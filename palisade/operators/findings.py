@@ -143,38 +143,45 @@ def audit_score(findings: DataFrame, repos: DataFrame) -> DataFrame:
 # ── order ───────────────────────────────────────────────────────────────────────
 
 
-def number_in_order(
-    rows: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "number"
+def running_total(
+    rows: DataFrame, group: Sequence[str], order: Sequence[Column], value: Column, name: str
 ) -> DataFrame:
-    """1-based running number per group, without one task per group.
+    """Sum of ``value`` over the rows of the group that come before, without one task per group.
 
     The rows are range-partitioned on (group, order), so a large group spreads over
-    several partitions in order.  Partition counts per group (few rows) give each
-    partition its start; inside it a plain row_number is enough.  The split is
+    several partitions in order.  Partition sums per group (few rows) give each
+    partition its start; inside it a plain window is enough.  The split is
     checkpointed: its partition ids are read twice and must not change if an executor
     is lost.
     """
-    keys = [f"_o{i}" for i in range(len(order))]
-    keyed = rows.select("*", *[c.alias(k) for c, k in zip(order, keys)])
     split = cut_lineage(
-        keyed.repartitionByRange(*group, *keys).withColumn("_part", F.spark_partition_id())
+        rows.withColumn("_value", value)
+        .repartitionByRange(*group, *order)
+        .withColumn("_part", F.spark_partition_id())
     )
     before = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     starts = (
         split.groupBy(*group, "_part")
-        .count()
-        .withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0)))
-        .drop("count")
+        .agg(F.sum("_value").alias("_sum"))
+        .withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+        .drop("_sum")
     )
-    inside = W.partitionBy(*group, "_part").orderBy(*keys)
+    inside = W.partitionBy(*group, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return (
-        split.withColumn("_rank", F.row_number().over(inside))
+        split.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
         .join(starts, [*group, "_part"])
-        .withColumn(name, (F.col("_start") + F.col("_rank")).cast("bigint"))
-        .drop("_start", "_rank", "_part", *keys)
+        .withColumn(name, (F.col("_start") + F.col("_inside")).cast("bigint"))
+        .drop("_start", "_inside", "_value", "_part")
     )
 
 
+def number_in_order(
+    rows: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "number"
+) -> DataFrame:
+    """1-based running number per group, without one task per group."""
+    return running_total(rows, group, order, F.lit(1), name).withColumn(name, F.col(name) + 1)
+
+
 def numbered_findings(findings: DataFrame) -> DataFrame:
     """Critical findings first, then warnings, one running number per repository."""
     ranked = F.when(F.col("severity") == "critical", 0).otherwise(1)
@@ -187,28 +194,32 @@ def numbered_findings(findings: DataFrame) -> DataFrame:
     )
 
 
-def fix_prompt(
-    findings: DataFrame, repos: DataFrame, items_per_part: int = PROMPT_ITEMS_PER_PART
-) -> DataFrame:
-    """(repo_id, part, parts, text): the numbered fix list of each repository.
-
-    One string cannot hold the list of a repository with millions of findings, so a list
-    is cut into parts of ``items_per_part`` entries.  Joined with line breaks in part
-    order, the parts are the whole prompt; almost every repository has exactly one.
-    """
-    numbered = number_in_order(actionable(findings), ["repo_id"], scan_order())
-    place = F.concat(
-        F.col("file"),
-        F.coalesce(F.concat(F.lit(":"), F.nullif(F.col("line"), F.lit(0)).cast("string")), F.lit("")),
-    )
-    item = F.concat_ws(
+def _item(number: Column, title: Column, file: Column, line: Column, fix: Column) -> Column:
+    """One numbered entry of a fix list."""
+    at = F.concat(file, F.coalesce(F.concat(F.lit(":"), F.nullif(line, F.lit(0)).cast("string")), F.lit("")))
+    return F.concat_ws(
         "\n",
-        F.concat(F.col("number").cast("string"), F.lit(". "), F.col("title")),
-        F.when(F.col("file") != "", F.concat(F.lit("   Where: "), place)),
-        F.when(F.col("fix") != "", F.concat(F.lit("   Suggested direction: "), F.col("fix"))),
+        F.concat(number.cast("string"), F.lit(". "), title),
+        F.when(file != "", F.concat(F.lit("   Where: "), at)),
+        F.when(fix != "", F.concat(F.lit("   Suggested direction: "), fix)),
         F.lit(""),
     )
-    parts = (
+
+
+def _short_lists(findings: DataFrame) -> DataFrame:
+    """(repo_id, part, body) of repositories whose list is one part: its entries are sorted inside their row."""
+    order = [c.alias(f"o{i}") for i, c in enumerate(scan_order())]
+    entry = F.struct(*order, "title", "file", "line", "fix")
+    entries = findings.groupBy("repo_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    items = F.transform("entries", lambda e, i: _item(i + 1, e["title"], e["file"], e["line"], e["fix"]))
+    return entries.select("repo_id", F.lit(0).alias("part"), F.array_join(items, "\n").alias("body"))
+
+
+def _long_lists(findings: DataFrame, items_per_part: int) -> DataFrame:
+    """(repo_id, part, body) of repositories with several parts: numbered over a range split."""
+    numbered = number_in_order(findings, ["repo_id"], scan_order())
+    item = _item(*(F.col(c) for c in ("number", "title", "file", "line", "fix")))
+    return (
         numbered.select(
             "repo_id",
             F.floor((F.col("number") - 1) / items_per_part).cast("int").alias("part"),
@@ -222,11 +233,35 @@ def fix_prompt(
             F.array_join(F.transform("items", lambda i: i["text"]), "\n").alias("body"),
         )
     )
-    last = parts.groupBy("repo_id").agg((F.max("part") + 1).alias("parts"))
+
+
+def fix_prompt(
+    findings: DataFrame, repos: DataFrame, items_per_part: int = PROMPT_ITEMS_PER_PART
+) -> DataFrame:
+    """(repo_id, part, parts, text): the numbered fix list of each repository.
+
+    One string cannot hold the list of a repository with millions of findings, so a list
+    is cut into parts of ``items_per_part`` entries.  Joined with line breaks in part
+    order, the parts are the whole prompt; almost every repository has exactly one.
+    Findings are counted first: a list of one part is sorted in its own row, after a single
+    exchange of the columns it shows; only longer ones are split by range.
+    """
+    shown = actionable(findings).select(
+        "repo_id", "scanner", "id", "severity", "title", "message", "file", "line", "fix"
+    )
+    # Findings of repositories that are not asked for would be numbered in vain.
+    sizes = cut_lineage(
+        shown.groupBy("repo_id").agg(F.ceil(F.count("*") / items_per_part).cast("int").alias("parts"))
+        .join(repos.select("repo_id"), "repo_id", "left_semi")
+    )
+    one, several = sizes.where("parts = 1"), sizes.where("parts > 1")
+    # The findings are the left side, which the adaptive skew join can split.
+    bodies = _short_lists(shown.join(one.select("repo_id"), "repo_id", "left_semi"))
+    if not several.isEmpty():
+        longer = shown.join(several.select("repo_id"), "repo_id", "left_semi")
+        bodies = bodies.unionByName(_long_lists(longer, items_per_part))
     head = F.lit("\n".join(texts.PROMPT_HEAD))
-    # The parts are the left side, which the adaptive skew join can split; repositories without any follow.
-    last = cut_lineage(last)
-    full = parts.join(last, "repo_id").join(repos.select("repo_id"), "repo_id", "left_semi").select(
+    full = bodies.join(sizes, "repo_id").select(
         "repo_id",
         "part",
         "parts",
@@ -237,7 +272,7 @@ def fix_prompt(
             F.when(F.col("part") == F.col("parts") - 1, F.lit(texts.PROMPT_TAIL)),
         ).alias("text"),
     )
-    clean = repos.select("repo_id").join(last, "repo_id", "left_anti")
+    clean = repos.select("repo_id").join(sizes, "repo_id", "left_anti")
     return full.unionByName(
         clean.select("repo_id", F.lit(0).alias("part"), F.lit(1).alias("parts"), F.lit(texts.PROMPT_CLEAN).alias("text"))
     )

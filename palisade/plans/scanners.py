@@ -27,9 +27,10 @@ from palisade.sources.files import (
     filter_ignored,
     filter_readable,
     is_readable,
-    parse_manifests,
     read_files,
     resolve_firebase_rules,
+    rules_that_count,
+    without_ignored,
 )
 
 # Scanners whose files come from the directory walk: the ignore file applies to them.
@@ -61,13 +62,14 @@ def scan_rules_files(files: DataFrame, **options) -> DataFrame:
 
 def firebase_from_hits(hits: DataFrame, files: DataFrame) -> DataFrame:
     """Keep rule hits of the file that counts; report projects without any rules file."""
-    resolved = resolve_firebase_rules(files)
+    configs = files.where(F.col("path") == "firebase.json").select("repo_id").distinct()
+    return _firebase(hits, resolve_firebase_rules(files), configs)
+
+
+def _firebase(hits: DataFrame, resolved: DataFrame, configs: DataFrame) -> DataFrame:
     counted = hits.join(resolved.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
     lone = (
-        files.where(F.col("path") == "firebase.json")
-        .select("repo_id")
-        .distinct()
-        .join(resolved.select("repo_id"), "repo_id", "left_anti")
+        configs.join(resolved.select("repo_id"), "repo_id", "left_anti")
         .select(
             "repo_id",
             F.lit(None).cast("string").alias("path"),
@@ -136,15 +138,28 @@ def survey(
     return hits, kept.select("repo_id", "path", F.col("named").alias("content"), "readable")
 
 
-def findings_from_hits(hits: DataFrame, files: DataFrame) -> DataFrame:
+def repository_state(outline: DataFrame) -> DataFrame:
+    """What the root files of each repository say, from the one exchange over the outline, written once."""
+    return stored(repository.root_state(outline))
+
+
+def findings_from_hits(hits: DataFrame, files: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """Three families of hits part by rule: walked files (the ignore file applies), rule
-    files (it does not) and Firebase rules (only the file that counts)."""
+    files (it does not) and Firebase rules (only the file that counts).
+
+    With the ``state`` of the repositories, ``files`` are only asked for rules files."""
     rule = F.col("rule")
-    firebase = firebase_from_hits(hits.where(rule.startswith("firebase-")), files)
+    of_firebase = hits.where(rule.startswith("firebase-"))
     rules = hits.where(rule.startswith("rules-"))
-    walked = filter_ignored(
-        hits.where(~rule.startswith("firebase-") & ~rule.startswith("rules-")), files
-    )
+    others = hits.where(~rule.startswith("firebase-") & ~rule.startswith("rules-"))
+    if state is None:
+        firebase = firebase_from_hits(of_firebase, files)
+        walked = filter_ignored(others, files)
+    else:
+        ignored = state.where("ignore_names is not null").select("repo_id", F.col("ignore_names").alias("_ignore_names"))
+        counts = rules_that_count(files, state.select("repo_id", "firestore", "database"), ignored)
+        firebase = _firebase(of_firebase, counts, state.where("has_config").select("repo_id"))
+        walked = without_ignored(others, ignored)
     columns = firebase.columns
     return attach_texts(
         walked.select(*columns).unionByName(rules.select(*columns)).unionByName(firebase)
@@ -170,18 +185,31 @@ def all_findings(
     over the contents.  All repository-level checks read its narrow outline.
     """
     hits, outline = surveyed or survey(files)
-    manifests = parse_manifests(outline)
+    state = repository_state(outline)
+    known = stored(repository.tracked_state(tracked))
+    git = known if git_repos is None else git_repos.select("repo_id").distinct()
     return fo.union_scans(
         [
-            findings_from_hits(hits, outline),
-            repository.env_ignore_gaps(outline, tracked),
-            check_git(outline, tracked, commit_lines, git_repos),
-            packages.supply_chain(outline, manifests),
-            packages.vulnerable_dependencies(outline, manifests, advisories),
+            *outline_scans(hits, outline, state, known, advisories),
+            repository.git_gaps_of(state, git),
+            repository.git_tracked_of(known),
+            repository.git_history_secrets(commit_lines),
         ]
     )
 
 
+def outline_scans(
+    hits: DataFrame, outline: DataFrame, state: DataFrame, known: DataFrame, advisories: DataFrame
+) -> list[DataFrame]:
+    """Findings of hits, environment files and manifests, from the states of the repositories and of what git tracks."""
+    return [
+        findings_from_hits(hits, outline, state),
+        repository.env_gaps_of(state, known),
+        packages.supply_chain(None, state),
+        packages.vulnerable_dependencies(None, state, advisories),
+    ]
+
+
 def tree_findings(
     spark: SparkSession, root: str, tracked: DataFrame, commit_lines: DataFrame, advisories: DataFrame, **options
 ) -> DataFrame:
@@ -191,13 +219,12 @@ def tree_findings(
 
 
 def audit_report(findings: DataFrame, repos: DataFrame) -> DataFrame:
-    """Score, grade, counts and fix prompt; one row per repository.
+    """Score, grade, counts and the whole fix list; one row per repository, if its list is not over 1,000 entries.
 
-    ``fix_prompt`` is the first of ``parts`` parts, for almost every repository the whole list;
-    ``findings.fix_prompt`` has all parts as rows.  Scores and prompts both read the findings, so
-    they are written first.
+    A longer list is cut into ``parts``, each with a row that repeats the score.  Scores and lists both read the
+    findings, so they are written first.
     """
     findings = stored(findings)
     scores = fo.audit_score(findings, repos)
-    first = fo.fix_prompt(findings, repos).where("part = 0")
-    return scores.join(first.drop("part"), "repo_id").withColumnRenamed("text", "fix_prompt")
+    # The parts are the left side: the adaptive skew join can split a repository with very many.
+    return fo.fix_prompt(findings, repos).withColumnRenamed("text", "fix_prompt").join(scores, "repo_id")

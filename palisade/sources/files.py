@@ -20,6 +20,7 @@ from palisade.session import stored
 
 MANIFEST_SCHEMA = "dependencies map<string,string>, devDependencies map<string,string>"
 IGNORE_FILE = ".gitignore"
+MANIFEST = "package.json"
 
 
 def read_files(
@@ -149,11 +150,16 @@ def filter_ignored(rows: DataFrame, files: DataFrame) -> DataFrame:
     repository, so when a repository is oversized the adaptive skew join splits its rows
     and repeats that single row; it is only broadcast below the optimizer's threshold.
     """
+    return without_ignored(rows, ignore_names(files))
+
+
+def without_ignored(rows: DataFrame, ignored: DataFrame) -> DataFrame:
+    """The same, given (repo_id, _ignore_names)."""
     path = F.col("path")
     names = F.concat(F.split(path, "/"), F.array(path))
     hidden = F.arrays_overlap("_ignore_names", names)
     return (
-        rows.join(ignore_names(files), "repo_id", "left")
+        rows.join(ignored, "repo_id", "left")
         .where(~F.coalesce(hidden, F.lit(False)))
         .drop("_ignore_names")
     )
@@ -165,6 +171,21 @@ def explode_lines(files: DataFrame, text: str = "content") -> DataFrame:
     return files.select(*others, F.posexplode(lexing.lines_of(F.col(text))).alias("i", "line"))
 
 
+def manifest_columns(text: Column) -> list[Column]:
+    """``raw, valid, dependencies, devDependencies`` of a manifest's text; not valid where there is none."""
+    parsed = F.from_json(text, MANIFEST_SCHEMA)
+    # One JSON value, repeated keys allowed: one element of a list, and the value of a field.
+    field = F.concat(F.lit('{"it": '), text, F.lit("}"))
+    whole = F.from_json(field, "it string, broken string", {"columnNameOfCorruptRecord": "broken"})
+    single = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    valid = F.coalesce(single, F.lit(False)) & whole["broken"].isNull() & whole["it"].isNotNull()
+    return [
+        text.alias("raw"),
+        valid.alias("valid"),
+        *(F.when(valid, _last_of_each(parsed[c])).alias(c) for c in ("dependencies", "devDependencies")),
+    ]
+
+
 def parse_manifests(files: DataFrame) -> DataFrame:
     """Root package.json of each repository; maps are NULL where absent or invalid.
 
@@ -172,26 +193,7 @@ def parse_manifests(files: DataFrame) -> DataFrame:
     twice the last value counts, at the top and inside the maps.
     """
     text = F.col("content")
-    parsed = F.from_json(text, MANIFEST_SCHEMA)
-    # One JSON value, repeated keys allowed: one element of a list, and the value of a field.
-    field = F.concat(F.lit('{"it": '), text, F.lit("}"))
-    options = {"columnNameOfCorruptRecord": "broken"}
-    whole = F.from_json(field, "it string, broken string", options)
-    single = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
-    return (
-        files.where((F.col("path") == "package.json") & is_readable(text))
-        .select("repo_id", text.alias("raw"), whole.alias("_w"), single.alias("_single"), parsed.alias("_m"))
-        .withColumn(
-            "valid",
-            F.coalesce("_single", F.lit(False)) & F.col("_w.broken").isNull() & F.col("_w.it").isNotNull(),
-        )
-        .select(
-            "repo_id",
-            "raw",
-            "valid",
-            *(F.when(F.col("valid"), _last_of_each(F.col(f"_m.{c}"))).alias(c) for c in ("dependencies", "devDependencies")),
-        )
-    )
+    return files.where((F.col("path") == MANIFEST) & is_readable(text)).select("repo_id", *manifest_columns(text))
 
 
 def _last_of_each(entries: Column) -> Column:
@@ -220,12 +222,18 @@ def resolve_firebase_rules(files: DataFrame) -> DataFrame:
     walk finds, else one of three fixed root names even if ignored.
     Only keys are grouped; the partial ``min`` keeps one row per repository and task.
     """
-    path, content = F.col("path"), F.col("content")
-    config = files.where((path == "firebase.json") & is_readable(content)).select(
+    content = F.col("content")
+    config = files.where((F.col("path") == "firebase.json") & is_readable(content)).select(
         "repo_id",
         F.get_json_object(content, "$.firestore.rules").alias("firestore"),
         F.get_json_object(content, "$.database.rules").alias("database"),
     )
+    return rules_that_count(files, config, ignore_names(files))
+
+
+def rules_that_count(files: DataFrame, config: DataFrame, ignored: DataFrame) -> DataFrame:
+    """The same, given (repo_id, firestore, database) of firebase.json and (repo_id, _ignore_names)."""
+    path, content = F.col("path"), F.col("content")
     named = config.select(
         "repo_id",
         F.explode(
@@ -240,8 +248,8 @@ def resolve_firebase_rules(files: DataFrame) -> DataFrame:
     ).select("repo_id", "c.priority", F.regexp_replace("c.path", r"^\./", "").alias("path"))
     readable = F.col("readable") if "readable" in files.columns else is_readable(content)
     rules = files.where(paths.extension(path) == ".rules").select("repo_id", "path", readable.alias("ok"))
-    walked = filter_ignored(
-        rules.where(~paths.in_skipped_directory(path)).select("repo_id", "path"), files
+    walked = without_ignored(
+        rules.where(~paths.in_skipped_directory(path)).select("repo_id", "path"), ignored
     ).select("repo_id", F.lit(3).alias("priority"), "path")
     fixed = rules.where(F.col("ok")).select(
         "repo_id",
