@@ -49,7 +49,7 @@ def _numbers(texts: pa.Array) -> list[np.ndarray]:
     line_of = np.sort(np.concatenate([np.arange(rows), np.searchsorted(bounds[1:], cuts, "right")]), kind="stable")
     worded = np.searchsorted(words.starts, ends) > np.searchsorted(words.starts, starts)
     lane = tx.LANES[0]
-    lines = tx._runs(lane.letters[data], starts, ends, lane.byte_base)
+    lines = tx._runs(lane.letters[data], starts, ends, lane.byte_base, small=True)
     order = np.lexsort((lines[worded], line_of[worded]))
     of, line = line_of[worded][order], lines[worded][order]
     again = np.zeros(len(of), bool)

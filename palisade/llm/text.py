@@ -1,8 +1,10 @@
-"""Words and word windows of whole Arrow batches as 64-bit hashes, computed with numpy.
+"""Words and word windows of whole Arrow batches as hashes, computed with numpy.
 
 A word is a run of ``[^\\x20\\x09-\\x0D]``.  A batch's bytes are hashed once as prefix sums of a
-polynomial modulo 2**64, so the hash of any word, and of any run of words, is one subtraction and
-one multiplication.  Two lanes (different constants) give 128 bits where equality must hold.
+polynomial modulo the prime 2**61 - 1, so the hash of any word, and of any run of words, is one subtraction and
+one multiplication.  Over a field two different runs of n bytes are equal for n of the 2**61 bases at most (modulo a
+power of two there are strings that are equal for every base).  Two lanes (different constants) give 122 bits where
+equality must hold.
 """
 
 from __future__ import annotations
@@ -21,16 +23,22 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+#: The field that hashes are computed in.
+PRIME = (1 << 61) - 1
+_P, _LOW31, _LOW30 = np.uint64(PRIME), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_30, _31, _61 = np.uint64(30), np.uint64(31), np.uint64(61)
+
+
 class _Lane(NamedTuple):
-    letters: np.ndarray
+    letters: np.ndarray  #: a number below 2**31 for each byte
     byte_base: int
     word_base: int
 
 
 def _lane(seed: int) -> _Lane:
     rng = np.random.default_rng(seed)
-    draw = rng.integers(1, 1 << 63, 258, dtype=np.uint64)
-    return _Lane(draw[:256] * np.uint64(2) + np.uint64(1), int(draw[256]) | 5, int(draw[257]) | 5)
+    bases = rng.integers(1 << 32, PRIME - 1, 2)
+    return _Lane(rng.choice((1 << 31) - 1, 256, replace=False).astype(np.uint64) + np.uint64(1), int(bases[0]), int(bases[1]))
 
 
 LANES = (_lane(20_011), _lane(77_003))
@@ -45,27 +53,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo the prime, for 64-bit numbers."""
+    x = (x & _P) + (x >> _61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray, small: bool = False) -> np.ndarray:
+    """Product modulo the prime of numbers below it (``small``: b below 2**31), from halves of 31 bits."""
+    high, low = a >> _31, a & _LOW31
+    if small:
+        middle, rest = high * b, low * b
+    else:
+        b_high, b_low = b >> _31, b & _LOW31
+        middle = high * b_low + low * b_high
+        rest = low * b_low + ((high * b_high) << np.uint64(1))  # 2**62 is 2
+    # middle * 2**31: its upper part stands for multiples of 2**61, which is 1.
+    return _reduced(rest + (middle >> _30) + ((middle & _LOW30) << _31))
+
+
 _POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 … base**(n-1) modulo 2**64; tables up to the chunk size are kept."""
+    """base**0 … base**(n-1) modulo the prime; tables up to the chunk size are kept."""
     known = _POWERS.get(base)
     if known is None or len(known) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        known = np.multiply.accumulate(steps)
+        known = np.ones(1, np.uint64)
+        while len(known) < max(n, 1 << 16):
+            known = np.concatenate([known, _times(known, np.full(1, pow(base, len(known), PRIME), np.uint64))])
         if n <= 4 * CHUNK_BYTES:
             _POWERS[base] = known
     return known[:n]
 
 
-def _runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Hash of values[start:end] for each pair, the same wherever the run stands."""
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _powers(base, len(values)), out=sums[1:])
-    inverse = pow(base, -1, 1 << 64)
-    return mix((sums[ends] - sums[starts]) * _powers(inverse, len(values) + 1)[starts])
+def _runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int, small: bool = False) -> np.ndarray:
+    """Hash of values[start:end] for each pair, the same wherever the run stands (``small``: values below 2**31)."""
+    terms = _times(_powers(base, len(values)), values if small else _reduced(values), small)
+    high, low = np.zeros(len(values) + 1, np.uint64), np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(terms >> _31, out=high[1:])
+    np.cumsum(terms & _LOW31, out=low[1:])
+    upper = _times(_reduced(high[ends] - high[starts]), np.full(1, 1 << 31, np.uint64))
+    inverse = _powers(pow(base, -1, PRIME), len(values) + 1)[starts]
+    return mix(_times(_reduced(upper + _reduced(low[ends] - low[starts])), inverse))
 
 
 class Words(NamedTuple):
@@ -78,7 +108,7 @@ class Words(NamedTuple):
 
     def hashes(self, lane: int = 0) -> np.ndarray:
         it = LANES[lane]
-        return _runs(it.letters[self.data], self.starts, self.ends, it.byte_base)
+        return _runs(it.letters[self.data], self.starts, self.ends, it.byte_base, small=True)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.offsets)

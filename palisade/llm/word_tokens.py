@@ -37,8 +37,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.new: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.symbols: dict[str, bytes] = {}
         letters = ByteLevel(add_prefix_space=False, use_regex=False)
         self.spelling = {
@@ -68,8 +68,8 @@ class WordEncoder:
             self.symbols[behind] = known
         return ids + known
 
-    def _ids_of(self, keys: list[int], word_at) -> list[bytes]:
-        """Ids of the words with the given hashes; ``word_at(i)`` is the i-th of these words."""
+    def _ids_of(self, keys: list[bytes]) -> list[bytes]:
+        """Ids of distinct words."""
         if len(self.new) > CACHE_ENTRIES:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
@@ -79,7 +79,7 @@ class WordEncoder:
             if ids is None:
                 ids = old.get(keys[i])
                 if ids is None:
-                    word = word_at(i)
+                    word = keys[i].decode()
                     ids = self._encode(word)
                     if ids is None:
                         rest[i] = word
@@ -93,16 +93,18 @@ class WordEncoder:
     def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """Ids of each text as unsigned 32-bit integers of this machine; null has none.
 
-        Words are told apart by a 64-bit hash of their bytes in lower case, found for all of them at once; only
-        distinct words are looked up, and only unknown ones become strings."""
+        Distinct words (of bytes in lower case) are found for all of them at once and looked up as they are; only
+        unknown ones become strings."""
         array_of = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         bounds, data = tx._bounds(array_of)
         data = folded(data[bounds[0] : bounds[-1]])
         words = tx.words_between(data, bounds - bounds[0], _CUTS)
-        distinct, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        starts, ends = words.starts[first].tolist(), words.ends[first].tolist()
-        raw = data.tobytes()
-        blobs = self._ids_of(distinct.tolist(), lambda i: raw[starts[i] : ends[i]].decode())
+        offsets = np.zeros(len(words.starts) + 1, np.int64)
+        np.cumsum(words.ends - words.starts, out=offsets[1:])
+        letters = pa.py_buffer(data[~_CUTS[data]])
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words.starts), [None, pa.py_buffer(offsets), letters]).dictionary_encode()
+        which = np.asarray(coded.indices)
+        blobs = self._ids_of(coded.dictionary.to_pylist())
         sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
         flat = np.frombuffer(b"".join(blobs), np.uint32)
         begins = np.cumsum(sizes) - sizes
