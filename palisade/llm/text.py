@@ -167,6 +167,27 @@ def words_between(data: np.ndarray, bounds: np.ndarray, cuts: np.ndarray) -> Wor
     return Words(starts, ends, np.searchsorted(starts, bounds), data)
 
 
+def coded(words: Words, cuts: np.ndarray = _SPACE) -> pa.DictionaryArray:
+    """The words themselves as bytes, each distinct one once; ``cuts`` are those they were found by."""
+    offsets = np.zeros(len(words.starts) + 1, np.int64)
+    np.cumsum(words.ends - words.starts, out=offsets[1:])
+    letters = words.data[~cuts[words.data]]
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(letters)]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words.starts), buffers).dictionary_encode()
+
+
+def expanded(codes: np.ndarray, values: list[bytes], kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers (of ``kind``) of the words with the given codes one after the other, and where each word's end."""
+    size = np.dtype(kind).itemsize
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) // size
+    flat = np.frombuffer(b"".join(values), kind)
+    begins = np.cumsum(sizes) - sizes
+    counts = sizes[codes]
+    behind = np.cumsum(counts)
+    at = np.repeat(begins[codes] - behind + counts, counts) + np.arange(behind[-1] if len(behind) else 0)
+    return flat[at], behind
+
+
 def windows(hashes: np.ndarray, size: int, lane: int = 0) -> np.ndarray:
     """Hash of each run of ``size`` words; entry i starts at word i."""
     n = max(0, len(hashes) - size + 1)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from typing import NamedTuple
 
 import numpy as np
@@ -35,6 +36,13 @@ MEAN_EPOCHS, WINDOW_EPOCHS, RATE = 15, 45, 0.05
 THRESHOLD = 0.7
 CACHE_ENTRIES = 300_000
 _SYMBOLS = re.compile(r"[\W_]+")
+#: ASCII characters that are no letter and no digit, those at which Python's ``split`` parts words besides white
+#: space, and the table of CRC-32 by its public polynomial.
+_MARKS = bytes(c for c in range(128) if not chr(c).isalnum())
+_SPLITTERS = re.compile(rb"[\x1c-\x1f]")
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, (_CRC >> 1) ^ np.uint32(0xEDB88320), _CRC >> 1).astype(np.uint32)
 
 
 class Model(NamedTuple):
@@ -77,35 +85,51 @@ def _pieces(word: str) -> list[str]:
 
 def _worst(gains: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(mean gain, first word, words) of the worst window of each text that has words."""
-    sums = np.concatenate([[0.0], np.cumsum(gains)])
     counts = np.diff(offsets)
     span = np.minimum(counts, WINDOW)
     some = np.flatnonzero(counts)
     score, first = np.zeros(len(counts)), offsets[:-1].copy()
-    owner = np.repeat(np.arange(len(counts)), counts - span + (counts > 0))
-    places = counts - span + (counts > 0)
-    start = np.arange(len(owner)) - np.repeat(np.cumsum(places) - places, places) + offsets[:-1][owner]
-    means = (sums[start + span[owner]] - sums[start]) / span[owner]
+    # Windows of a text start at its words but the last span - 1; all words have a place here, the others never win.
+    sums = np.zeros(len(gains) + 1)
+    np.cumsum(gains, out=sums[1:])
+    wide = np.repeat(span, counts).astype(np.int8)
+    ends = np.minimum(np.arange(len(gains), dtype=np.int64) + wide, len(gains))
+    means = (sums[ends] - sums[:-1]) / np.maximum(wide, 1)
+    del ends, sums
+    for back in range(1, WINDOW):
+        late = offsets[1:][some] - back
+        means[late[span[some] > back]] = -np.inf
     if len(some):
-        begins = (np.cumsum(places) - places)[some]
-        best = np.maximum.reduceat(means, begins)
+        best = np.maximum.reduceat(means, offsets[:-1][some])
         score[some] = best
-        hit = np.flatnonzero(means == np.repeat(best, places[some]))
-        rows, at = np.unique(owner[hit], return_index=True)
-        first[rows] = start[hit[at]]
+        hit = np.flatnonzero(means == np.repeat(best, counts[some]))
+        rows, at = np.unique(np.searchsorted(offsets, hit, "right") - 1, return_index=True)
+        first[rows] = hit[at]
     return score, first, span
 
 
 def train(texts: list[str], labels: list[int], seed: int = 13) -> Model:
     """Model fitted by Adam over the whole sample; both labels weigh the same."""
-    split = [_words(x) for x in texts]
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for words in split for w in words))}
-    flat = np.array([vocabulary[w] for words in split for w in words], np.int64)
-    offsets = np.concatenate([[0], np.cumsum([len(words) for words in split])])
-    parts = [subwords(w) or [0] for w in vocabulary]
-    sizes = np.array([len(x) for x in parts])
+    # One text at a time, into arrays: the driver never holds all words as strings.
+    vocabulary: dict[str, int] = {}
+    numbers, counts, buckets, grams = array("i"), array("i"), array("i"), array("i")
+    for text in texts:
+        words = _words(text)
+        counts.append(len(words))
+        for word in words:
+            number = vocabulary.setdefault(word, len(vocabulary))
+            if number == len(grams):
+                parts = subwords(word) or [0]
+                grams.append(len(parts))
+                buckets.extend(parts)
+            numbers.append(number)
+    del vocabulary
+    flat = np.frombuffer(numbers, np.int32)
+    offsets = np.concatenate([[0], np.cumsum(np.frombuffer(counts, np.int32), dtype=np.int64)])
+    sizes = np.frombuffer(grams, np.int32)
     begins = np.cumsum(sizes) - sizes
-    used, bucket = np.unique(np.concatenate([np.array(x) for x in parts]), return_inverse=True)
+    used, bucket = np.unique(np.frombuffer(buckets, np.int32), return_inverse=True)
+    bucket = bucket.astype(np.int32)
     target = np.array(labels, np.float64)
     weight = np.where(target == 1, 0.5 / max(1, target.sum()), 0.5 / max(1, (1 - target).sum()))
     rng = np.random.default_rng(seed)
@@ -125,7 +149,7 @@ def train(texts: list[str], labels: list[int], seed: int = 13) -> Model:
         error = (chance - target) * weight
         owner = tx.spread(span)
         at = np.repeat(start, span) + np.arange(len(owner)) - np.repeat(np.cumsum(span) - span, span)
-        by_word = np.bincount(flat[at], (error / np.maximum(span, 1))[owner], len(parts)) / sizes
+        by_word = np.bincount(flat[at], (error / np.maximum(span, 1))[owner], len(sizes)) / sizes
         by_bucket = np.bincount(bucket, np.repeat(by_word, sizes), len(used))
         pull = by_bucket @ vectors
         gradients = (
@@ -202,27 +226,62 @@ class _Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.new: dict[str, float] = {}
-        self.old: dict[str, float] = {}
-
-    def gain(self, word: str) -> float:
-        known = self.old.get(word)
-        if known is None:
-            parts = subwords(word)
-            known = float(self.model.gains[parts].mean()) if parts else 0.0
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _slow(self, run: bytes) -> bytes:
+        """Gains of the words of a run of any characters: none of a lone mark, several of a long word."""
+        found = [subwords(w) for w in _words(run.decode("utf-8", "replace"))]
+        return array("d", [float(self.model.gains[x].mean(dtype=np.float64)) if x else 0.0 for x in found]).tobytes()
+
+    def _fast(self, runs: list[bytes]) -> np.ndarray:
+        """Gain of each ASCII run that is one word: the same hashes, a byte of all n-grams at a time."""
+        cores = [b"<" + run.lower().strip(_MARKS) + b">" for run in runs]
+        lengths = np.fromiter(map(len, cores), np.int64, len(cores))
+        data = np.frombuffer(b"".join(cores) + bytes(max(GRAMS)), np.uint8)
+        n = int(lengths.sum())
+        left = np.repeat(np.cumsum(lengths), lengths) - np.arange(n)
+        word = np.repeat(np.arange(len(cores)), lengths)
+        sums = self.model.gains[[zlib.crc32(c) % BUCKETS for c in cores]].astype(np.float64)
+        total = np.ones(len(cores))
+        crc = np.full(n, 0xFFFFFFFF, np.uint32)
+        for size in range(1, max(GRAMS) + 1):
+            crc = _CRC[(crc ^ data[size - 1 : size - 1 + n]) & 0xFF] ^ (crc >> np.uint32(8))
+            if size in GRAMS:
+                whole = np.flatnonzero(left >= size)
+                bucket = (crc[whole] ^ np.uint32(0xFFFFFFFF)) % np.uint32(BUCKETS)
+                sums += np.bincount(word[whole], self.model.gains[bucket], len(cores))
+                total += np.bincount(word[whole], minlength=len(cores))
+        return np.where(lengths > 2, sums / total, 0.0)
+
+    def gains(self, runs: list[bytes]) -> list[bytes]:
+        """Gains of the words of runs without ASCII white space."""
         if len(self.new) >= CACHE_ENTRIES:
             self.old, self.new = self.new, {}
-        if len(word) < 200:
-            self.new[word] = known
-        return known
-
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        split = [_words(x) for x in texts]
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)
-        gains = np.fromiter(
-            (self.new[w] if w in self.new else self.gain(w) for words in split for w in words), np.float64, offsets[-1]
-        )
-        worst, _, _ = _worst(gains, offsets)
+        new, old = self.new, self.old
+        found = list(map(new.get, runs))
+        unknown = []
+        for i, known in enumerate(found):
+            if known is None:
+                run = runs[i]
+                known = old.get(run)
+                if known is None and run.isascii() and len(run) < LONG_WORD and not _SPLITTERS.search(run):
+                    unknown.append(i)
+                    continue
+                found[i] = known = self._slow(run) if known is None else known
+                if len(run) < 200:
+                    new[run] = known
+        if unknown:
+            each = self._fast([runs[i] for i in unknown]).tobytes()
+            for place, i in enumerate(unknown):
+                found[i] = new[runs[i]] = each[8 * place : 8 * place + 8]
+        return found
+
+    def score(self, texts: list[str | None] | pa.Array) -> np.ndarray:
+        words = tx.words(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        codes = tx.coded(words)
+        gains, behind = tx.expanded(np.asarray(codes.indices), self.gains(codes.dictionary.to_pylist()), np.float64)
+        worst, _, _ = _worst(gains, np.concatenate([[0], behind])[words.offsets])
         return 1 / (1 + np.exp(-np.clip(worst + self.model.bias, -40, 40)))
 
 
@@ -245,7 +304,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             for batch in batches:
                 texts = tx.string_column(batch, "text")
                 for a, b in tx.chunks(texts):
-                    found = scorer.score(texts.slice(a, b - a).to_pylist())
+                    found = scorer.score(texts.slice(a, b - a))
                     yield pa.RecordBatch.from_arrays(
                         [*batch.slice(a, b - a).columns, pa.array(found)], names=[*columns, "score"]
                     )

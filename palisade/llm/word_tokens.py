@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from functools import lru_cache
 from string import punctuation
@@ -27,7 +28,8 @@ class WordEncoder:
     single digits, and runs of other characters.
 
     Then the ids of a text are those of its words in order.  Words are found by splitting at spaces and
-    line ends; a word that still holds other white space is simply a longer one.
+    line ends; a word that still holds other white space is simply a longer one.  A text that holds the string of an
+    added token is encoded by the library as a whole.
     """
 
     def __init__(self, path: str):
@@ -36,7 +38,8 @@ class WordEncoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(re.escape(t.lower().encode()) for t in added)) if added else None
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.symbols: dict[str, bytes] = {}
@@ -99,21 +102,18 @@ class WordEncoder:
         bounds, data = tx._bounds(array_of)
         data = folded(data[bounds[0] : bounds[-1]])
         words = tx.words_between(data, bounds - bounds[0], _CUTS)
-        offsets = np.zeros(len(words.starts) + 1, np.int64)
-        np.cumsum(words.ends - words.starts, out=offsets[1:])
-        letters = pa.py_buffer(data[~_CUTS[data]])
-        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words.starts), [None, pa.py_buffer(offsets), letters]).dictionary_encode()
-        which = np.asarray(coded.indices)
-        blobs = self._ids_of(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
-        flat = np.frombuffer(b"".join(blobs), np.uint32)
-        begins = np.cumsum(sizes) - sizes
-        counts = sizes[which]
-        behind = np.cumsum(counts)
-        ids = flat[np.repeat(begins[which] - behind + counts, counts) + np.arange(behind[-1] if len(behind) else 0)]
+        codes = tx.coded(words, _CUTS)
+        ids, behind = tx.expanded(np.asarray(codes.indices), self._ids_of(codes.dictionary.to_pylist()), np.uint32)
         cuts = (np.concatenate([[0], behind])[words.offsets] * 4).tolist()
         out = ids.tobytes()
-        return [out[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        found = [out[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        if self.added is not None:
+            places = [m.start() for m in self.added.finditer(data.tobytes())]
+            # The library splits a text at the strings of added tokens before anything else: such texts go to it whole.
+            for i in np.unique(np.searchsorted(bounds - bounds[0], places, "right") - 1).tolist():
+                text = array_of[i].as_py() or ""
+                found[i] = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return found
 
 
 @lru_cache(maxsize=2)

@@ -164,7 +164,6 @@ def test_vectors_equal_brute_force(spark):
 
 def test_word_tokens_equal_the_library():
     rng, coder, library = random.Random(6), WordEncoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
-    library.encode_special_tokens = True
     texts = [noise(rng) for _ in range(3000)] + ["", "Ça. <|ENDOFTEXT|> don't I'LL x's.", "a" * 3000]
     for text, ids in zip(texts, coder.encode(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
