@@ -304,15 +304,11 @@ def line_start_states(t: Tables) -> DataFrame:
 @query
 def match_offset(t: Tables) -> DataFrame:
     """Offset of the third column of every line."""
-    lines = lexing.lines_of(F.col("text"))
-    numbered = t.table("documents").select(
-        "doc_id", lines.alias("lines"), F.explode(F.sequence(F.lit(0), F.size(lines) - 1)).alias("n")
-    )
-    return numbered.select(
-        "doc_id",
-        F.col("n").cast("bigint").alias("i"),
-        lexing.match_offset(F.col("lines"), F.col("n"), F.lit(3)).cast("bigint").alias("pos"),
-    )
+    starts = lexing.line_starts(lexing.lines_of(F.col("text")))
+    # Every row carries its own start, not the lines of its text.
+    lines = t.table("documents").select("doc_id", F.posexplode(starts).alias("i", "start"))
+    at = lexing.match_offset(F.array("start"), F.lit(0), F.lit(3))
+    return lines.select("doc_id", F.col("i").cast("bigint").alias("i"), at.alias("pos"))
 
 
 def _quoted_lines(t: Tables) -> DataFrame:

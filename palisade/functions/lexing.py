@@ -12,6 +12,8 @@ and a whole file costs one linear pass whatever the number of hits.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,12 +106,49 @@ def lines_of(content: Column) -> Column:
     return F.split(content, "\n")
 
 
-def match_offset(lines: Column, line_index: Column, column: Column) -> Column:
-    """Character offset of (0-based line, 0-based column), one per line break."""
-    before = F.slice(lines, F.lit(1), line_index)
-    return (
-        F.aggregate(before, F.lit(0), lambda total, text: total + F.length(text) + 1) + column
-    )
+#: Numbers that one block of a running sum adds up, and levels of blocks of blocks above it.
+_SUM_BLOCK, _SUM_LEVELS = 64, 3
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _sums_before(values: Column, levels: int = _SUM_LEVELS) -> Column:
+    """Sum of the numbers before each number of an array, in time linear in its length.
+
+    Sums of blocks are summed up the same way, and inside a block each number adds up to 63 others.
+    """
+    nothing = F.lit(0).cast("bigint")
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, nothing, lambda a, x: a + x)
+
+    def inside(part: Column, start: Column) -> Column:
+        return F.transform(part, lambda _, i: start + total(F.slice(part, F.lit(1), i)))
+
+    def blocks(numbers: Column) -> Column:
+        last = F.floor((F.array_size(numbers) - 1) / _SUM_BLOCK).cast("int")
+
+        def block(b: Column) -> Column:
+            return F.slice(numbers, b * _SUM_BLOCK + 1, F.lit(_SUM_BLOCK))
+
+        sums = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda b: total(block(b)))
+        before = _sums_before(sums, levels - 1) if levels else _bound(sums, lambda x: inside(x, nothing))
+        return F.flatten(F.transform(before, lambda start, b: _bound(block(b), lambda part: inside(part, start))))
+
+    return _bound(values, blocks)
+
+
+def line_starts(lines: Column) -> Column:
+    """Character offset at which each line starts, one for each line break before it; one pass over the lines."""
+    return _sums_before(F.transform(lines, lambda text: (F.length(text) + 1).cast("bigint")))
+
+
+def match_offset(starts: Column, line_index: Column, column: Column) -> Column:
+    """Character offset of (0-based line, 0-based column), given the lines' starts."""
+    return F.get(starts, line_index) + column
 
 
 def enclosing_string(line: Column, before: Column) -> Column:

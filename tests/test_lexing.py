@@ -1,6 +1,7 @@
 """The lexer against a character-by-character model, on random texts."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -134,3 +135,30 @@ def test_equal_versions_and_what_is_none(spark):
     assert same.select(values.version_key(F.col("v")).alias("k")).distinct().count() == 1
     none = spark.createDataFrame([("workspace:*",), ("github:u/r",), ("file:../a",), ("",), ("x",)], "v string")
     assert none.select(values.version_key(F.col("v")).alias("k")).where("k is not null").count() == 0
+
+
+def test_line_starts_and_offsets(spark):
+    rng = random.Random(4)
+    texts = ["", "\n", "a\n\nb", "no break", "é😀\nx"] + [
+        "\n".join("x" * rng.randrange(9) for _ in range(n)) for n in (63, 64, 65, 4096, 4097, 9000)
+    ]
+    table = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    starts = lexing.line_starts(lexing.lines_of(F.col("text")))
+    found = {r.id: r.s for r in table.select("id", starts.alias("s")).collect()}
+    for i, text in enumerate(texts):
+        lengths = [len(x) + 1 for x in text.split("\n")]
+        assert found[i] == [sum(lengths[:k]) for k in range(len(lengths))] if len(lengths) < 100 else found[i][-1] == sum(lengths[:-1])
+    at = lexing.match_offset(starts, F.lit(2), F.lit(1)).alias("at")
+    assert [r["at"] for r in table.orderBy("id").limit(4).select(at).collect()] == [None, None, 4, None]
+
+
+def test_line_starts_are_linear_in_the_lines(spark):
+    def seconds(lines):
+        table = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(lines)), lambda i: i.cast("string")), "\n").alias("t"))
+        began = time.time()
+        assert table.select(F.array_size(lexing.line_starts(lexing.lines_of(F.col("t")))).alias("n")).first().n == lines
+        return time.time() - began
+
+    seconds(1000)
+    # Adding up all lines before each would take 64 times as long, and minutes.
+    assert seconds(160_000) < 2 + 24 * seconds(20_000)
