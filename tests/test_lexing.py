@@ -78,7 +78,7 @@ def test_state_inside_a_line(spark):
     start = F.get(lexing.line_start_states(F.col("text")), F.col("i"))
     got = df.select(
         "*", lexing.state_in_line(start, F.substring(line, F.lit(1), F.col("col")), line).alias("s"),
-        lexing.match_offset(F.split("text", "\n"), F.col("i"), F.col("col")).alias("offset"),
+        lexing.match_offset(lexing.line_starts(F.split("text", "\n")), F.col("i"), F.col("col")).alias("offset"),
     ).collect()
     # The character after a line's end is its break, never part of a delimiter.
     wrong = [(r.text, r.at, r.s) for r in got if r.s != model_state(r.text, r.at)]
