@@ -7,11 +7,11 @@ coordinate stays, so two signatures agree in a coordinate with the probability o
 Jaccard similarity.  About K·ln K darts are thrown per set, however many elements it has.
 
 Signatures are joined in bands.  A shared band only proposes; exact similarity of the shingle sets
-decides.  Equal sets are folded first.  Buckets are never paired out: each bucket's members meet its
-leader, then delegates of the classes still apart in the bucket, and at last, in blocks of bounded size, all
-members of classes that are still apart.  In the first two rounds only the most promising partner (of each
-other class) is tested, the last round tests all that are left.  Pairs inside one class need no test, as their
-class is known.
+decides.  Equal sets are folded first.  Buckets are never paired out.  First each set is tested with the
+leader it shares most buckets with.  Pairs inside one class need no test, and every pair of two classes
+has a set outside its bucket's main class, the largest one.  So from then on only those outsiders look for
+partners: in a few rounds among delegates, a bounded number per bucket, drawn anew each round; at last
+among all members of their buckets, in blocks, the only round that compares two sides in full.
 """
 
 from __future__ import annotations
@@ -34,10 +34,10 @@ SIMILARITY = 0.8
 BANDS, ROWS = 27, 6
 #: Pairs whose signatures agree this many standard deviations below the threshold are not read in full.
 DEVIATIONS = 5
-#: Delegates of a class in a bucket, before the round in which all members meet.
-DELEGATES = 4
-#: Members of a bucket that are compared at once in the last round.
-BLOCK = 128
+#: Delegates of a bucket's main class, and of its outsiders, and the rounds in which outsiders meet them.
+DELEGATES, ROUNDS = 4, 2
+#: Members of a bucket that are compared at once in the last round, and pairs whose signatures are compared at once.
+BLOCK, PAIRS = 1024, 1 << 16
 
 _STEP, _LAYER, _COORDINATE, _HEIGHT = (
     np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
@@ -157,6 +157,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
     size = BANDS * ROWS
     docs = docs.select("doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
+    wide = size + 8 * BANDS
     slack = similarity - DEVIATIONS * math.sqrt(similarity * (1 - similarity) / size)
 
     def sign(batches):
@@ -177,7 +178,6 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
                 bands = tx.mix(bands + signed.reshape(rows, BANDS, ROWS)[:, :, i] + _STEP)
             bands = tx.mix(bands + np.arange(BANDS, dtype=np.uint64) * _LAYER).view(np.int64)
             marks = (tx.mix(signed) & np.uint64(255)).astype(np.uint8)
-            shared = (bands.view(np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             some = sizes > 0
             yield pa.RecordBatch.from_arrays(
                 [
@@ -186,8 +186,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
                     pa.array(digests[1], mask=~some),
                     pa.array(sizes),
                     pa.array(list(bands), pa.list_(pa.int64())),
-                    # Per coordinate a byte, then per band four bytes of its hash.
-                    pa.array([x.tobytes() + y.tobytes() for x, y in zip(marks, shared, strict=True)], pa.binary()),
+                    # Per coordinate a byte, then the bands' hashes.
+                    pa.array([x.tobytes() + y.tobytes() for x, y in zip(marks, bands, strict=True)], pa.binary()),
                 ],
                 names=["doc_id", "digest", "digest_2", "n_shingles", "bands", "marks"],
             )
@@ -211,9 +211,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
             part = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             low, high = (np.asarray(part[c]) for c in ("n_a", "n_b"))
             near = np.minimum(low, high) >= similarity * np.maximum(low, high)
-            left, right = (
-                _table(part[c], size + 4 * BANDS)[:, :size] for c in ("marks_a", "marks_b")
-            )
+            left, right = (_table(part[c], wide)[:, :size] for c in ("marks_a", "marks_b"))
             agree = (left == right).sum(1)
             at = np.flatnonzero(near & (agree >= slack * size))
             names = ("a", "b", "class_b")
@@ -221,30 +219,27 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
                 [*(tx.pick(part[c], at) for c in names), pa.array(agree[at])], names=[*names, "agree"]
             )
 
-    def crossing(batches):
-        """Promising pairs of different classes in a block, or in two blocks, of a bucket.  A pair is named in the
-        first band that it shares; there its classes are apart as well."""
-        for rows in tx.groups(batches, 3):
-            part = {name: rows.column(i) for i, name in enumerate(rows.schema.names)}
-            bucket, low, high = (part[c][0].as_py() for c in ("bucket", "low", "high"))
-            block, n = np.asarray(part["block"]), np.asarray(part["n"])
-            ids, of = np.asarray(part["doc_id"]), np.asarray(part["class"])
-            table = _table(part["marks"], size + 4 * BANDS)
-            marks, shared = table[:, :size], np.ascontiguousarray(table[:, size:]).view(np.uint32)
-            left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-            apart = of[left][:, None] != of[right]
-            if low == high:
-                apart = np.triu(apart, 1)
-            small, large = np.minimum(n[left][:, None], n[right]), np.maximum(n[left][:, None], n[right])
-            a, b = np.nonzero(apart & (small >= similarity * large))
-            a, b = left[a], right[b]
-            near = (marks[a] == marks[b]).sum(1) >= slack * size
-            a, b = a[near], b[near]
-            first = (shared[a] == shared[b]).argmax(1)
-            named = shared[a, first] == np.uint32(bucket & 0xFFFFFFFF)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[a[named]]), pa.array(ids[b[named]])], names=["a", "b"]
-            )
+    def crossing(_: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        """Promising pairs of an outsider of one block and a member of another class in one block of a bucket.  A
+        pair is named in the first band that it shares; there its classes are apart as well."""
+        part = {name: rows.column(name).combine_chunks() for name in rows.column_names}
+        bucket, n = part["bucket"][0].as_py(), np.asarray(part["n"])
+        of = np.asarray(part["class"].dictionary_encode().indices)
+        table = _table(part["marks"], wide)
+        marks, shared = table[:, :size], np.ascontiguousarray(table[:, size:]).view(np.int64)
+        seeks = np.asarray(part["seeks"].to_numpy(zero_copy_only=False), bool)
+        left, right = np.flatnonzero(seeks), np.flatnonzero(~seeks)
+        found = []
+        for i in left:
+            near = right[(of[right] != of[i]) & (np.minimum(n[right], n[i]) >= similarity * np.maximum(n[right], n[i]))]
+            for k in range(0, len(near), PAIRS):
+                b = near[k : k + PAIRS]
+                b = b[(marks[b] == marks[i]).sum(1) >= slack * size]
+                first = (shared[b] == shared[i]).argmax(1)
+                b = b[shared[b, first] == bucket]
+                found.append((np.full(len(b), i), b))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        return pa.table({"a": tx.pick(part["doc_id"], a), "b": tx.pick(part["doc_id"], b)})
 
     def exact(batches):
         for batch in batches:
@@ -263,29 +258,25 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
     distinct = stored(
         named.groupBy(*key).agg(F.min(F.struct("doc_id", "n_shingles", "bands", "marks")).alias("it")).select(*key, "it.*")
     )
-    # Buckets are counted and joined with ids alone; what is wider follows for those that share one.
+    # Buckets are counted and joined with ids alone; what is wider follows for those that are still apart.
     placed = distinct.select("doc_id", F.explode("bands").alias("bucket"))
-    full = placed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    placed = placed.join(stored(full), "bucket")
+    full = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("doc_id").alias("leader")).where("size > 1")
+    member = stored(placed.join(stored(full.select("bucket", "leader")), "bucket"))
     marks = distinct.select("doc_id", F.col("n_shingles").alias("n"), "marks")
-    member = stored(stored(placed).join(marks, "doc_id"))
     ids = stored(member.select("doc_id").distinct())
     sets = stored(docs.join(ids, "doc_id").mapInArrow(sets_of, f"doc_id {kind}, total long, members binary"))
 
-    def candidates(left: DataFrame, right: DataFrame, when) -> DataFrame:
-        """``a, b, class_b, agree``: promising pairs of the rows of two member tables that share a bucket."""
+    def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
+        """``a, b, class_b, agree``: promising pairs of different classes that share a bucket."""
         one, two = (
             t.select("bucket", *(F.col(c).alias(f"{c}_{side}") for c in t.columns if c != "bucket"))
             for t, side in ((left, "a"), (right, "b"))
         )
-        pairs = one.join(two, "bucket").where(when)
+        pairs = one.join(two, "bucket").where("class_a != class_b")
         return pairs.select(
             F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), "class_b", "n_a", "n_b", "marks_a", "marks_b"
         ).mapInArrow(promising, f"a {kind}, b {kind}, class_b {kind}, agree long")
 
-    def best(pairs: DataFrame, *of: str) -> DataFrame:
-        return pairs.groupBy(*of).agg(F.max(F.struct("agree", "b")).alias("it")).select("a", F.col("it.b").alias("b"))
-
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs whose sets are similar."""
         pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -294,41 +285,53 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
         )
         return stored(both.mapInArrow(exact, f"a {kind}, b {kind}"))
 
-    def delegates(table: DataFrame, *of: str) -> DataFrame:
-        chosen = table.groupBy("bucket", *of).agg(F.min(F.struct("doc_id", "n", "marks", "class")).alias("it"))
-        return stored(chosen.select("bucket", "it.*"))
-
-    alone = member.withColumn("class", F.col("doc_id"))
-    labels = components(verified(best(candidates(alone, delegates(alone), "doc_id_a != doc_id_b"), "a")))
-    for last in (False, True):
+    def divided(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(members, outsiders) ``bucket, doc_id, class`` of buckets that hold several classes; outsiders are
+        those of other classes than the bucket's largest."""
         now = member.join(labels, F.col("doc_id") == F.col("node"), "left").select(
-            *member.columns, F.coalesce("component", "doc_id").alias("class")
+            "bucket", "doc_id", F.coalesce("component", "doc_id").alias("class")
         )
-        apart = (
-            now.groupBy("bucket")
-            .agg(F.min("class").alias("low"), F.max("class").alias("high"))
-            .where("low < high")
-            .select("bucket")
+        sizes = now.groupBy("bucket", "class").agg(F.count("*").alias("size"))
+        mains = sizes.groupBy("bucket").agg(F.max(F.struct("size", "class")).alias("it"), F.count("*").alias("classes"))
+        mains = mains.where("classes > 1").select("bucket", F.col("it.class").alias("main"))
+        split = stored(now.join(stored(mains), "bucket"))
+        return split.drop("main"), stored(split.where("class != main").drop("main"))
+
+    led = member.where("doc_id != leader").groupBy("doc_id", "leader").agg(F.count("*").alias("shared"))
+    chosen = led.groupBy(F.col("doc_id").alias("a")).agg(F.max(F.struct("shared", "leader")).alias("it"))
+    labels = components(verified(chosen.select("a", F.col("it.leader").alias("b"))))
+    for number in range(ROUNDS):
+        split, outside = divided(labels)
+        drawn = F.xxhash64("doc_id", F.lit(number))
+        slots = split.join(outside.select("bucket", "doc_id", F.lit(True).alias("out")), ["bucket", "doc_id"], "left")
+        chosen = slots.groupBy("bucket", "out", F.pmod(drawn, F.lit(DELEGATES)).alias("slot")).agg(
+            F.min(F.struct(drawn.alias("rank"), "doc_id", "class")).alias("it")
         )
-        now = stored(now.join(stored(apart), "bucket"))
-        if last:
-            blocks = stored(now.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
-            dealt = now.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
-            met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-            keys = ("bucket", "low", "high")
-            pairs = (
-                met.select(
-                    "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-                    "block", F.col("doc_id").cast("long"), "n", "marks", F.col("class").cast("long"),
-                )
-                .repartition(*keys)
-                .sortWithinPartitions(*keys)
-                .mapInArrow(crossing, "a long, b long")
-            )
-        else:
-            slot = now.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(DELEGATES)))
-            pairs = best(candidates(now, delegates(slot, "class", "slot"), "class_a != class_b"), "a", "class_b")
-        labels = merged(labels, verified(pairs))
+        delegates = stored(chosen.select("bucket", "it.doc_id", "it.class").join(marks, "doc_id"))
+        pairs = candidates(stored(outside.join(marks, "doc_id")), delegates)
+        best = pairs.groupBy("a", "class_b").agg(F.max(F.struct("agree", "b")).alias("it"))
+        labels = merged(labels, verified(best.select("a", F.col("it.b").alias("b"))))
+
+    # The last round: outsiders in blocks meet all members in blocks, whoever is of another class.
+    split, outside = divided(labels)
+    blocks = F.ceil(F.count("*") / BLOCK)
+    shape = stored(
+        split.groupBy("bucket").agg(blocks.alias("right"))
+        .join(outside.groupBy("bucket").agg(blocks.alias("left")), "bucket")
+    )
+
+    def dealt(table: DataFrame, mine: str, other: str, seeks: bool) -> DataFrame:
+        """Rows of a side once for each block of the other side."""
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))
+        placed = table.join(shape, "bucket").withColumn("own", F.pmod(F.xxhash64("doc_id"), mine)).withColumn("met", every)
+        return placed.select(
+            "bucket", F.col("own" if seeks else "met").alias("seeker"), F.col("met" if seeks else "own").alias("block"),
+            "doc_id", "class", F.lit(seeks).alias("seeks"),
+        )
+
+    met = stored(dealt(outside, "left", "right", True).unionByName(dealt(split, "right", "left", False)))
+    pairs = met.join(marks, "doc_id").groupBy("bucket", "seeker", "block").applyInArrow(crossing, f"a {kind}, b {kind}")
+    labels = merged(labels, verified(pairs))
 
     first = distinct.select(*key, F.col("doc_id").alias("first"))
     classes = first.join(labels, F.col("first") == F.col("node"), "left").select(
