@@ -3,8 +3,8 @@
 Seed: every document's word 26-grams are winnowed (the smallest hash of each 25 neighbours is an
 anchor), so any two equal runs of 50 words share an anchor at the same place of the run.  Documents
 are joined on their anchors by way of a pre-aggregated table of the anchors that two documents hold.
-Extend: each shared anchor is extended to both sides by every split of the words that a 50-word
-window has left.  The windows go, as 128-bit hashes, to a minimum over document ids, so the members
+Extend: each shared anchor is extended to both sides to the windows whose least gram it is; a window is the
+least gram's in every document that holds it, so no other window around the anchor can repeat.  The windows go, as 128-bit hashes, to a minimum over document ids, so the members
 of a group never meet in pairs, however large the group is.  Neighbouring windows merge into maximal repeats.
 """
 
@@ -43,15 +43,15 @@ def _grams(words: tx.Words, size: int, lane: int = 0) -> tuple[np.ndarray, np.nd
     return out, left >= size
 
 
-def _anchors(words: tx.Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Gram hash at each word, and whether it is an anchor."""
+def _anchors(words: tx.Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gram hash at each word, whether it is an anchor, and the least gram of the window at each word."""
     grams, whole = _grams(words, gram)
     span = window - gram + 1
     padded = np.concatenate([np.where(whole, grams, _FARTHEST), np.full(span, _FARTHEST)])
     least = _least(padded, span)
     # A gram is chosen if it is the least of one of the spans it lies in.
     led = _least(np.concatenate([np.zeros(span - 1, np.uint64), least]), span, np.maximum)
-    return grams, whole & (grams == led[: len(grams)])
+    return grams, whole & (grams == led[: len(grams)]), least[: len(grams)]
 
 
 def _marked(at: np.ndarray, n: int, before: int, behind: int) -> np.ndarray:
@@ -125,7 +125,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     def seeds(batches):
         for batch in _slices(batches):
             words = tx.words(tx.string_column(batch, "text"))
-            grams, chosen = _anchors(words, window, gram)
+            grams, chosen, _ = _anchors(words, window, gram)
             at = np.flatnonzero(chosen)
             owner = tx.spread(words.counts())[at]
             first = _once(owner, grams[at])
@@ -137,15 +137,13 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     def extensions(batches):
         for batch in _slices(batches):
             words = tx.words(tx.string_column(batch, "text"))
-            grams, chosen = _anchors(words, window, gram)
+            _, _, least = _anchors(words, window, gram)
             owner = tx.spread(words.counts())
             rows, given = _given(batch.column(2), batch.num_rows)
-            at = np.flatnonzero(chosen)
-            seeded = np.zeros(len(grams), bool)
-            seeded[at[_among(owner[at], grams[at], rows, given)]] = True
             first_lane, whole = _grams(words, window)
             second_lane, _ = _grams(words, window, 1)
-            at = np.flatnonzero(_marked(seeded, len(grams), window - gram, 0) & whole)
+            at = np.flatnonzero(whole)
+            at = at[_among(owner[at], least[at], rows, given)]
             at = at[_once(owner[at], first_lane[at], second_lane[at])]
             yield pa.RecordBatch.from_arrays(
                 [
