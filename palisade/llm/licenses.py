@@ -2,13 +2,14 @@
 from the nearest ancestor directory by joins of paths.
 
 Every line of a text is compared with every template, by one sparse product per batch: only words of
-the templates' vocabulary (fixed in size) can add to a cosine, all other words add to the norm.
+the templates' vocabulary (fixed in size) can add to a cosine, all other words add to the norm.  Every word is
+weighed by its count in the line and its document frequency over all texts: a template's words exactly,
+all others by hashed features, whose number is fixed, so the frequencies are bounded whatever the texts hold.
 Neighbouring lines that resemble a template are read as one block, so licence texts of many lines count whole.
 """
 
 from __future__ import annotations
 
-import math
 from typing import NamedTuple
 
 import numpy as np
@@ -68,6 +69,9 @@ NEIGHBOUR = 0.3
 #: A document is a licence file if licence lines hold at least this share of its words.
 FILE_SHARE = 0.3
 
+#: Hashed features of the words that no template holds.
+FEATURES = 1 << 18
+
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
@@ -105,32 +109,36 @@ def vocabulary(templates: dict[str, tuple[str, ...]] = TEMPLATES) -> Vocabulary:
     return Vocabulary(terms, texts, names, counts)
 
 
-def _known(terms: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Number of each word's term, -1 for words of no template."""
+def _numbers(terms: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Number of each word's feature: its place among the templates' terms, or behind them by hash."""
     at = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
-    return np.where(terms[at] == hashes, at, -1)
+    return np.where(terms[at] == hashes, at, len(terms) + (hashes % np.uint64(FEATURES)).astype(np.int64))
 
 
 def document_frequencies(docs: DataFrame, known: Vocabulary) -> tuple[int, np.ndarray]:
-    """Number of texts, and of texts that hold each term; counted over all rows, added up by term."""
+    """Number of texts, and of texts that hold each feature; counted over all rows, added up by feature."""
+    features = len(known.terms) + FEATURES
 
     def count(batches):
-        total, found = 0, np.zeros(len(known.terms), np.int64)
+        total, found = 0, np.zeros(features, np.int64)
         for batch in batches:
             texts = tx.string_column(batch, "text")
             for a, b in tx.chunks(texts):
                 words, hashes, _ = _tokens(texts.slice(a, b - a))
-                term = _known(known.terms, hashes)
-                pairs = np.unique(tx.spread(words.counts())[term >= 0] * len(known.terms) + term[term >= 0])
-                found += np.bincount(pairs % len(known.terms), minlength=len(known.terms))
+                pairs = np.unique(tx.spread(words.counts()) * features + _numbers(known.terms, hashes))
+                np.add.at(found, pairs % features, 1)
                 total += b - a
+        held = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(-1, len(found))), pa.array(np.concatenate([[total], found]))], names=["term", "n"]
+            [pa.array(np.append(held, -1)), pa.array(np.append(found[held], total))], names=["feature", "n"]
         )
 
-    rows = docs.select("text").where("text is not null").mapInArrow(count, "term long, n long")
-    sums = {r["term"]: r["n"] for r in rows.groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    return sums.get(-1, 0), np.array([sums.get(i, 0) for i in range(len(known.terms))])
+    rows = docs.select("text").where("text is not null").mapInArrow(count, "feature long, n long")
+    sums = rows.groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    feature, n = (np.asarray(sums.column(c).combine_chunks()) for c in ("feature", "n"))
+    frequency = np.zeros(features, np.int64)
+    frequency[feature[feature >= 0]] = n[feature >= 0]
+    return int(n[feature < 0].sum()), frequency
 
 
 def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
@@ -147,20 +155,18 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) ->
     known = vocabulary(templates)
     texts_read, frequency = document_frequencies(docs, known)
     idf = np.log((texts_read + 1) / (frequency + 1)) + 1
-    weights = known.counts * idf
+    weights = known.counts * idf[: len(known.terms)]
     weights /= np.linalg.norm(weights, axis=1, keepdims=True)
-    #: A word of no template weighs like one that a tenth of the texts hold.
-    foreign = math.log(10) + 1
 
     def cosines(line: np.ndarray, term: np.ndarray, lines: int) -> np.ndarray:
         """Lines × templates."""
-        mine = term >= 0
-        pairs, times = np.unique(line[mine] * len(idf) + term[mine], return_counts=True)
+        pairs, times = np.unique(line * len(idf) + term, return_counts=True)
         of, term_of = pairs // len(idf), pairs % len(idf)
         value = times * idf[term_of]
-        norm = np.bincount(of, value**2, lines) + np.bincount(line[~mine], minlength=lines) * foreign**2
+        norm = np.bincount(of, value**2, lines)
+        mine = term_of < len(known.terms)
         out = np.zeros((lines, len(known.names)))
-        np.add.at(out, of, value[:, None] * weights.T[term_of])
+        np.add.at(out, of[mine], value[mine][:, None] * weights.T[term_of[mine]])
         return out / np.sqrt(np.maximum(norm, 1e-12))[:, None]
 
     def run(batches):
@@ -170,9 +176,9 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) ->
                 part = batch.slice(a, b - a)
                 words, hashes, line = _tokens(texts.slice(a, b - a))
                 counts = words.counts()
-                owner, term = tx.spread(counts), _known(known.terms, hashes)
+                owner, term = tx.spread(counts), _numbers(known.terms, hashes)
                 # Only lines with words of a template can resemble one.
-                kept = np.flatnonzero(np.isin(line, line[term >= 0]))
+                kept = np.flatnonzero(np.isin(line, line[term < len(known.terms)]))
                 ids, row = np.unique(line[kept], return_inverse=True)
                 found = cosines(row, term[kept], len(ids))
                 text_of = np.zeros(len(ids), np.int64)

@@ -19,7 +19,7 @@ from palisade.llm.packing import packed_documents
 from palisade.llm.pivot_search import top_k
 from palisade.llm.records import read_records, write_records
 from palisade.llm.repeats import remove_repeats
-from palisade.session import shared_folder
+from palisade.session import shared_folder, stored
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -52,7 +52,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     shelf = F.floor(F.col("doc_id") / 1000).cast("string")
     files = licenses.scan(docs.select("doc_id", F.concat_ws("/", "source", shelf, "doc_id").alias("path"), "text"))
-    files = files.withColumn("is_license_file", F.col("share") >= licenses.FILE_SHARE)
+    files = stored(files).withColumn("is_license_file", F.col("share") >= licenses.FILE_SHARE)
     return licenses.inherit(files).drop("share")
 
 

@@ -3,7 +3,9 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -330,6 +332,48 @@ def test_licences_are_found_and_prose_is_left(spark):
     assert found[5].share == 1 and found[2].share < 0.1
 
 
+def test_licence_cosines_equal_plain_tf_idf(spark):
+    rng = random.Random(14)
+    own = [w for t in licenses.TEMPLATES.values() for x in t for w in _ascii_words(x)]
+    lines = [x for t in licenses.TEMPLATES.values() for x in t]
+    texts = {}
+    for i in range(150):
+        w = _ascii_words(rng.choice(lines))
+        w += rng.choices(["acme", "copyright", "2020", *own], k=rng.randint(0, 6))
+        texts[i] = " ".join(w + ["zyx"] * rng.choice((0, 0, 1, 4)))
+    bags = {i: Counter(_ascii_words(t)) for i, t in texts.items()}
+    held = Counter(w for bag in bags.values() for w in bag)
+
+    def weighed(bag):
+        return {w: n * (np.log((len(texts) + 1) / (held[w] + 1)) + 1) for w, n in bag.items()}
+
+    def cosine(a, b):
+        return sum(v * b.get(w, 0) for w, v in a.items()) / np.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+
+    templates = [(name, weighed(Counter(_ascii_words(x)))) for name, t in licenses.TEMPLATES.items() for x in t]
+    found = {r.doc_id: r for r in licenses.scan(doc_table(spark, texts)).collect()}
+    missed = 0
+    for i, bag in bags.items():
+        score, name = max(((cosine(weighed(bag), t), name) for name, t in templates), key=lambda x: x[0])
+        missed += score < licenses.SIMILARITY
+        assert found[i].score == pytest.approx(score if score >= licenses.SIMILARITY else 0, abs=1e-9)
+        assert found[i].license == (name if score >= licenses.SIMILARITY else None)
+    assert 20 < missed < 130
+
+
+def _ascii_words(text):
+    return re.findall("[0-9a-z]+", text.lower())
+
+
+def test_licence_does_not_depend_on_the_number_of_other_texts(spark):
+    line = "Copyright 2020 Zyx. Released under the MIT License."
+    scores = []
+    for others in (10, 3000):
+        texts = {i: f"entirely unrelated prose number{i}" for i in range(others)} | {-1: line}
+        scores += [r.score for r in licenses.scan(doc_table(spark, texts)).collect() if r.doc_id == -1]
+    assert scores[0] == pytest.approx(scores[1], abs=1e-6)
+
+
 def test_own_ranks_file_format(tmp_path):
     path = tmp_path / "ranks"
     path.write_bytes(base64.b64encode(b"a") + b" 0\n" + base64.b64encode(b"aa") + b" 1\n")
