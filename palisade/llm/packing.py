@@ -24,8 +24,6 @@ CAPACITY = 2048
 PARTITION_ITEMS = 100_000
 #: A bin with at most this share of room left is emitted at once.
 NEARLY_FULL = 1 / 256
-#: A round that saves less than this share of its bins is the last.
-LEAST_SAVING = 0.002
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +89,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, partition_items: int = PART
         left = under.select(F.col("bin").alias("item"), F.col("fill").alias("length"))
         before, count = count, left.count()
         merged = before - packed.where("at = 0").count()
-        if partitions == 1 or merged < LEAST_SAVING * before:
+        if partitions == 1 or not merged:
             break
     whole = items.where(F.col("length") >= capacity)
     placed = whole.select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
