@@ -139,19 +139,23 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
             words = tx.words(tx.string_column(batch, "text"))
             _, _, least = _anchors(words, window, gram)
             owner = tx.spread(words.counts())
-            rows, given = _given(batch.column(2), batch.num_rows)
             first_lane, whole = _grams(words, window)
             second_lane, _ = _grams(words, window, 1)
-            at = np.flatnonzero(whole)
-            at = at[_among(owner[at], least[at], rows, given)]
-            at = at[_once(owner[at], first_lane[at], second_lane[at])]
+            places = np.flatnonzero(whole)
+            later, first = (
+                _among(owner[places], least[places], *_given(batch.column(i), batch.num_rows)) for i in (2, 3)
+            )
+            at, late = places[later | first], later[later | first]
+            once = _once(owner[at], first_lane[at], second_lane[at])
+            at, late = at[once], late[once]
             yield pa.RecordBatch.from_arrays(
                 [
                     tx.pick(batch.column(0), owner[at]),
                     pa.array(first_lane[at].view(np.int64)),
                     pa.array(second_lane[at].view(np.int64)),
+                    pa.array(late),
                 ],
-                names=["doc_id", "first_hash", "second_hash"],
+                names=["doc_id", "first_hash", "second_hash", "later"],
             )
 
     def cut(batches):
@@ -185,15 +189,18 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
         groups = found.groupBy(*keys).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
         return cut_lineage(groups.where("first_doc < last_doc").drop("last_doc"))
 
-    hashes_of, copies_of, copy_of = (free_name(docs, x) for x in ("hashes", "copies", "copy"))
+    hashes_of, firsts_of, copies_of, copy_of = (free_name(docs, x) for x in ("hashes", "firsts", "copies", "copy"))
 
     def marks(hashes: DataFrame) -> DataFrame:
-        """Per document its hashes, and the digests of those of its rows that copy an earlier one."""
-        both = hashes.select("doc_id", "hash", F.lit(None).cast("string").alias("digest")).unionByName(
-            copies.select("doc_id", F.lit(None).cast("long").alias("hash"), "digest")
+        """Per document its hashes that an earlier document holds and those it is the first to hold, and
+        the digests of those of its rows that copy an earlier one."""
+        both = hashes.select("doc_id", "hash", "later", F.lit(None).cast("string").alias("digest")).unionByName(
+            copies.select("doc_id", F.lit(None).cast("long").alias("hash"), F.lit(True).alias("later"), "digest")
         )
         return both.groupBy("doc_id").agg(
-            F.collect_set("hash").alias(hashes_of), F.collect_set("digest").alias(copies_of)
+            F.collect_set(F.when(F.col("later"), F.col("hash"))).alias(hashes_of),
+            F.collect_set(F.when(~F.col("later"), F.col("hash"))).alias(firsts_of),
+            F.collect_set("digest").alias(copies_of),
         )
 
     texts = numbered.select("doc_id", digest.alias("digest"))
@@ -203,18 +210,20 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     is_copy = F.array_contains(copies_of, digest)
 
     seeded = numbered.mapInArrow(seeds, f"doc_id {kind}, anchor long")
-    anchored = seeded.join(shared(seeded, "anchor"), "anchor").select("doc_id", F.col("anchor").alias("hash"))
+    later = (F.col("first_doc") < F.col("doc_id")).alias("later")
+    anchored = seeded.join(shared(seeded, "anchor"), "anchor").select("doc_id", F.col("anchor").alias("hash"), later)
     extended = stored(
         numbered.join(marks(anchored), "doc_id")
         .where(~is_copy)
-        .select("doc_id", "text", hashes_of)
-        .mapInArrow(extensions, f"doc_id {kind}, first_hash long, second_hash long")
+        .select("doc_id", "text", hashes_of, firsts_of)
+        .mapInArrow(extensions, f"doc_id {kind}, first_hash long, second_hash long, later boolean")
     )
     keys = ("first_hash", "second_hash")
+    # A window around an anchor that its document is the first to hold is in no earlier document.
     seen = (
-        extended.join(shared(extended, *keys), list(keys))
+        extended.where("later").drop("later").join(shared(extended, *keys), list(keys))
         .where("first_doc < doc_id")
-        .select("doc_id", F.col("first_hash").alias("hash"))
+        .select("doc_id", F.col("first_hash").alias("hash"), F.lit(True).alias("later"))
     )
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return (
