@@ -11,7 +11,11 @@ decides.  Equal sets are folded first.  Buckets are never paired out.  First eac
 leader it shares most buckets with.  Pairs inside one class need no test, and every pair of two classes
 has a set outside its bucket's main class, the largest one.  So from then on only those outsiders look for
 partners: in a few rounds among delegates, a bounded number per bucket, drawn anew each round; at last
-among all members of their buckets, in blocks, the only round that compares two sides in full.
+among all members of their buckets, in blocks, the only round that compares two sides in full.  For that round the
+shingles that no other undecided set holds are counted: two sets share no more than the smaller number of the
+rest, and a set with too few of these has no partner at all, so near copies that are just too far apart drop out singly.
+Pairs are then held against bitmaps in which each shingle flips a bit: two bitmaps differ in no more bits than the sets
+differ in shingles, so this leaves out no pair that is similar.
 """
 
 from __future__ import annotations
@@ -38,6 +42,10 @@ DEVIATIONS = 5
 DELEGATES, ROUNDS = 4, 2
 #: Members of a bucket that are compared at once in the last round, and pairs whose signatures are compared at once.
 BLOCK, PAIRS = 1024, 1 << 16
+#: Shingles that are handed to Spark at once, and what rounding may take from a bound.
+SPELLED, ROUNDING = 1 << 18, 1e-6
+#: Bits of the bitmap of a set.
+BITS = 4096
 
 _STEP, _LAYER, _COORDINATE, _HEIGHT = (
     np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
@@ -223,8 +231,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
         """Promising pairs of an outsider of one block and a member of another class in one block of a bucket.  A
         pair is named in the first band that it shares; there its classes are apart as well."""
         part = {name: rows.column(name).combine_chunks() for name in rows.column_names}
-        bucket, n = part["bucket"][0].as_py(), np.asarray(part["n"])
+        bucket, n, common = part["bucket"][0].as_py(), np.asarray(part["n"]), np.asarray(part["common"])
         of = np.asarray(part["class"].dictionary_encode().indices)
+        bits = _table(part["bits"], BITS // 8).view(np.uint64)
         table = _table(part["marks"], wide)
         marks, shared = table[:, :size], np.ascontiguousarray(table[:, size:]).view(np.int64)
         seeks = np.asarray(part["seeks"].to_numpy(zero_copy_only=False), bool)
@@ -232,15 +241,44 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
         found = []
         for i in left:
             near = right[(of[right] != of[i]) & (np.minimum(n[right], n[i]) >= similarity * np.maximum(n[right], n[i]))]
+            most = np.minimum(common[near], common[i])
+            near = near[most * (1 + similarity) >= similarity * (n[near] + n[i]) - ROUNDING]
             for k in range(0, len(near), PAIRS):
                 b = near[k : k + PAIRS]
                 b = b[(marks[b] == marks[i]).sum(1) >= slack * size]
+                apart = np.bitwise_count(bits[b] ^ bits[i]).sum(1)
+                b = b[apart * (1 + similarity) <= (1 - similarity) * (n[b] + n[i]) + ROUNDING]
                 first = (shared[b] == shared[i]).argmax(1)
                 b = b[shared[b, first] == bucket]
                 found.append((np.full(len(b), i), b))
         a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
         return pa.table({"a": tx.pick(part["doc_id"], a), "b": tx.pick(part["doc_id"], b)})
 
+    def elements(batches):
+        """Names, owners and shingles of some sets at once."""
+        for batch in batches:
+            behind = np.cumsum(np.asarray(batch.column(1)))
+            cuts = np.unique(np.searchsorted(behind, np.arange(0, behind[-1], SPELLED))) if batch.num_rows else []
+            for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+                part = batch.slice(a, b - a)
+                owner = np.repeat(np.arange(part.num_rows), np.asarray(part.column(1)))
+                yield part.column(0), owner, np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint64)
+
+    def spelled(batches):
+        for ids, owner, found in elements(batches):
+            yield pa.RecordBatch.from_arrays([tx.pick(ids, owner), pa.array(found.view(np.int64))], names=["set", "shingle"])
+
+    def flipped(batches):
+        for ids, owner, found in elements(batches):
+            for a in range(0, len(ids), 1024):
+                mine = slice(*np.searchsorted(owner, (a, a + 1024)))
+                place = (owner[mine] - a) * BITS + (tx.mix(found[mine]) % np.uint64(BITS)).astype(np.int64)
+                rows = min(1024, len(ids) - a)
+                bits = np.packbits(np.bincount(place, minlength=rows * BITS).astype(np.uint8).reshape(rows, BITS) & 1, axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(a, rows), pa.array([x.tobytes() for x in bits], pa.binary())], names=["set", "bits"]
+                )
+
     def exact(batches):
         for batch in batches:
             part = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
@@ -314,6 +352,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
 
     # The last round: outsiders in blocks meet all members in blocks, whoever is of another class.
     split, outside = divided(labels)
+    undecided = sets.join(split.select("doc_id").distinct(), "doc_id")
+    undecided = stored(undecided.select(F.monotonically_increasing_id().alias("set"), "total", "members", "doc_id"))
+    held = undecided.mapInArrow(spelled, "set long, shingle long")
+    lone = held.groupBy("shingle").agg(F.count("*").alias("sets"), F.min("set").alias("set")).where("sets = 1")
+    lone = lone.groupBy("set").agg(F.count("*").alias("lone"))
+    bits = undecided.mapInArrow(flipped, "set long, bits binary")
+    # Rows that share an id are several sets; each of their marks meets each of their bounds.
+    bounds = undecided.select("set", "doc_id", "total").join(bits, "set").join(lone, "set", "left")
+    bounds = bounds.select("doc_id", "bits", (F.col("total") - F.coalesce("lone", F.lit(0))).alias("common"))
+    able = stored(marks.join(bounds, "doc_id").where(F.col("common") >= similarity * F.col("n") - ROUNDING))
+    split, outside = (stored(t.join(able.select("doc_id").distinct(), "doc_id").select(*t.columns)) for t in (split, outside))
     blocks = F.ceil(F.count("*") / BLOCK)
     shape = stored(
         split.groupBy("bucket").agg(blocks.alias("right"))
@@ -330,7 +379,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighted: b
         )
 
     met = stored(dealt(outside, "left", "right", True).unionByName(dealt(split, "right", "left", False)))
-    pairs = met.join(marks, "doc_id").groupBy("bucket", "seeker", "block").applyInArrow(crossing, f"a {kind}, b {kind}")
+    pairs = met.join(able, "doc_id").groupBy("bucket", "seeker", "block").applyInArrow(crossing, f"a {kind}, b {kind}")
     labels = merged(labels, verified(pairs))
 
     first = distinct.select(*key, F.col("doc_id").alias("first"))

@@ -15,7 +15,7 @@ from helpers import doc_table, mutated, root_of, words
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from palisade.llm import byte_bpe, host_rules, language_id, licenses, neighbours, packing, records, toxicity
+from palisade.llm import byte_bpe, dart_minhash, host_rules, language_id, licenses, neighbours, packing, records, toxicity
 from palisade.llm import text as tx
 from palisade.llm.components import components, merged
 from palisade.llm.dart_minhash import near_duplicates, signatures
@@ -125,6 +125,39 @@ def test_near_duplicates_equal_brute_force(spark, weighted):
     assert found == roots and 6 < len(set(roots.values())) < 200
 
 
+def test_copies_just_too_far_apart_make_few_pairs(spark, monkeypatch):
+    """A large group of copies of one text that are about 0.75 similar, a few of them closer: pairs that are read in
+    full stay far below the group's square, and no link is lost."""
+    rng = random.Random(21)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(260)]
+    texts = {i: " ".join(f"new{i}x{j}" if rng.random() < 0.03 else w for j, w in enumerate(base)) for i in range(240)}
+    texts |= {300 + i: texts[i] + f" tail{i}" for i in range(0, 240, 8)}
+    rows = [(i, t) for i, t in texts.items()] + [(7, "another text " * 40), (7, texts[9] + " end")]
+    bags = [(i, set(zip(*(t.split()[k:] for k in range(5)), strict=False))) for i, t in rows]
+    links, close = [], 0
+    for k, (i, a) in enumerate(bags):
+        for j, b in bags[:k]:
+            alike = len(a & b) / len(a | b)
+            links += [(i, j)] * (alike >= 0.8)
+            close += 0.65 <= alike < 0.8
+    assert close > 5000
+    roots = root_of(links, {i for i, _ in rows})
+    pairs = []
+    plain = dart_minhash.stored
+
+    def counting(df):
+        table = plain(df)
+        if table.columns == ["a", "b"]:
+            pairs.append(table.count())
+        return table
+
+    monkeypatch.setattr(dart_minhash, "stored", counting)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r.class_id for r in near_duplicates(docs).collect()}
+    assert found == roots and 40 < len(set(roots.values()))
+    assert max(pairs) < 2500, pairs
+
+
 def test_components(spark):
     rng = random.Random(4)
     chain = [(i, i + 1) for i in range(0, 60)]
