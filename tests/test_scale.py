@@ -141,6 +141,33 @@ def test_popular_package_is_spread(spark):
     ]
 
 
+def hot_version(spark, manifests: int, advisories: int):
+    """Manifests that all have one version, and advisories that all hold it (and one that does not)."""
+    having = spark.range(manifests).select(
+        F.col("id").alias("repo_id"),
+        F.lit(True).alias("valid"),
+        F.lit("{}").alias("raw"),
+        F.create_map(F.lit("hot"), F.lit("1.5.0")).alias("dependencies"),
+    )
+    scores = (["9.8"], ["5.0"], ["2.1"], [])
+    listed = [
+        (f"A{i}", "hot", None, [("CVSS", x) for x in scores[i % 4]], [([([("1.0.0", None), (None, "2.0.0")],)],)])
+        for i in range(advisories)
+    ]
+    listed.append(("B", "hot", None, [], [([([("2.0.0", None)],)],)]))
+    return having, spark.createDataFrame(listed, packages.ADVISORY_SCHEMA)
+
+
+def test_many_advisories_of_a_popular_version_are_spread(spark, monkeypatch):
+    """A product of manifests and advisories of one version is dealt to many tasks, each pair once."""
+    monkeypatch.setattr(packages, "CELL", 64, raising=False)
+    manifests, advisories = hot_version(spark, 400, 400)
+    rows = packages.vulnerable_dependencies(manifests.select("repo_id"), manifests, advisories).where("id like 'dep-%'")
+    assert rows.count() == 160_000 and rows.select("repo_id", "id").distinct().count() == 160_000
+    tasks = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(tasks) < 40_000
+
+
 def test_one_line_file_of_a_megabyte(make_files):
     """Minified code: one line, many hits, still one finding per rule."""
     body = "x=1;" * 100_000 + "eval(req.body.a);" * 2000 + "y='eval(req.body.b)';"
