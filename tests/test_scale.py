@@ -168,6 +168,27 @@ def test_many_advisories_of_a_popular_version_are_spread(spark, monkeypatch):
     assert max(tasks) < 40_000
 
 
+def test_scores_count_advisories_once_per_version(spark, make_files, monkeypatch):
+    """Scores equal those of the listed findings, without a list of them by repository."""
+    manifest = '{"dependencies": {"hot": "%s"}}'
+    files = make_files(
+        *({"package.json": manifest % ("1.5.0" if i % 3 else "3.0.0"), ".gitignore": ".env*\nnode_modules"} for i in range(9)),
+        {"a.ts": "eval(req.body.x)"}, {"package.json": manifest % "workspace:*"},
+    )
+    advisories = hot_version(spark, 1, 7)[1]
+    tracked = spark.createDataFrame([(i, "a") for i in range(11)], "repo_id bigint, path string")
+    tables = (files, tracked, spark.createDataFrame([], COMMIT_LINE_SCHEMA), advisories)
+    repos = files.select("repo_id").distinct()
+    listed = {r.repo_id: r for r in fo.audit_score(plans.all_findings(*tables), repos).collect()}
+
+    def never(*_):
+        raise AssertionError("findings of advisories were listed")
+
+    monkeypatch.setattr(packages, "deal_out", never, raising=False)
+    assert {r.repo_id: r for r in plans.audit_scores(*tables, repos).collect()} == listed
+    assert 0 < listed[1].critical + listed[1].warning < listed[1].critical + listed[1].warning + listed[1].info
+
+
 def test_one_line_file_of_a_megabyte(make_files):
     """Minified code: one line, many hits, still one finding per rule."""
     body = "x=1;" * 100_000 + "eval(req.body.a);" * 2000 + "y='eval(req.body.b)';"
