@@ -54,6 +54,20 @@ def test_prompt_parts_are_bounded_and_whole(skewed):
     assert "\n10000. T\n" in text and text.startswith("I ran") and text.rstrip().endswith("safer.")
 
 
+def test_a_list_of_several_parts_needs_no_range_split(skewed, monkeypatch):
+    """Only lists longer than one task should sort are numbered over a range split; both ways give the same."""
+    repos = skewed.select("repo_id").distinct()
+
+    def prompts():
+        return sorted(tuple(r) for r in fo.fix_prompt(skewed, repos, items_per_part=300).collect())
+
+    monkeypatch.setattr(fo, "LIST_ITEMS", 5000, raising=False)
+    split = prompts()
+    monkeypatch.setattr(fo, "LIST_ITEMS", 100_000, raising=False)
+    monkeypatch.setattr(fo, "number_in_order", None)
+    assert prompts() == split
+
+
 def test_ranks_are_cut_before_the_shuffle(skewed):
     for df in (fo.top_findings(skewed), fo.dedup_findings(skewed)):
         plan = df._jdf.queryExecution().executedPlan().toString()
