@@ -121,10 +121,10 @@ def brief(findings: DataFrame) -> DataFrame:
 
 @query
 def read_files(t: Tables) -> DataFrame:
-    files = src.read_files(t.spark, t.sf_dir, repo_pattern=r"()([^/]*)$")
-    return files.select(
-        "path", "size", F.coalesce(src.is_readable(F.col("content")), F.lit(False)).alias("is_text")
-    )
+    # In pieces: a file of a large table need not fit in a task, nor in a row.
+    files = src.read_files(t.spark, t.sf_dir, repo_pattern=r"()([^/]*)$", piece_bytes=1 << 22)
+    is_text = F.coalesce(F.bool_and(src.is_readable(F.col("content"))), F.lit(False))
+    return files.groupBy("file", "path", "size").agg(is_text.alias("is_text")).drop("file")
 
 
 @query

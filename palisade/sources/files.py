@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,12 +30,15 @@ def read_files(
     repo_pattern: str = r"/repo=(\d+)/(.*)$",
     target: str | None = None,
     max_bytes: int | None = None,
+    piece_bytes: int | None = None,
 ) -> DataFrame:
     """Files below ``root`` as (repo_id, path, size, content binary).
 
     ``repo_pattern`` takes the repository number and the relative path out of the full
     path.  ``target`` limits the read to one file or folder below the root; a missing
     target gives no rows.  Only if ``max_bytes`` is given, larger contents are not read (NULL).
+    With ``piece_bytes`` a file is as many rows as it has pieces of that size (one, if it is empty), with the columns ``file`` (its full
+    path) and ``piece`` (from 0): a row then holds a piece and a task never a whole file, however large the file is.
 
     Spark's own file sources leave out names that start with a dot, which are exactly the
     ``.env`` and ignore files a scan needs.  So the tree is walked level by level: the folders of a level are
@@ -54,15 +58,16 @@ def read_files(
             break
     files = reduce(DataFrame.union, found)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _read(batch, max_bytes)
+            yield from _read(batch, max_bytes, piece_bytes)
 
-    rows = files.repartition("full").mapInPandas(read, "full string, size bigint, content binary")
+    rows = files.repartition("full").mapInArrow(read, "full string, size bigint, piece int, content binary")
     return rows.select(
         F.regexp_extract("full", repo_pattern, 1).try_cast("bigint").alias("repo_id"),
         F.regexp_extract("full", repo_pattern, 2).alias("path"),
         "size",
+        *([F.col("full").alias("file"), F.col("piece")] if piece_bytes else []),
         "content",
     )
 
@@ -90,22 +95,47 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=["full", "below", "size", "folder"]).astype({"size": "Int64"})
 
 
-def _read(files: pd.DataFrame, max_bytes: int | None, batch_bytes: int = 1 << 26) -> Iterator[pd.DataFrame]:
+def _pieces(full: str, size: int, max_bytes: int | None, piece_bytes: int | None) -> Iterator[bytes | None]:
+    """Content of a file, whole or piece by piece; None of one that is too large."""
+    if max_bytes is not None and size > max_bytes:
+        yield None
+        return
+    filesystem, path = fs.FileSystem.from_uri(full)
+    with filesystem.open_input_stream(path) as stream:
+        yield (content := stream.read(piece_bytes))
+        while piece_bytes and content and (content := stream.read(piece_bytes)):
+            yield content
+
+
+def _read(
+    files: pa.RecordBatch, max_bytes: int | None, piece_bytes: int | None = None, batch_bytes: int = 1 << 24
+) -> Iterator[pa.RecordBatch]:
     """Contents of files, in batches of bounded size."""
     rows, held = [], 0
-    for full, size in zip(files["full"], files["size"], strict=True):
-        content = None
-        if max_bytes is None or size <= max_bytes:
-            filesystem, path = fs.FileSystem.from_uri(full)
-            with filesystem.open_input_stream(path) as stream:
-                content = stream.read()
-            held += size
-        rows.append((full, size, content))
-        if held >= batch_bytes or len(rows) >= 1000:
-            yield pd.DataFrame(rows, columns=["full", "size", "content"])
-            rows, held = [], 0
+    for full, size in zip(files["full"].to_pylist(), files["size"].to_pylist(), strict=True):
+        for piece, content in enumerate(_pieces(full, size, max_bytes, piece_bytes)):
+            if rows and held + len(content or b"") > batch_bytes or len(rows) >= 1000:
+                yield _rows(rows)
+                rows, held = [], 0
+            rows.append((full, size, piece, content))
+            held += len(content or b"")
+            del content
     if rows:
-        yield pd.DataFrame(rows, columns=["full", "size", "content"])
+        yield _rows(rows)
+
+
+def _rows(rows: list[tuple[str, int, int, bytes | None]]) -> pa.RecordBatch:
+    """Batch of (full, size, piece, content); the content of a single row is not copied."""
+    full, size, piece, contents = zip(*rows, strict=True)
+    if len(rows) == 1 and contents[0] is not None:
+        ends = pa.array([0, len(contents[0])], pa.int32()).buffers()[1]
+        content = pa.BinaryArray.from_buffers(pa.binary(), 1, [None, ends, pa.py_buffer(contents[0])])
+    else:
+        content = pa.array(contents, pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(full, pa.string()), pa.array(size, pa.int64()), pa.array(piece, pa.int32()), content],
+        names=["full", "size", "piece", "content"],
+    )
 
 
 def is_readable(content: Column, max_bytes: int | None = None) -> Column:

@@ -45,6 +45,27 @@ def test_reads_one_file_and_a_missing_target(spark, tree):
     assert src.read_files(spark, tree, target="repo=7/nope.ts").count() == 0
 
 
+def test_reads_a_file_in_pieces(spark, tree, tmp_path):
+    """Pieces are the content, in order; a task holds a piece of a large file, not the file."""
+    import pyarrow as pa
+
+    whole = {r.path: bytes(r.content) for r in src.read_files(spark, tree).collect()}
+    parts = {}
+    for r in src.read_files(spark, tree, piece_bytes=4).orderBy("file", "piece").collect():
+        assert len(r.content) <= 4 and r.size == len(whole[r.path])
+        parts[r.path] = parts.get(r.path, b"") + bytes(r.content)
+    assert parts == whole
+    (tmp_path / "large").write_bytes(b"x" * (200 << 20))
+    (tmp_path / "empty").write_bytes(b"")
+    listed = pa.RecordBatch.from_pydict({"full": [f"{tmp_path}/large", f"{tmp_path}/empty"], "size": [200 << 20, 0]})
+    before = pa.total_allocated_bytes()
+    read, peak = 0, 0
+    for batch in src._read(listed, None, 1 << 20):
+        read += batch.num_rows
+        peak = max(peak, batch.nbytes, pa.total_allocated_bytes() - before)
+    assert read == 201 and peak < 64 << 20
+
+
 def test_from_a_tree_to_findings(spark, tree):
     lines = spark.createDataFrame([], COMMIT_LINE_SCHEMA)
     tracked = spark.createDataFrame([(7, ".env")], "repo_id bigint, path string")
