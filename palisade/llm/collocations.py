@@ -11,9 +11,13 @@ An edge of the trie leads from a phrase by the phrase that starts one word later
 two together name the longer phrase.  Positions without a state only separate, so sequences shrink from level to level and
 every level reads the sequences of the level before alone.
 
-A trie, or a list of words, holds ``SHARD`` entries at most; where a level has more, it is cut by hash, and the sequences
-pass through one trie after the other.  So what is broadcast has a fixed bound at any size of the corpus, and no
-candidate is left out.  Words themselves are compared, not hashes of them.
+A list of words holds ``SHARD`` entries at most, a trie about twice as many; where a level has more, it is cut by hash, and
+the sequences pass through one trie after the other.  So what is broadcast has a fixed bound at any size of the corpus, and no
+candidate is left out.  Words themselves are compared, not hashes of them.  What a pass has written is removed as soon as
+the next one is written.
+
+A task holds little at any size of its input: sequences are rows of about ``ROW`` states, cut where neighbours
+are apart anyway, and tables are read, and handed to Python and back, ``ROWS`` or ``SENT`` rows at a time.
 
 Null texts are empty, a null ``lang`` is ``und``.  Rows count one by one, whatever ``doc_id`` they share; other columns are
 not read.
@@ -22,21 +26,22 @@ not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from palisade.llm.text import chunks, string_column, words_between
-from palisade.session import stored
+from palisade.session import remove_table, stored, stored_in
 
 UNKNOWN = "und"
-#: Entries of one broadcast trie or word list, and bytes of the words of one list.
+#: Entries of one broadcast word list, half of those of a trie, and bytes of the words of one list.
 SHARD = 1 << 19
 SHARD_BYTES = 32 << 20
 #: Numbers are given in buckets of at most this many.
@@ -44,6 +49,10 @@ BUCKET = 1 << 15
 #: Text bytes that are read at once, and neighbours that are counted at once.
 CHUNK = 2 << 20
 PAIRS = 1 << 20
+#: States of a row, rows that are read and handed to Python at once, and rows of numbers that come back at once.
+ROW = 1 << 14
+ROWS = 256
+SENT = 1 << 17
 #: Values of a digit of a trie's labels, and slots whose counts are one row.
 RADIX = 256
 BLOCK = 1 << 13
@@ -76,6 +85,38 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words, new, found.offsets
 
 
+@contextmanager
+def _few_rows(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside read their input ``ROWS`` rows at a time."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(name) for name in names]
+    try:
+        for name in names:
+            spark.conf.set(name, str(ROWS))
+        yield
+    finally:
+        for name, value in zip(names, before, strict=True):
+            spark.conf.set(name, value)
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array]]:
+    """Texts of each language, over all batches, about ``CHUNK`` bytes at a time."""
+    waiting: dict[str, list[pa.Array]] = {}
+    sizes: dict[str, int] = {}
+    for batch in batches:
+        texts = string_column(batch, "text")
+        for lang, rows in _by_language(batch):
+            own = texts.take(pa.array(rows))
+            waiting.setdefault(lang, []).append(own)
+            sizes[lang] = sizes.get(lang, 0) + own.nbytes
+            full = list(waiting) if sum(sizes.values()) >= 4 * CHUNK else [lang] if sizes[lang] >= CHUNK else []
+            for known in full:
+                del sizes[known]
+                yield known, pa.concat_arrays(waiting.pop(known))
+    for lang, own in waiting.items():
+        yield lang, pa.concat_arrays(own)
+
+
 def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
     """Rows of each language of a batch, in runs of about ``CHUNK`` text bytes."""
     codes = string_column(batch, "lang").dictionary_encode()
@@ -88,17 +129,16 @@ def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences of each word; a null word stands for all words of the language."""
-    for batch in batches:
-        for lang, rows in _by_language(batch):
-            words = _words(string_column(batch, "text").take(pa.array(rows)))[0].dictionary_encode()
-            counts = np.bincount(np.asarray(words.indices), minlength=len(words.dictionary))
-            names = pa.concat_arrays([words.dictionary, pa.nulls(1, pa.large_string())]).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(names)), names, pa.array(np.append(counts, len(words)))], names=["lang", "word", "n"]
-            )
+    for lang, texts in _texts(batches):
+        words = _words(texts)[0].dictionary_encode()
+        counts = np.bincount(np.asarray(words.indices), minlength=len(words.dictionary))
+        names = pa.concat_arrays([words.dictionary, pa.nulls(1, pa.large_string())]).cast(pa.string())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(names)), names, pa.array(np.append(counts, len(words)))], names=["lang", "word", "n"]
+        )
 
 
-def _compact(states: np.ndarray, new: np.ndarray | None = None) -> bytes:
+def _compact(states: np.ndarray, new: np.ndarray | None = None) -> np.ndarray:
     """States with one 0 wherever neighbours are not neighbours in the text; ``new`` marks first words of pieces."""
     kept = np.flatnonzero(states)
     apart = kept[1:] != kept[:-1] + 1
@@ -108,7 +148,17 @@ def _compact(states: np.ndarray, new: np.ndarray | None = None) -> bytes:
     at[1:] += np.cumsum(apart)
     out = np.zeros(at[-1] + 1 if len(at) else 0, np.int32)
     out[at] = states[kept]
-    return out.tobytes()
+    return out
+
+
+def _rows(states: np.ndarray) -> Iterator[np.ndarray]:
+    """A sequence in rows of about ``ROW`` states, cut at its zeros only."""
+    zeros, start = np.flatnonzero(states == 0), 0
+    while start < len(states):
+        cut = np.searchsorted(zeros, start + ROW)
+        end = zeros[cut] if cut < len(zeros) else len(states)
+        yield states[start:end]
+        start = end + 1
 
 
 def _numbered_words(shared, last: bool):
@@ -130,7 +180,8 @@ def _numbered_words(shared, last: bool):
                     own = np.where(np.asarray(found.is_valid()), ids[np.asarray(found.fill_null(0))], 0)
                     states = np.maximum(states, own[np.asarray(codes.indices)].astype(np.int32))
                 if last:
-                    yield pa.RecordBatch.from_arrays([pa.array([_compact(states, new)], pa.binary())], names=["states"])
+                    for row in _rows(_compact(states, new)):
+                        yield pa.RecordBatch.from_arrays([pa.array([row.tobytes()], pa.binary())], names=["states"])
                 else:
                     for row, a, b in zip(rows.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                         out[row] = states[a:b].tobytes()
@@ -230,7 +281,7 @@ def build_trie(prefixes: np.ndarray, suffixes: np.ndarray, ids: np.ndarray) -> T
         known += int(new.sum()) if place else 0
         node = child
     parents, digits, targets = (np.concatenate(x) for x in (parents, digits, targets))
-    base = _places(np.bincount(parents, minlength=known), digits)  # parents ascend
+    base = _places(np.bincount(parents, minlength=known), digits).astype(np.int32)  # parents ascend
     slots = base[parents] + digits
     check = np.full(int(base.max(initial=0)) + RADIX, -1, np.int32)
     target = np.zeros(len(check), np.int32)
@@ -239,7 +290,8 @@ def build_trie(prefixes: np.ndarray, suffixes: np.ndarray, ids: np.ndarray) -> T
 
 
 def _advanced(shared, last: bool):
-    """Sequences one level on, and after all of them how often each slot accepted, ``BLOCK`` slots to a row.
+    """Sequences one level on, and after all of them how often each slot accepted, ``BLOCK`` slots to a row, in as
+    few bytes a slot as the largest count of the row takes.
 
     ``states`` are the level before; ``longer`` what earlier tries of the level found, position by position."""
 
@@ -257,16 +309,16 @@ def _advanced(shared, last: bool):
                 states = np.frombuffer(old.as_py(), np.int32)
                 slots = trie.step(states)
                 hit = slots >= 0
-                counts += np.bincount(slots[hit], minlength=len(counts))
+                np.add.at(counts, slots[hit], 1)
                 found = np.zeros(len(states), np.int32) if longer.as_py() is None else np.frombuffer(longer.as_py(), np.int32).copy()
                 found[hit] = trie.target[slots[hit]]
                 if not last:
                     yield row(states.tobytes(), found.tobytes())
                 elif found.any():
-                    yield row(_compact(found))
+                    yield row(_compact(found).tobytes())
         for block, part in enumerate(counts.reshape(-1, BLOCK)):
             if part.any():
-                yield row(block=block, counts=part.tobytes())
+                yield row(block=block, counts=part.astype(np.min_scalar_type(part.max())).tobytes())
 
     return advance
 
@@ -287,7 +339,8 @@ def _summed(shared):
                     yield out()
                     total[:] = 0
                 now = block
-                total += np.frombuffer(counts.as_py(), np.int64)
+                own = counts.as_py()
+                total += np.frombuffer(own, f"u{len(own) // BLOCK}").astype(np.int64)
         if now is not None:
             yield out()
 
@@ -298,10 +351,12 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often a state and the next position's state stand side by side, as one long of both."""
     waiting: list[np.ndarray] = []
 
-    def counted() -> pa.RecordBatch:
+    def counted() -> Iterator[pa.RecordBatch]:
         keys, n = np.unique(np.concatenate(waiting or [np.zeros(0, np.int64)]), return_counts=True)
         waiting.clear()
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["pair", "n"])
+        for a in range(0, len(keys), SENT):
+            part = [pa.array(x[a : a + SENT], pa.int64()) for x in (keys, n)]
+            yield pa.RecordBatch.from_arrays(part, names=["pair", "n"])
 
     size = 0
     for batch in batches:
@@ -311,20 +366,22 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             waiting.append(states[at] << 32 | states[at + 1])
             size += len(at)
             if size >= PAIRS:
-                yield counted()
+                yield from counted()
                 size = 0
-    yield counted()
+    yield from counted()
 
 
 # ── levels ──────────────────────────────────────────────────────────────────────
 
 
-def _numbered(rows: DataFrame, keys: list[str], size: Column) -> tuple[DataFrame, list[DataFrame]]:
-    """``rows`` with a positive int ``id`` each, stored, and their parts of at most ``SHARD`` rows and
+def _numbered(rows: DataFrame, keys: list[str], size: Column, shard: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``rows`` with a positive int ``id`` each, stored, and their parts of at most ``shard`` rows and
     ``SHARD_BYTES`` of ``size``.  ``keys`` tell rows apart; hashes of them spread the rows over buckets."""
-    rows = stored(rows)
+    spark = rows.sparkSession
+    with _few_rows(spark):
+        rows, folder = stored_in(rows)
     n, volume = rows.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
-    parts = max(1, -(-2 * n // SHARD), -(-2 * volume // SHARD_BYTES)) if n else 0
+    parts = max(1, -(-2 * n // shard), -(-2 * volume // SHARD_BYTES)) if n else 0
     buckets = max(64, -(-2 * n // BUCKET), parts)
     bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
     place = F.row_number().over(W.partitionBy("bucket").orderBy(*keys))
@@ -335,13 +392,15 @@ def _numbered(rows: DataFrame, keys: list[str], size: Column) -> tuple[DataFrame
             )
         ).drop("place")
     )
+    remove_table(spark, folder)
     return numbered.drop("bucket"), [numbered.where(F.col("bucket") % parts == p) for p in range(parts)]
 
 
-def _sequences(docs: DataFrame, lists: list[DataFrame]) -> DataFrame:
-    """Sequences of the numbers of frequent words."""
-    context = docs.sparkSession.sparkContext
-    rows = docs.withColumn("states", F.lit(None).cast("binary"))
+def _sequences(docs: DataFrame, lists: list[DataFrame]) -> tuple[DataFrame, str]:
+    """Sequences of the numbers of frequent words, and their folder."""
+    spark = docs.sparkSession
+    context = spark.sparkContext
+    rows, folder = docs.withColumn("states", F.lit(None).cast("binary")), None
     for place, part in enumerate(lists):
         words = part.select("lang", "word", "id").toArrow()  # at most SHARD rows
         by_lang = {}
@@ -351,30 +410,38 @@ def _sequences(docs: DataFrame, lists: list[DataFrame]) -> DataFrame:
         last = place == len(lists) - 1
         shared = context.broadcast(by_lang)
         schema = "states binary" if last else "lang string, text string, states binary"
-        rows = stored(rows.mapInArrow(_numbered_words(shared, last), schema))
+        read = folder
+        with _few_rows(spark):
+            rows, folder = stored_in(rows.mapInArrow(_numbered_words(shared, last), schema))
+        if read:
+            remove_table(spark, read)
         shared.unpersist()
-    return rows
+    return rows, folder
 
 
-def _next_states(states: DataFrame, parts: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Sequences one level on, and ``id, f`` of the level's phrases."""
-    context = states.sparkSession.sparkContext
+def _next_states(states: DataFrame, folder: str, parts: list[DataFrame]) -> tuple[DataFrame, str, DataFrame]:
+    """Sequences one level on, their folder, and ``id, f`` of the level's phrases.  ``folder``, of ``states``, is removed."""
+    spark = states.sparkSession
+    context = spark.sparkContext
     rows, sums = states.select("states", F.lit(None).cast("binary").alias("longer")), []
     for place, part in enumerate(parts):
         edges = part.select("prefix", "suffix", "id").toArrow()  # at most SHARD rows
         shared = context.broadcast(build_trie(*(np.asarray(edges[c]) for c in ("prefix", "suffix", "id"))))
-        passed = stored(
-            rows.mapInArrow(
-                _advanced(shared, place == len(parts) - 1), "states binary, longer binary, block int, counts binary"
+        read = folder
+        with _few_rows(spark):
+            passed, folder = stored_in(
+                rows.mapInArrow(
+                    _advanced(shared, place == len(parts) - 1), "states binary, longer binary, block int, counts binary"
+                )
+            )
+            remove_table(spark, read)
+            rows = passed.where("block is null").select("states", "longer")
+            blocks = passed.where("block is not null").select("block", "counts")
+            sums.append(
+                stored(blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_summed(shared), "id int, f bigint"))
             )
-        )
-        rows = passed.where("block is null").select("states", "longer")
-        blocks = passed.where("block is not null").select("block", "counts")
-        sums.append(
-            stored(blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_summed(shared), "id int, f bigint"))
-        )
         shared.unpersist()
-    return rows.select("states"), reduce(DataFrame.unionByName, sums)
+    return rows.select("states"), folder, reduce(DataFrame.unionByName, sums)
 
 
 def phrases(docs: DataFrame, least: int = 30, longest: int = 4) -> tuple[DataFrame, list[DataFrame]]:
@@ -384,12 +451,13 @@ def phrases(docs: DataFrame, least: int = 30, longest: int = 4) -> tuple[DataFra
     1, 2, … words; ``prefix`` and ``suffix`` are its first and last k - 1 words in the table before.
     """
     docs = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string"))
-    counted = stored(
-        docs.mapInArrow(_word_counts, "lang string, word string, n bigint")
-        .groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("word").isNull() | (F.col("n") >= least))
-    )
+    with _few_rows(docs.sparkSession):
+        counted = stored(
+            docs.mapInArrow(_word_counts, "lang string, word string, n bigint")
+            .groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("word").isNull() | (F.col("n") >= least))
+        )
     totals = counted.where("word is null").select("lang", "n")
-    words, lists = _numbered(counted.where("word is not null"), ["lang", "word"], F.octet_length("word") + 16)
+    words, lists = _numbered(counted.where("word is not null"), ["lang", "word"], F.octet_length("word") + 16, SHARD)
     none = F.array().cast("array<bigint>")
     nothing = F.lit(None).cast("int")
     level = words.select(
@@ -399,7 +467,7 @@ def phrases(docs: DataFrame, least: int = 30, longest: int = 4) -> tuple[DataFra
     levels = [level]
     if not lists:
         return totals, levels
-    states = _sequences(docs, lists)
+    states, folder = _sequences(docs, lists)
     for _ in range(longest - 1):
         pairs = (
             states.mapInArrow(_neighbours, "pair bigint, n bigint")
@@ -410,11 +478,11 @@ def phrases(docs: DataFrame, least: int = 30, longest: int = 4) -> tuple[DataFra
                 F.shiftright("pair", 32).cast("int").alias("prefix"),
                 F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")).cast("int").alias("suffix"),
             ),
-            ["prefix", "suffix"], F.lit(12),
+            ["prefix", "suffix"], F.lit(12), 4 * SHARD,
         )
         if not parts:
             break
-        states, sums = _next_states(states, parts)
+        states, folder, sums = _next_states(states, folder, parts)
         head = level.select(
             F.col("id").alias("prefix"), "lang", F.col("phrase").alias("first"),
             F.concat("heads", F.array("f")).alias("heads"),

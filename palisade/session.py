@@ -52,11 +52,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: what is large, or is read
     again by a few of its columns, takes less room so than in a checkpoint."""
+    return stored_in(df)[0]
+
+
+def stored_in(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as it is ``stored``, and its folder, which ``remove_table`` frees when nothing reads it any more."""
     folder = f"{shared_folder(df.sparkSession)}/table-{os.urandom(8).hex()}"
     if _OWNED:
         _OWNED[-1].append(folder)
     df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
+    return df.sparkSession.read.parquet(folder), folder
+
+
+def remove_table(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Folders of the tables that were stored inside each open ``owned_tables``.
@@ -70,7 +80,5 @@ def owned_tables(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        jvm = spark.sparkContext._jvm
         for folder in _OWNED.pop():
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            remove_table(spark, folder)

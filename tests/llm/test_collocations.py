@@ -3,12 +3,16 @@
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import empty, messy, messy_rows
 
 from palisade.llm import collocations as co
+from palisade.session import shared_folder
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -98,3 +102,27 @@ def test_trie_holds_its_edges_and_no_others(wide):
     slots = trie.step(states)
     got = np.where(slots >= 0, trie.target[slots], 0)
     assert got.tolist() == [known.get(p, 0) for p in zip(states[:-1].tolist(), states[1:].tolist())] + [0]
+
+
+def test_tasks_hold_little_at_a_time(spark, monkeypatch):
+    """Rows and batches have a bound, whatever a task reads, and passes leave no tables behind."""
+    words = [f"w{i}" for i in range(50)]
+    lists = SimpleNamespace(value={"en": (pa.array(words, pa.large_string()), np.arange(1, 51))})
+    rng = np.random.default_rng(3)
+    texts = [" ".join(words[i] + "." * (i == 7) for i in rng.integers(0, 50, 500).tolist()) for _ in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 1000), pa.array(texts), pa.nulls(1000, pa.binary())], names=["lang", "text", "states"])
+    rows = [b.column(0)[0].as_py() for b in co._numbered_words(lists, True)(iter([batch]))]
+    assert len(rows) > 10 and max(map(len, rows)) < 8 * co.ROW
+    states = np.concatenate([np.frombuffer(r + bytes(4), np.int32) for r in rows])
+    assert (states > 0).sum() == 500_000 and (states == 0).sum() >= 1000
+    wide = np.arange(1, 600_000, dtype=np.int32)
+    sent = list(co._neighbours(iter([pa.RecordBatch.from_arrays([pa.array([wide.tobytes()])], names=["states"])])))
+    assert max(b.num_rows for b in sent) <= 1 << 17 and sum(b.num_rows for b in sent) == len(wide) - 1
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before, settings = set(folder.glob("table-*")), dict(spark.sparkContext.getConf().getAll())
+    monkeypatch.setattr(co, "SHARD", 24)
+    rows = texts_of(3, 100)
+    assert found(spark, rows, least=6, longest=3) == plain(rows, 6, longest=3)
+    new = [spark.read.parquet(str(f)).columns for f in set(folder.glob("table-*")) - before]
+    assert new and sum("states" in c or "counts" in c for c in new) <= 1
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == settings.get("spark.sql.parquet.columnarReaderBatchSize", "4096")
