@@ -149,3 +149,37 @@ def test_env_file_globs(spark, make_files):
     tracked = spark.createDataFrame([], "repo_id bigint, path string")
     rows = repository.env_ignore_gaps(files, tracked).collect()
     assert [(r.repo_id, r.id) for r in rows] == [(1, "env-not-gitignored-.env.local")]
+
+
+def test_report_does_not_write_findings_of_advisories(spark):
+    """There are as many as manifests x advisories; sums and lists are the same as if all were written."""
+    from pathlib import Path
+
+    from palisade.session import shared_folder
+
+    rows = [
+        (repo, scanner, f"{scanner}-{i}", severity, "T", f"m{i}", "package.json", i, "fix")
+        for repo in (1, 2, 3, None)
+        for scanner in ("scan_secrets", "scan_dependencies", "scan_rules_files", None)
+        for i, severity in enumerate(("critical", "warning", "info", "passed", None))
+        if (repo, scanner) != (3, "scan_dependencies")
+    ]
+    some = spark.createDataFrame(
+        rows, "repo_id bigint, scanner string, id string, severity string, title string, message string, file string, line int, fix string"
+    )
+    found = repository.as_findings(some, "x").withColumn("scanner", F.lit(None).cast("string")).limit(0).unionByName(
+        some, allowMissingColumns=True
+    )
+    repos = spark.range(1, 5).select(F.col("id").alias("repo_id"))
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("table-*"))
+    report = {r.repo_id: r for r in plans.audit_report(found, repos).collect()}
+    new = [spark.read.parquet(str(f)) for f in set(folder.glob("table-*")) - before]
+    assert [t.where("scanner = 'scan_dependencies'").count() for t in new if "scanner" in t.columns] == [0]
+    assert sum(t.count() for t in new if "scanner" in t.columns) == sum(r[1] != "scan_dependencies" for r in rows)
+    scores = {r.repo_id: r for r in fo.audit_score(found, repos).collect()}
+    prompts = {r.repo_id: r for r in fo.fix_prompt(found, repos).collect()}
+    assert set(report) == {1, 2, 3, 4} and report[1].critical == 4 and report[3].critical == 3
+    for repo, row in report.items():
+        assert row.fix_prompt == prompts[repo].text and row.parts == prompts[repo].parts
+        assert all(row[c] == scores[repo][c] for c in ("score", "grade", "critical", "warning", "info", "passed"))
